@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from ledgerlens.llm.media import op8_media_columns
 from ledgerlens.llm.sharding import op3_sharding
+from ledgerlens.llm.tokenfile import op4_token_file
 
 
 def queries() -> dict:
-    return {"op3_sharding": op3_sharding, "op8_media_columns": op8_media_columns}
+    return {"op3_sharding": op3_sharding, "op4_token_file": op4_token_file, "op8_media_columns": op8_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
