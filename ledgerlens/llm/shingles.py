@@ -52,17 +52,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of all words in a byte array."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+def run_hashes(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Hashes of data[edge[0]:edge[1]], data[edge[2]:edge[3]] and so on, without regard to the case of A-Z."""
     start, end = edge[0::2], edge[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * _powers(_STEP, len(data)), out=sums[1:])
     hashes = (sums[end] - sums[start]) * _powers(_UNSTEP, len(data) + 1)[start]
-    return start, mix(hashes + (end - start).astype(np.uint64) * _SLOT[63])
+    return mix(hashes + (end - start).astype(np.uint64) * _SLOT[63])
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of all words in a byte array."""
+    inside = ~_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    return edge[0::2], run_hashes(data, edge)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +79,26 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def shingle_sets(column: pa.Array, width: int = 5, block: int = 4 << 20) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every row, one array a row, whole texts."""
+def blocks(column: pa.Array, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows with about block bytes: their number, their bytes with a space after each row, and its rows' ends there."""
     data, offsets = text_buffers(column)
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block, "right")) - 1)
-        part = data[offsets[row] : offsets[last]]
-        # a row boundary also ends a word: join the rows with a space
         lengths = np.diff(offsets[row : last + 1])
-        spaced = np.full(len(part) + len(lengths), 32, dtype=np.uint8)
-        at = np.arange(len(part)) + np.repeat(np.arange(len(lengths)), lengths)
-        spaced[at] = part
+        spaced = np.full(int(lengths.sum()) + len(lengths), 32, dtype=np.uint8)
+        keep = np.ones(len(spaced), dtype=bool)
+        keep[np.cumsum(lengths + 1) - 1] = False
+        spaced[keep] = data[offsets[row] : offsets[last]]
+        yield last - row, spaced, np.cumsum(lengths + 1)
+        row = last
+
+
+def shingle_sets(column: pa.Array, width: int = 5, block: int = 4 << 20) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every row, one array a row, whole texts."""
+    for _, spaced, ends in blocks(column, block):
         start, words = word_hashes(spaced)
-        begin = offsets[row : last + 1] - offsets[row] + np.arange(len(lengths) + 1)
-        first = np.searchsorted(start, begin)
+        first = np.searchsorted(start, np.concatenate([[0], ends]))
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):
             rolled += words[k : k + len(rolled)] * _SLOT[k]
@@ -103,4 +111,3 @@ def shingle_sets(column: pa.Array, width: int = 5, block: int = 4 << 20) -> Iter
                 yield mix(np.array([short.sum(dtype=np.uint64) + np.uint64(b - a)], dtype=np.uint64))
             else:
                 yield np.zeros(0, dtype=np.uint64)
-        row = last

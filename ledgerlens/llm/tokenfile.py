@@ -1,6 +1,6 @@
 """Token ids as compact binary files.
 
-Texts are encoded by a public tokenizer (its library encodes every distinct run between spaces once
+Texts are encoded by a public tokenizer (its library encodes every distinct run of letters or others once
 per worker, within a bounded cache; no piece of this vocabulary spans white space, so the runs' ids
 follow each other as in the whole text).  Ids are counted over all documents, a canonical
 length-limited Huffman code is built from the counts, and documents are written in ascending id
@@ -20,7 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table, written
+from ledgerlens.llm.shingles import blocks, run_hashes
 
 LIMIT, STRIDE, MAGIC = 16, 64, b"LLTOK001"
-CACHE_WORDS, LONG_WORD = 1_000_000, 64
+CACHE_WORDS = 1_000_000
 
 
 # ---- the code ----
@@ -167,8 +168,30 @@ def unpack_segment(segment: bytes) -> tuple[list, np.ndarray, int, np.ndarray]:
 # ---- texts to ids ----
 
 
+# Fixed byte classes: 0 white space, 1 letters (and all bytes of other characters), 2 anything else.
+_CLASS = np.full(256, 2, np.int8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS_OF_WORDS = np.minimum(_CLASS, 1)
+
+
+def plain(data: np.ndarray) -> bool:
+    """Only ASCII and Latin-1 letters beyond it, and nothing that joins letters with other characters."""
+    high = data >= 0x80
+    if high.any():
+        lead = data >= 0xC0
+        if (data[lead] != 0xC3).any() or np.isin(data[1:][data[:-1] == 0xC3], [0x97, 0xB7]).any():
+            return False
+    return not (data == 0x27).any()
+
+
 class CachedEncoder:
-    """Ids of texts, with the ids of each run between spaces kept in one flat array."""
+    """Ids of texts; the ids of each run of letters or of other characters are kept in flat arrays.
+
+    A run is found by a 64-bit hash in a table of open addresses.  In texts with other characters than
+    ASCII and Latin-1, or with apostrophes, a run is all between white space; texts with the mark of a
+    special token go to the library whole.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -176,44 +199,77 @@ class CachedEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.mask = (1 << (2 * limit).bit_length()) - 1
         self.forget()
 
     def forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.flat, self.used, self.offsets = np.zeros(1 << 16, np.uint32), 0, [0]
-
-    def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = found.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.rows[word] = len(self.offsets) - 1
-            self.offsets.append(self.used)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and how many each has."""
-        if len(self.rows) > self.limit:
-            self.forget()
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for run in runs for w in run]
-        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        self.keys, self.rows = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        self.flat, self.used, self.offsets = np.zeros(1 << 16, self.kind), 0, np.zeros(1, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 for those not there."""
+        out = np.full(len(keys), -1, np.int32)
+        at, left = (keys >> np.uint64(20)).astype(np.int64) & self.mask, np.arange(len(keys))
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.rows[at[hit]]
+            go = ~hit & (there != 0)
+            left, at = left[go], (at[go] + 1) & self.mask
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        rows = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(keys), dtype=np.int32)
+        self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(sizes)])
+        self.used += len(ids)
+        at, left = (keys >> np.uint64(20)).astype(np.int64) & self.mask, np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            slots, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[slots], self.rows[slots] = keys[left[won]], rows[left[won]]
+            go = np.ones(len(left), bool)
+            go[won] = False
+            left, at = left[go], (at[go] + 1) & self.mask
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows in data (a space after each row), and how many each row has."""
+        if ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():  # the mark of a special token
+            raw = data.tobytes()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a : b - 1].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+        kind = (_CLASS if plain(data) else _CLASS_OF_WORDS)[data]
+        change = np.flatnonzero(np.diff(kind, prepend=np.int8(0)))
+        inside = kind[change] != 0
+        start = change[inside]
+        stop = np.append(change[1:], len(data))[inside]
+        edge = np.empty(2 * len(start), np.int64)
+        edge[0::2], edge[1::2] = start, stop
+        keys = run_hashes(data, edge)
+        keys[keys == 0] = 1
+        rows = self.find(keys)
         if len(missing := np.flatnonzero(rows < 0)):
-            self.learn(list({words[k] for k in missing.tolist()}))
-            for k in missing.tolist():
-                rows[k] = self.rows[words[k]]
-            long = [w for w in {words[k] for k in missing.tolist()} if len(w) > LONG_WORD]
-        offsets = np.array(self.offsets)
-        begin, size = offsets[rows], offsets[rows + 1] - offsets[rows]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        if len(missing):
-            for w in long:  # not worth keeping; its ids stay in the array until the cache is emptied
-                del self.rows[w]
-        last = np.cumsum([len(run) for run in runs])
-        total = np.concatenate([[0], ends])
-        return ids, np.diff(total[np.concatenate([[0], last])])
+            new, first = np.unique(keys[missing], return_index=True)
+            if len(self.offsets) + len(new) > self.limit:
+                self.forget()
+                new, missing = np.unique(keys, return_index=True)
+                first = np.arange(len(missing))
+            raw = data.tobytes()
+            self.learn(new, [raw[start[k] : stop[k]].decode() for k in missing[first].tolist()])
+            rows = self.find(keys)
+        begin, size = self.offsets[rows], self.offsets[rows + 1] - self.offsets[rows]
+        after = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        last = np.searchsorted(start, ends)
+        return ids, np.diff(np.concatenate([[0], after])[np.concatenate([[0], last])])
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -225,19 +281,7 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def _slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about limit bytes of text."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-        yield batch.slice(at, last - at)
-        at = last
-
-
-def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, segment_ids: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, segment_ids: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Encodes and writes all texts.
 
     Returns the written segments (part, seq, segment) and the parts' first ids (part, base).
@@ -250,18 +294,20 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        kind, counts, bounds = np.dtype("<u2" if enc.size <= 1 << 16 else "<u4"), np.zeros(max(enc.size, end_id + 1), np.int64), np.array(cuts, np.int64)
-        for batch in (part for whole in batches for part in _slices(whole, 1)):
-            ids, sizes = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-            ends = np.cumsum(sizes)
-            ids = np.insert(ids, ends, end_id).astype(kind)
-            counts += np.bincount(ids, minlength=len(counts))
-            ends = ends + np.arange(1, len(ends) + 1)
-            offsets = pa.py_buffer((np.concatenate([[0], ends]) * kind.itemsize).astype(np.int32))
-            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(ids)])
-            keys = batch.column(0)
-            part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, pa.array(sizes + 1, pa.int64()), blobs], ["part", "k", "n", "ids"])
+        kind, counts, bounds = enc.kind, np.zeros(max(enc.size, end_id + 1), np.int64), np.array(cuts, np.int64)
+        for batch in batches:
+            row = 0
+            for n, data, rows_end in blocks(batch.column(1), 8 << 20):
+                ids, sizes = enc.encode(data, rows_end)
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                counts += np.bincount(ids, minlength=len(counts))
+                ends = np.cumsum(sizes + 1)
+                offsets = pa.py_buffer((np.concatenate([[0], ends]) * kind.itemsize).astype(np.int32))
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(ids)])
+                keys = batch.column(0).slice(row, n)
+                part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, pa.array(sizes + 1, pa.int64()), blobs], ["part", "k", "n", "ids"])
+                row += n
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "k", "n", "ids"])
 
     tokens = written(rows.mapInArrow(tokenize, "part int, k long, n long, ids binary"), "tokens")
@@ -278,14 +324,14 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
     # at most 8 rows of one count a vocabulary entry come to the driver
     sums = [np.frombuffer(r.ids, np.int64) for r in tokens.filter("part = -1").select("ids").repartition(8).mapInArrow(add, "ids binary").collect()]
     lengths = code_lengths(np.sum(sums, axis=0) if sums else np.ones(1, np.int64))
-    codes, wide = canonical(lengths), len(lengths) > 1 << 16
+    codes, kind = canonical(lengths), np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before, held, keys, counts, blobs = None, 0, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal keys, counts, blobs, held, seq, before
-            ids = np.frombuffer(b"".join(blobs), "<u4" if wide else "<u2")
+            ids = np.frombuffer(b"".join(blobs), kind)
             row = (part, seq, pack_segment(keys, np.array(counts, np.int64), before, ids, codes, lengths))
             seq, before, held, keys, counts, blobs = seq + 1, before + len(ids), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["part", "seq", "segment"])
