@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from ledgerlens.llm.jaccard import OP2_SQL, op2_ngram_jaccard_join
 from ledgerlens.llm.media import op8_media_columns
+from ledgerlens.llm.mixture import op9_source_mixture
 from ledgerlens.llm.sharding import op3_sharding
 from ledgerlens.llm.tokenfile import op4_token_file
 
 
 def queries() -> dict:
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sharding": op3_sharding, "op4_token_file": op4_token_file, "op8_media_columns": op8_media_columns}
+    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sharding": op3_sharding, "op4_token_file": op4_token_file, "op8_media_columns": op8_media_columns, "op9_source_mixture": op9_source_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
