@@ -77,7 +77,7 @@ def ngram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros((2, size), np.int64)
         for batch in batches:
             chosen, at = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool), 0
-            for n, data, ends in blocks(batch.column(0), 4 << 20):
+            for n, data, ends in blocks(batch.column(0)):
                 found, first = features(data, ends)
                 total[0] += np.bincount(found[found >= 0], minlength=size)
                 mine = found[:, np.repeat(chosen[at : at + n], np.diff(first))]
@@ -118,7 +118,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, text_col: str) -> DataFrame:
         by = np.append(table.value, 0.0)  # -1 scores nothing
         for batch in batches:
             out = []
-            for _, data, ends in blocks(batch.column(kept), 4 << 20):
+            for _, data, ends in blocks(batch.column(kept)):
                 found, first = features(data, ends)
                 sums = np.concatenate([by[found].sum(0), [0.0]])
                 own = np.add.reduceat(sums, np.minimum(first[:-1], len(sums) - 1))

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of text worked on at once; a longer text is worked on alone.
+BLOCK = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,12 +44,12 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64, kept as far as any call needed them."""
     have = _POWERS.get(base)
     if have is None:
         have = np.ones(1, dtype=np.uint64)
     while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 2**64))])
+        have = np.concatenate([have, have[: n - len(have)] * np.uint64(pow(base, len(have), 2**64))])
     _POWERS[base] = have
     return have[:n]
 
@@ -79,7 +81,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole rows with about block bytes: their number, their bytes with a space after each row, and its rows' ends there."""
     data, offsets = text_buffers(column)
     row = 0
@@ -94,7 +96,7 @@ def blocks(column: pa.Array, block: int) -> Iterator[tuple[int, np.ndarray, np.n
         row = last
 
 
-def shingle_sets(column: pa.Array, width: int = 5, block: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = 5, block: int = BLOCK) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every row, one array a row, whole texts."""
     for _, spaced, ends in blocks(column, block):
         start, words = word_hashes(spaced)

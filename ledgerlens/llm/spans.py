@@ -110,7 +110,7 @@ def repeated(rows: DataFrame, parts: int, held_records: int = 2_000_000) -> Data
 
         for batch in batches:
             keys, marks, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
-            for n, data, ends in blocks(batch.column(2), 4 << 20):
+            for n, data, ends in blocks(batch.column(2)):
                 head, row_at, _, words = sentences(data, ends)
                 row, first, size, hashed = spans(head, row_at, words)
                 own = np.empty(len(row), RECORD)
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts, removals = batch.column(at_text).cast(pa.string()), batch.column(len(names))
             new, counts, removed, out, row = [], [], [], [], 0
-            for n, data, ends in blocks(texts, 4 << 20):
+            for n, data, ends in blocks(texts):
                 head, row_at, start, _ = sentences(data, ends)
                 counts += np.diff(row_at).tolist()
                 for i in range(n):

@@ -297,7 +297,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
         kind, counts, bounds = enc.kind, np.zeros(max(enc.size, end_id + 1), np.int64), np.array(cuts, np.int64)
         for batch in batches:
             row = 0
-            for n, data, rows_end in blocks(batch.column(1), 8 << 20):
+            for n, data, rows_end in blocks(batch.column(1)):
                 ids, sizes = enc.encode(data, rows_end)
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 counts += np.bincount(ids, minlength=len(counts))
