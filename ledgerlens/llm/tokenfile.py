@@ -31,7 +31,7 @@ from ledgerlens.llm.common import table, written
 from ledgerlens.llm.shingles import blocks, run_hashes
 
 LIMIT, STRIDE, MAGIC = 16, 64, b"LLTOK001"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, LEARN = 800_000, 2048
 
 
 # ---- the code ----
@@ -220,9 +220,12 @@ class CachedEncoder:
         return out
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        sizes, parts = [], []
+        for k in range(0, len(words), LEARN):  # the library's results are large objects
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + LEARN], add_special_tokens=False)]
+            sizes += map(len, found)
+            parts.append(np.fromiter(chain.from_iterable(found), self.kind, sum(map(len, found))))
+        sizes, ids = np.array(sizes, np.int64), np.concatenate(parts)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -262,8 +265,7 @@ class CachedEncoder:
                 self.forget()
                 new, missing = np.unique(keys, return_index=True)
                 first = np.arange(len(missing))
-            raw = data.tobytes()
-            self.learn(new, [raw[start[k] : stop[k]].decode() for k in missing[first].tolist()])
+            self.learn(new, [data[start[k] : stop[k]].tobytes().decode() for k in missing[first].tolist()])
             rows = self.find(keys)
         begin, size = self.offsets[rows], self.offsets[rows + 1] - self.offsets[rows]
         after = np.cumsum(size)
@@ -297,7 +299,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
         kind, counts, bounds = enc.kind, np.zeros(max(enc.size, end_id + 1), np.int64), np.array(cuts, np.int64)
         for batch in batches:
             row = 0
-            for n, data, rows_end in blocks(batch.column(1)):
+            for n, data, rows_end in blocks(batch.column(1), 1 << 20):
                 ids, sizes = enc.encode(data, rows_end)
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 counts += np.bincount(ids, minlength=len(counts))
@@ -337,14 +339,14 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["part", "seq", "segment"])
 
         for batch in batches:
-            for p, k, n, ids in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for p, k, n, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
                 if keys and (p != part or held >= segment_ids):
                     yield flush()
                 if p != part:
                     part, seq, before = p, 0, 0
                 keys.append(k)
                 counts.append(n)
-                blobs.append(ids)
+                blobs.append(blob.as_py())
                 held += n
         if keys:
             yield flush()
