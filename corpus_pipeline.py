@@ -1,8 +1,72 @@
-"""The corpus pipeline: operators of ledgerlens.llm applied to documents one after the other."""
+"""The corpus pipeline: operators of ledgerlens.llm applied to documents one after the other.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+docs.  run() writes each stage's rows as Parquet to the shared folder and reads them back as the next
+one's docs, so that a stage that is lost is made again from files.
+
+1. quality classifier: documents below the cut go;
+2. n-gram Jaccard join: of each component of near copies the document with the least id stays (of rows
+   with that id, one);
+3. substring dedup: repeated sentences go from the texts, which keep their rows;
+4. mixing sources: a row for each time that a document is taken, a last one cut to the words it gives;
+5. SentencePiece: a row for each sampled segmentation of each document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.llm.common import table, written
+from ledgerlens.llm.jaccard import jaccard_join
+from ledgerlens.llm.mixture import mix_documents
+from ledgerlens.llm.pieces import segment
+from ledgerlens.llm.quality import resample
+from ledgerlens.llm.spans import remove_repeats
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document without an id, or the least of its component, stays."""
+    roots = jaccard_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(roots, "doc_id", "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_repeats(docs).select(*docs.columns)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(docs).select(*docs.columns)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", source_mixture),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL can't express the hashed models and the sampled segmentations.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs
