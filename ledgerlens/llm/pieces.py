@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table
 from ledgerlens.llm.shingles import _STEP, _UNSTEP, _odd, _powers, blocks, mix
 
-ALPHA, SAMPLES, SEED = 0.0001, 2, 17
+ALPHA, SAMPLES, SEED, FIXED = 0.0001, 2, 17, 2.0**20
 _RAW = _odd(41, 257)
 _SPACE_MARK = "▁"
 
@@ -171,14 +171,16 @@ class Lattice:
             if b > a:
                 beta[owner[head_at[k] : head_at[k + 1]]] = np.logaddexp.reduceat(weight[a:b] + beta[target[a:b]], head[head_at[k] : head_at[k + 1]] - a)
         self.log_share = weight + beta[target] - beta[source]
+        self.log_share = np.round(self.log_share * FIXED) / FIXED  # sums of these are exact in any order
         self.share = np.exp(self.log_share)
         self.source, self.target, self.step = source, target, step
         self.begin = np.zeros(nodes + 1, np.int64)
         self.begin[1:] = np.cumsum(np.bincount(source, minlength=nodes))
         # sums of shares up to each edge within its node, and what its other edges have (0 where there are none)
         many = np.diff(np.append(head, len(source)))
-        before = np.concatenate([[0.0], np.cumsum(self.share)])
-        self.upto = before[1:] - np.repeat(before[head], many)
+        # (in whole numbers, which wrap: the same whatever stands before the node)
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.share * 2.0**53).astype(np.uint64), dtype=np.uint64)])
+        self.upto = (before[1:] - np.repeat(before[head], many)).astype(np.float64) * 2.0**-53
         top = np.maximum.reduceat(self.share, head) if len(head) else self.share
         is_top = np.flatnonzero(self.share == np.repeat(top, many))
         first_top = np.zeros(len(source), bool)
