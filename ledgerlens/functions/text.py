@@ -64,7 +64,7 @@ def matches(text: Column, pattern: str) -> Column:
         F.sequence(F.lit(1), F.size(found)),
         lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(found, F.lit(1), k - 1), F.lit(0), lambda n, g: n + F.length(g)),
     )
-    rows = F.zip_with(found, starts, lambda m, s: F.struct(m.alias("text"), s.alias("start"), (s + F.length(m)).alias("end")))
+    rows = F.zip_with(found, starts, lambda m, s: F.named_struct(F.lit("text"), m, F.lit("start"), s, F.lit("end"), s + F.length(m)))
     return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
 
 

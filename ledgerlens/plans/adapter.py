@@ -14,7 +14,7 @@ ADAPTER = """
 lines AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round(l_discount, 2) AS disc, l_quantity AS qty,
     CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord,
-    round(((l_orderkey * 7 + l_linenumber * 13) % 101) / 100.0, 2) AS conf,
+    round(((l_orderkey * 7 + l_linenumber * 13) % 101) / CAST(100 AS DOUBLE), 2) AS conf,
     CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'claude:m' WHEN 1 THEN 'heuristic:k' ELSE 'sec_form' END AS method,
     CASE WHEN l_linenumber = 7 THEN ' ' ELSE concat('Order ', CAST(l_orderkey AS STRING), ' names it.') END AS evidence
   FROM lineitem WHERE l_discount > 0.085 AND l_quantity >= 45
@@ -35,12 +35,12 @@ lines AS (
   FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE disc >= 0.1 AND qty >= 48
   UNION ALL
   SELECT CAST(0 AS BIGINT), concat('SUP', CAST(a.s_suppkey AS STRING)), 'competes_with', concat('SUP', CAST(b.s_suppkey AS STRING)), 'Company',
-    round(((a.s_suppkey * 7 + b.s_suppkey * 13) % 101) / 100.0, 2),
+    round(((a.s_suppkey * 7 + b.s_suppkey * 13) % 101) / CAST(100 AS DOUBLE), 2),
     CASE (a.s_suppkey + b.s_suppkey) % 3 WHEN 0 THEN 'claude:m' WHEN 1 THEN 'heuristic:k' ELSE 'sec_form' END, concat(a.s_name, ' competes with ', b.s_name)
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
   UNION ALL
   SELECT CAST(0 AS BIGINT), concat('SUP', CAST(s_suppkey AS STRING)), 'subsidiary_of', concat('SUP', CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS STRING)), 'Company',
-    0.9, 'claude:m', concat(s_name, ' is a subsidiary') FROM supplier WHERE s_suppkey >= 10
+    CAST(0.9 AS DOUBLE), 'claude:m', concat(s_name, ' is a subsidiary') FROM supplier WHERE s_suppkey >= 10
 ), raw_mentions AS (
   SELECT ord, concat('SUP', CAST(l_suppkey AS STRING), '-', CAST(year(l_shipdate) AS STRING)) AS accession_number, 'PRODUCT' AS entity_label,
     concat(p_brand, '/', p_type) AS text, conf, 'regex:product' AS method
