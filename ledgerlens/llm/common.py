@@ -28,11 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back."""
+def written(df: DataFrame, what: str, batch_rows: int = 1000) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
+
+    While it writes, Arrow batches hold at most batch_rows rows, so that rows of long texts stay small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
