@@ -66,6 +66,12 @@ class Vocabulary:
         keys = np.array([self._hash(texts[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], normal[order].astype(np.int32)
+        # the first piece with each value of the upper 22 bits, or the one after the last
+        self.slot = np.full(1 << 22, len(keys), np.int32)
+        upper = (self.keys >> np.uint64(42)).astype(np.int64)
+        self.slot[upper[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
+        self.most_alike = int(np.bincount(upper).max())
+        self.keys = np.append(self.keys, np.uint64(0))
         # bytes that stand side by side within some piece
         self.joined = np.zeros((256, 256), bool)
         for i in normal:
@@ -73,15 +79,26 @@ class Vocabulary:
             self.joined[own[:-1], own[1:]] = True
         self.longest = max(len(texts[i]) for i in normal)
         beginnings = {self._hash(t[:k]) for t in (texts[i] for i in normal) for k in range(1, len(t))}
-        # what a hash may be, by its upper bits
-        self.may_be, self.may_begin = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
-        self.may_be[keys >> np.uint64(42)] = True
+        # whether a hash may be that of a beginning, by its upper bits
+        self.may_begin = np.zeros(1 << 22, bool)
         self.may_begin[np.array(list(beginnings), np.uint64) >> np.uint64(42)] = True
 
     @staticmethod
     def _hash(text: bytes) -> int:
         data = np.frombuffer(text, np.uint8)
-        return int(run_hash(data, np.array([0]), np.array([len(data)]))[0])
+        return int(piece_hash(byte_sums(data)[-1:], _powers(_UNSTEP, 1), len(data))[0])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those keys that are pieces', and the pieces."""
+        at = self.slot[keys >> np.uint64(42)]
+        hit = np.flatnonzero(self.keys[at] == keys)
+        found = [(hit, self.ids[at[hit]])]
+        for k in range(1, self.most_alike):
+            more = np.flatnonzero(at + k < len(self.ids))
+            more = more[self.keys[at[more] + k] == keys[more]]
+            found.append((more, self.ids[at[more] + k]))
+        where, ids = (np.concatenate(x) for x in zip(*found))
+        return where, ids
 
 
 def run_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
@@ -90,19 +107,17 @@ def run_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray, sums: np.nda
     return mix((sums[stop] - sums[start]) * _powers(_UNSTEP, len(data) + 1)[start] + (stop - start).astype(np.uint64) * _RAW[256])
 
 
+def piece_hash(sums: np.ndarray, unstep: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n bytes from differences of prefix sums."""
+    return sums * unstep + np.uint64(n * int(_RAW[256]) & (1 << 64) - 1)
+
+
 def byte_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_RAW[data] * _powers(_STEP, len(data)), out=sums[1:])
     return sums
 
 
-def _member(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    """Places in the sorted keys, -1 where not there."""
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
 class Lattice:
     """The lattices of some words of a text: a node for each word and number of bytes left to its end.
 
@@ -127,7 +142,7 @@ class Lattice:
         text = data[at]
         lead = (text & 0xC0) != 0x80
         size = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
-        alive = np.flatnonzero(lead)
+        alive = np.flatnonzero(lead).astype(np.int32)
         single = np.zeros(len(at), bool)  # the character is a piece
         found: list[tuple] = []
         begin = sums[at]
@@ -136,12 +151,10 @@ class Lattice:
             alive = alive[left[alive] >= n]
             if not len(alive):
                 break
-            keys = mix((sums[at[alive] + n] - begin[alive]) * unstep[alive] + np.uint64(n * int(_RAW[256]) & (1 << 64) - 1))
-            maybe = np.flatnonzero(vocab.may_be[keys >> np.uint64(42)])
-            place = _member(keys[maybe], vocab.keys)
-            maybe, place = maybe[place >= 0], place[place >= 0]
-            if len(maybe):
-                where, ids = alive[maybe], vocab.ids[place]
+            keys = piece_hash(sums[at[alive] + n] - begin[alive], unstep[alive], n)
+            where, ids = vocab.find(keys)
+            if len(where):
+                where = alive[where]
                 single[where[size[where] == n]] = True
                 found.append((where, n, ids, vocab.weights[ids]))
             alive = alive[vocab.may_begin[keys >> np.uint64(42)]]
@@ -173,8 +186,8 @@ class Lattice:
         self.log_share = weight + beta[target] - beta[source]
         self.log_share = np.round(self.log_share * FIXED) / FIXED  # sums of these are exact in any order
         self.share = np.exp(self.log_share)
-        self.source, self.target, self.step = source, target, step
-        self.begin = np.zeros(nodes + 1, np.int64)
+        self.source, self.target, self.step = source.astype(np.int32), target.astype(np.int32), step.astype(np.int32)
+        self.begin = np.zeros(nodes + 1, np.int32)
         self.begin[1:] = np.cumsum(np.bincount(source, minlength=nodes))
         # sums of shares up to each edge within its node, and what its other edges have (0 where there are none)
         many = np.diff(np.append(head, len(source)))
@@ -226,7 +239,7 @@ def walk(lattice: Lattice, node: np.ndarray, place: np.ndarray, key: np.ndarray,
         going = lattice.begin[target + 1] > lattice.begin[target]
         active, at, now = active[going], (at + lattice.step[edge])[going], target[going]
     start = np.concatenate([[0], np.cumsum(count)[:-1]])
-    edges, places = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+    edges, places = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
     for k, (who, edge, at) in enumerate(steps):
         edges[start[who] + k], places[start[who] + k] = edge, at
     return edges, count, places
@@ -394,7 +407,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
         vocab = vocabulary(model_path, alpha)
         for batch in batches:
             keys, row = batch.column(1).to_numpy().view(np.uint64), 0
-            for n, data, ends in blocks(batch.column(2), 4 << 20):
+            for n, data, ends in blocks(batch.column(2)):
                 text, ends = prefixed(data, ends)
                 start, stop, doc_words = words_of(text, ends, vocab) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
                 if len(start):
