@@ -407,7 +407,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
         vocab = vocabulary(model_path, alpha)
         for batch in batches:
             keys, row = batch.column(1).to_numpy().view(np.uint64), 0
-            for n, data, ends in blocks(batch.column(2)):
+            for n, data, ends in blocks(batch.column(2), 1 << 20):
                 text, ends = prefixed(data, ends)
                 start, stop, doc_words = words_of(text, ends, vocab) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
                 if len(start):
