@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table, written
+from ledgerlens.llm.common import table, trim, written
+from ledgerlens.llm.hashtable import HashTable
 from ledgerlens.llm.shingles import blocks, run_hashes
 
 LIMIT, STRIDE, MAGIC = 16, 64, b"LLTOK001"
-CACHE_WORDS, LEARN = 800_000, 2048
+CACHE_WORDS, LEARN = 500_000, 2048
 
 
 # ---- the code ----
@@ -200,25 +201,12 @@ class CachedEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.mask = (1 << (2 * limit).bit_length()) - 1
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.rows = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        self.table = HashTable(self.limit)
         self.flat, self.used, self.offsets = np.zeros(1 << 16, self.kind), 0, np.zeros(1, np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the keys, -1 for those not there."""
-        out = np.full(len(keys), -1, np.int32)
-        at, left = (keys >> np.uint64(20)).astype(np.int64) & self.mask, np.arange(len(keys))
-        while len(left):
-            there = self.keys[at]
-            hit = there == keys[left]
-            out[left[hit]] = self.rows[at[hit]]
-            go = ~hit & (there != 0)
-            left, at = left[go], (at[go] + 1) & self.mask
-        return out
-
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         sizes, parts = [], []
         for k in range(0, len(words), LEARN):  # the library's results are large objects
@@ -232,15 +220,7 @@ class CachedEncoder:
         rows = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(keys), dtype=np.int32)
         self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(sizes)])
         self.used += len(ids)
-        at, left = (keys >> np.uint64(20)).astype(np.int64) & self.mask, np.arange(len(keys))
-        while len(left):
-            free = np.flatnonzero(self.keys[at] == 0)
-            slots, first = np.unique(at[free], return_index=True)
-            won = free[first]
-            self.keys[slots], self.rows[slots] = keys[left[won]], rows[left[won]]
-            go = np.ones(len(left), bool)
-            go[won] = False
-            left, at = left[go], (at[go] + 1) & self.mask
+        self.table.add(keys, rows)
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in data (a space after each row), and how many each row has."""
@@ -258,7 +238,7 @@ class CachedEncoder:
         edge[0::2], edge[1::2] = start, stop
         keys = run_hashes(data, edge)
         keys[keys == 0] = 1
-        rows = self.find(keys)
+        rows = self.table.find(keys)
         if len(missing := np.flatnonzero(rows < 0)):
             new, first = np.unique(keys[missing], return_index=True)
             if len(self.offsets) + len(new) > self.limit:
@@ -266,7 +246,7 @@ class CachedEncoder:
                 new, missing = np.unique(keys, return_index=True)
                 first = np.arange(len(missing))
             self.learn(new, [data[start[k] : stop[k]].tobytes().decode() for k in missing[first].tolist()])
-            rows = self.find(keys)
+            rows = self.table.find(keys)
         begin, size = self.offsets[rows], self.offsets[rows + 1] - self.offsets[rows]
         after = np.cumsum(size)
         ids = self.flat[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
@@ -283,7 +263,7 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, segment_ids: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, segment_ids: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """Encodes and writes all texts.
 
     Returns the written segments (part, seq, segment) and the parts' first ids (part, base).
@@ -310,6 +290,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
                 part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, pa.array(sizes + 1, pa.int64()), blobs], ["part", "k", "n", "ids"])
                 row += n
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "k", "n", "ids"])
 
     tokens = written(rows.mapInArrow(tokenize, "part int, k long, n long, ids binary"), "tokens")
@@ -350,6 +331,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
                 held += n
         if keys:
             yield flush()
+        trim()
 
     docs_only = tokens.filter("part >= 0")
     ordered = docs_only.repartition(parts, "part").sortWithinPartitions("part", F.col("k").asc_nulls_first(), "n", F.crc32("ids"))
@@ -373,6 +355,7 @@ def read_token_file(segments: DataFrame, bases: DataFrame, id_col: str = "doc_id
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(raw.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["part", "k", "s", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        trim()
 
     schema = "part int, k long, s long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     rows = segments.select("part", "segment").mapInArrow(unpack, schema).join(bases, "part")
