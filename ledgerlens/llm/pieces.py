@@ -21,6 +21,7 @@ a null id is a key of its own.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import table, trim
+from ledgerlens.llm.hashtable import HashTable
 from ledgerlens.llm.shingles import _STEP, _UNSTEP, _odd, _powers, blocks, mix
 
 ALPHA, SAMPLES, SEED, FIXED = 0.0001, 2, 17, 2.0**20
@@ -203,6 +205,46 @@ class Lattice:
         self.others = np.where(first_top, np.repeat(rest, many), np.repeat(rest + top, many) - self.share)
 
 
+class Store:
+    """Lattices of the words seen lately, one after the other, in arrays of bounded size; emptied when they are full."""
+
+    PARTS = ("source", "target", "step", "piece", "log_share", "share", "upto", "others")
+
+    def __init__(self, vocab: Vocabulary, most_edges: int = 2_500_000) -> None:
+        self.vocab, self.most = vocab, most_edges
+        self.forget()
+
+    def forget(self) -> None:
+        self.table = HashTable(self.most // 4)
+        self.edges = self.nodes = 0
+        self.begin = np.zeros(self.most + 1, np.int32)
+        for name in self.PARTS:
+            setattr(self, name, np.zeros(self.most, np.int32 if name in self.PARTS[:4] else np.float64))
+
+    def nodes_of(self, text: np.ndarray, sums: np.ndarray, hashed: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The first node of each word text[start:stop]."""
+        out = self.table.find(hashed)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new, at = np.unique(hashed[missing], return_index=True)
+        at = missing[at]
+        own = Lattice(text, sums, start[at], stop[at], self.vocab)
+        if self.edges and (self.edges + len(own.source) > self.most or self.nodes + len(own.begin) > self.most or self.table.count + len(new) > self.most // 4):
+            self.forget()
+            return self.nodes_of(text, sums, hashed, start, stop)
+        if max(len(own.source), len(own.begin), 4 * len(new)) > self.most:  # one block of very many words
+            self.most = 2 * max(len(own.source), len(own.begin), 4 * len(new))
+            self.forget()
+        e, n = self.edges, self.nodes
+        for name in self.PARTS:
+            getattr(self, name)[e : e + len(own.source)] = getattr(own, name) + (n if name in ("source", "target") else 0)
+        self.begin[n : n + len(own.begin)] = own.begin + e
+        self.edges, self.nodes = e + len(own.source), n + len(own.begin) - 1
+        self.table.add(new, (own.first + n).astype(np.int32))
+        return self.table.find(hashed)
+
+
 def uniform(key: np.ndarray, sample: int, purpose: int, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
     x = mix(key + (place.astype(np.uint64) << np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((sample * 8 + purpose + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
@@ -215,7 +257,7 @@ def cut_gumbel(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.nda
         return np.where(np.isneginf(log_mass), -np.inf, log_mass - np.log(np.exp(np.minimum(log_mass - bound, 700.0)) - np.log(u)))
 
 
-def walk(lattice: Lattice, node: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(lattice: Lattice | Store, node: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Draws a path from each node to its word's end: edges in order, their counts, and their places."""
     count = np.zeros(len(node), np.int64)
     steps = []
@@ -259,14 +301,14 @@ def log_prefix(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[:-1] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
 
 
-def sample_block(lattice: Lattice, word: np.ndarray, offset: np.ndarray, doc_words: np.ndarray, key: np.ndarray, samples: int) -> tuple[list[Sample], np.ndarray]:
+def sample_block(lattice: Lattice | Store, first: np.ndarray, offset: np.ndarray, doc_words: np.ndarray, key: np.ndarray, samples: int) -> tuple[list[Sample], np.ndarray]:
     """The samples of all texts of a block (those that exist have a finite gumbel), and the threshold of each text.
 
-    word: lattice word of each word of the texts; offset: its byte in its text; doc_words: bounds of the texts.
+    first: first node of each word of the texts; offset: its byte in its text; doc_words: bounds of the texts.
     """
     docs = len(doc_words) - 1
     doc = np.repeat(np.arange(docs), np.diff(doc_words))
-    edges, count, places = walk(lattice, lattice.first[word], offset, key[doc], 0)
+    edges, count, places = walk(lattice, first, offset, key[doc], 0)
     ends = np.concatenate([[0], np.cumsum(count)])
     bounds = ends[doc_words]
     done = [Sample(edges, places, bounds, log_prefix(lattice.log_share[edges], bounds), -np.log(-np.log(uniform(key, 0, 1, np.zeros(docs)))))]
@@ -305,51 +347,62 @@ def sample_block(lattice: Lattice, word: np.ndarray, offset: np.ndarray, doc_wor
         lines, first_new = [], np.zeros(docs, np.int64)
         again = [np.zeros(0, np.int64)]
         heads = []
+        live = np.flatnonzero(~np.isneginf(top))
+        edge, place, before = np.zeros(docs, np.int64), np.zeros(docs, np.int64), np.zeros(docs)
+        for k, s in enumerate(done):
+            mine = live[which[live] == k]
+            edge[mine], place[mine], before[mine] = s.edges[where[mine]], s.places[where[mine]], s.prefix[where[mine]]
+        node = lattice.source[edge] if len(lattice.source) else edge
+        low, high = lattice.begin[node].tolist(), lattice.begin[node + 1].tolist()
+        draw, redraw = uniform(key, number, 3, place).tolist(), uniform(key, number, 4, place)
+        left = np.full(docs, -np.inf)  # log mass of what is left of each branch
+        edge_list, place_list, at_list, which_list, dead = edge.tolist(), place.tolist(), where.tolist(), which.tolist(), np.isneginf(top).tolist()
         for d in range(docs):
-            if np.isneginf(top[d]):
-                lines.append((d, np.zeros(0, np.int64), np.zeros(0, np.int64), -1, 0))
+            if dead[d]:
+                lines.append((d, None, None, -1, 0))
                 continue
-            s, at = done[which[d]], int(where[d])
-            edge = int(s.edges[at])
-            place = int(s.places[at])
-            gone = taken.setdefault((d, int(which[d]), at), [edge])
-            node = int(lattice.source[edge])
-            a, b = int(lattice.begin[node]), int(lattice.begin[node + 1])
-            shares = lattice.share[a:b].copy()
-            shares[[g - a for g in gone]] = 0.0
-            sums = np.cumsum(shares)
-            u = float(uniform(key[d : d + 1], number, 3, np.array([place]))[0]) * sums[-1]
-            pick = a + min(int(np.searchsorted(sums, u)), int(np.flatnonzero(shares)[-1]) - 0)
+            k, at, a, b = which_list[d], at_list[d], low[d], high[d]
+            s = done[k]
+            gone = taken.setdefault((d, k, at), [edge_list[d]])
+            open_edges = [e for e in range(a, b) if e not in gone]
+            shares = [float(lattice.share[e]) for e in open_edges]
+            goal, pick, rest = draw[d] * sum(shares), open_edges[-1], 0.0
+            for e, share in zip(open_edges, shares):
+                goal -= share
+                if goal <= 0:
+                    pick = e
+                    break
             gone.append(pick)
-            # what is left of this branch
-            shares[pick - a] = 0.0
-            rest = shares.sum()
-            log_rest = np.array([s.prefix[at] + np.log(rest)]) if rest > 0 and len(gone) < b - a else np.array([-np.inf])
-            s.branch[at] = cut_gumbel(log_rest, top[d : d + 1], uniform(key[d : d + 1], number, 4, np.array([place])))[0]
-            w = int(np.searchsorted(starts[which[d]], at, "right")) - 1  # the word of the branch
-            lines.append((d, s.edges[s.bounds[d] : at], s.places[s.bounds[d] : at], pick, w))
-            heads.append((d, int(lattice.target[pick]), place + int(lattice.step[pick])))
+            rest = sum(share for e, share in zip(open_edges, shares) if e != pick)
+            if rest > 0:
+                left[d] = math.log(rest)
+            w = int(np.searchsorted(starts[k], at, "right")) - 1  # the word of the branch
+            own = int(s.bounds[d])
+            lines.append((d, s.edges[own:at], s.places[own:at], pick, w))
+            heads.append((d, int(lattice.target[pick]), place_list[d] + int(lattice.step[pick])))
             again.append(np.arange(w + 1, doc_words[d + 1]))
+        fresh_gumbel = cut_gumbel(before[live] + left[live], top[live], redraw[live])
+        for k, s in enumerate(done):
+            mine = which[live] == k
+            s.branch[where[live][mine]] = fresh_gumbel[mine]
         # the rest of the branch's word, and all words after it, are drawn anew in one go
         rest_words = np.concatenate(again)
-        walkers = np.concatenate([np.array([h[1] for h in heads], np.int64), lattice.first[word[rest_words]]])
+        walkers = np.concatenate([np.array([h[1] for h in heads], np.int64), first[rest_words]])
         at_byte = np.concatenate([np.array([h[2] for h in heads], np.int64), offset[rest_words]])
         who = np.concatenate([np.array([h[0] for h in heads], np.int64), doc[rest_words]])
         new_edges, new_count, new_places = walk(lattice, walkers, at_byte, key[who], number)
         new_ends = np.concatenate([[0], np.cumsum(new_count)])
         parts_e, parts_p, sizes, word_counts = [], [], np.zeros(docs, np.int64), []
         position, head_at = len(heads), 0
-        for (d, before_e, before_p, pick, w), in zip(lines):
+        for d, before_e, before_p, pick, w in lines:
             if pick < 0:
                 word_counts.append(np.zeros(doc_words[d + 1] - doc_words[d], np.int64))
                 continue
             later = doc_words[d + 1] - w - 1
             a, b = new_ends[head_at], new_ends[head_at + 1]
             c, e = new_ends[position], new_ends[position + later]
-            s = done[which[d]]
-            place = int(s.places[int(where[d])])
-            parts_e += [before_e, np.array([pick]), new_edges[a:b], new_edges[c:e]]
-            parts_p += [before_p, np.array([place]), new_places[a:b], new_places[c:e]]
+            parts_e += [before_e, [pick], new_edges[a:b], new_edges[c:e]]
+            parts_p += [before_p, place_list[d : d + 1], new_places[a:b], new_places[c:e]]
             first_new[d] = len(before_e) + 1
             sizes[d] = len(before_e) + 1 + b - a + e - c
             old = np.diff(starts[which[d]][doc_words[d] : w + 1])
@@ -357,8 +410,8 @@ def sample_block(lattice: Lattice, word: np.ndarray, offset: np.ndarray, doc_wor
             word_counts.append(np.concatenate([old, [in_word + 1 + b - a], new_count[position : position + later]]))
             head_at, position = head_at + 1, position + later
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        new = np.concatenate(parts_e) if parts_e else np.zeros(0, np.int64)
-        s = Sample(new, np.concatenate(parts_p) if parts_p else np.zeros(0, np.int64), bounds, log_prefix(lattice.log_share[new], bounds), top)
+        new = np.concatenate(parts_e).astype(np.int64) if parts_e else np.zeros(0, np.int64)
+        s = Sample(new, np.concatenate(parts_p).astype(np.int64) if parts_p else np.zeros(0, np.int64), bounds, log_prefix(lattice.log_share[new], bounds), top)
         inside = np.arange(len(new)) - np.repeat(bounds[:-1], sizes)
         branch_out(s, number, np.flatnonzero(inside >= np.repeat(first_new, sizes)))
         done.append(s)
@@ -376,6 +429,7 @@ def words_of(data: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> tuple[np.
 
 
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
+_STORES: dict[tuple, Store] = {}
 
 
 def vocabulary(path: str, alpha: float) -> Vocabulary:
@@ -405,6 +459,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path, alpha)
+        lattice = _STORES.setdefault((model_path, alpha), Store(vocab))
         for batch in batches:
             keys, row = batch.column(1).to_numpy().view(np.uint64), 0
             for n, data, ends in blocks(batch.column(2), 1 << 20):
@@ -413,16 +468,17 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
                 if len(start):
                     sums = byte_sums(text)
                     hashed = run_hash(text, start, stop, sums)
-                    _, first, word = np.unique(hashed, return_index=True, return_inverse=True)
-                    lattice = Lattice(text, sums, start[first], stop[first], vocab)
+                    hashed[hashed == 0] = 1
+                    first = lattice.nodes_of(text, sums, hashed, start, stop)
                     own = np.concatenate([[0], ends])[:-1]
                     offset = start - np.repeat(own, np.diff(doc_words))
-                    found, threshold = sample_block(lattice, word, offset, doc_words, keys[row : row + n], samples)
+                    found, threshold = sample_block(lattice, first, offset, doc_words, keys[row : row + n], samples)
                     for k, s in enumerate(found):
                         yield table_of(s, k, lattice, vocab, text, ends, threshold, batch.column(0).slice(row, n))
                 row += n
+        trim()
 
-    def table_of(s: Sample, k: int, lattice: Lattice, vocab: Vocabulary, text, ends, threshold, ids_column) -> pa.RecordBatch:
+    def table_of(s: Sample, k: int, lattice: Store, vocab: Vocabulary, text, ends, threshold, ids_column) -> pa.RecordBatch:
         ids = lattice.piece[s.edges].astype(np.int32)
         some = np.flatnonzero(np.diff(s.bounds))
         sums = np.concatenate([[0.0], np.cumsum(lattice.log_share[s.edges])])

@@ -251,7 +251,7 @@ def test_samples_follow_the_lattice():
     _, first, word = np.unique(pieces.run_hash(data, start, stop, sums), return_index=True, return_inverse=True)
     lattice = pieces.Lattice(data, sums, start[first], stop[first], v)
     offset = start - np.repeat(np.concatenate([[0], ends])[:-1], np.diff(words))
-    found, threshold = pieces.sample_block(lattice, word, offset, words, mix(np.arange(n, dtype=np.uint64)), 3)
+    found, threshold = pieces.sample_block(lattice, lattice.first[word], offset, words, mix(np.arange(n, dtype=np.uint64)), 3)
     paths = [[tuple(lattice.piece[s.edges[s.bounds[d] : s.bounds[d + 1]]].tolist()) for s in found] for d in range(n)]
     by_text = {t: i for i, t in enumerate(v.texts) if t and i not in set(v.byte_ids.tolist())}
 
