@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import table, trim
 from ledgerlens.llm.shingles import _SPACE, _STEP, _UNSTEP, _odd, _powers, blocks, mix, word_hashes
 
 RUN, WORDS, LONG, CUT = 3, 20, 12, 6
@@ -85,7 +85,7 @@ def _marks(records: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(records["k"]), pa.array(records["p"])], ["k", "p"])
 
 
-def repeated(rows: DataFrame, parts: int, held_records: int = 2_000_000) -> DataFrame:
+def repeated(rows: DataFrame, parts: int, held_records: int = 1_000_000) -> DataFrame:
     """(k, p): the places of all spans but the first of their hash; p = text hash << 40 | sentence << 8 | sentences."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +123,7 @@ def repeated(rows: DataFrame, parts: int, held_records: int = 2_000_000) -> Data
                     yield flush()
         if count:
             yield flush()
+        trim()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -135,12 +136,13 @@ def repeated(rows: DataFrame, parts: int, held_records: int = 2_000_000) -> Data
                     held.append(records)
         if held:
             yield _marks(_firsts(np.concatenate(held))[1])
+        trim()
 
     packed = rows.mapInArrow(scatter, "part int, known boolean, blob binary").repartition(parts, "part")
     return packed.mapInArrow(gather, "k long, p long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 48 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20) -> DataFrame:
     """docs with the text less its repeated sentences, n_sentences, n_removed and removed (spans of code points of the given text)."""
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     made = {"n_sentences", "n_removed", "removed"}
