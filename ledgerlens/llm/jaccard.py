@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table, written
+from ledgerlens.llm.common import table, trim, written
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import mix, shingle_sets
 
@@ -225,10 +225,11 @@ def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, part
                 rows["s"], rows["f"], rows["n"] = s[np.lexsort((s, often))[:first]], f, n
                 held.append(rows)
                 count += first
-                if count > 1_500_000:
+                if count > 750_000:
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     return docs.select("t").mapInArrow(run, "part int, blob binary")
 
@@ -294,11 +295,12 @@ def region_links(members: DataFrame, num: int, den: int) -> DataFrame:
                 rows.append((f, blob.as_py(), side))
         if len(rows) > 1 and (out := finish()):
             yield out
+        trim()
 
     return members.select("region", "f", "side", "blob").mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 24 << 20, task_members: int = 4096) -> DataFrame:
+def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 300_000, task_bytes: int = 24 << 20, task_members: int = 4096) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row: the components of all links."""
     spark = docs.sparkSession
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
