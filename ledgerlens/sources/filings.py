@@ -64,4 +64,23 @@ def write_csv(frame: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+
+
+def coerced(value: Column) -> Column:
+    """A CSV cell as JSON text: null and empty as they are, True and False, whole numbers, other numbers, else a string."""
+    whole, real = value.try_cast("bigint"), value.try_cast("double")
+    return (
+        F.when(value.isin("True", "False"), F.lower(value))
+        .when(value.isNull(), F.lit("null"))
+        .when(value == "", F.lit('""'))
+        .when(whole.isNotNull() & ~value.contains("."), whole.cast("string"))
+        .when(real.isNotNull(), real.cast("string"))
+        .otherwise(F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+    )
+
+
+def read_csv_rows(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The first rows of a CSV, every cell coerced, in the file's column order."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
+    return rows.select(*(coerced(F.col(f"`{c}`")).alias(c) for c in rows.columns)).limit(limit)
