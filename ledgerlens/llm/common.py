@@ -18,6 +18,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def trim() -> None:
     """Gives memory that a worker no longer uses back to the system, where the C library can."""
+    pa.set_memory_pool(pa.system_memory_pool())
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
