@@ -36,20 +36,20 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adslot adsense banner banners promo promos promotion sponsor sponsored
     sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer foot masthead topbar cookie cookies consent gdpr
-    notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended
+    notice notices disclaimer alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended
     recommendations widget widgets comment comments commentlist reply replies respond disqus discussion login search pagination pager
-    toolbar hidden paywall""".split()
+    toolbar hidden paywall feedback reactions""".split()
 )
+REMARKS = frozenset("comment comments reply replies respond".split())
+STATES = frozenset("open closed enabled disabled on off count".split())
 BEFORE = frozenset("has with no without".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SIGMA = 1.0
 
 
-def apart(tag: str, attrs: list, inside: bool) -> bool:
-    """Whether the element is no part of an article; inside: within an article already."""
-    if tag in APART:
-        return not (tag == "header" and inside)
-    if tag in ("html", "body") or not attrs:
+def named_apart(tag: str, attrs: list) -> bool:
+    """Whether role, class or id say that the element is no part of an article."""
+    if tag in ("html", "body"):
         return False
     for key, value in attrs:
         if not value:
@@ -62,7 +62,10 @@ def apart(tag: str, attrs: list, inside: bool) -> bool:
         elif key in ("class", "id"):
             for name in value.split():
                 words = [w.lower() for w in NAME.findall(name)]
-                if any(w in WORDS and not (k and words[k - 1] in BEFORE) for k, w in enumerate(words)) and not (tag in ROOTS and "comment" not in name.lower()):
+                if tag in ROOTS:  # an article is one, unless it is itself a comment
+                    if words and words[0] in REMARKS and not STATES.intersection(words[1:]):
+                        return True
+                elif any(w in WORDS and not (k and words[k - 1] in BEFORE) for k, w in enumerate(words)):
                     return True
         elif key == "aria-hidden" and value.lower() == "true":
             return True
@@ -75,7 +78,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = []  # tag, state, region
-        self.state, self.region, self.regions = 0, 0, 0  # state: 0 text, 1 marked, 2 silent
+        self.state, self.region, self.regions = 0, 0, 0  # state: 0 text, 1 marked by name, 2 marked by tag, 3 silent
         self.text: list[str] = []
         self.link = self.linked = self.tags = 0
         self.lines: list[tuple[str, int, int, int, bool]] = []
@@ -85,13 +88,18 @@ class Lines(HTMLParser):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.linked, self.region, self.state == 1))
+                self.lines.append((line, self.tags, self.linked, self.region, self.state > 0))
                 self.tags = 0
             self.text, self.linked = [], 0
 
+    def end_line_as(self, state: int) -> None:
+        now, self.state = self.state, state
+        self.end_line()
+        self.state = now
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.end_line()
         if tag in VOID:
             return
@@ -99,11 +107,18 @@ class Lines(HTMLParser):
         if tag == "a":
             self.link += 1
         if tag in SILENT:
-            self.state = 2
-        elif self.state == 0 and apart(tag, attrs, self.region in self.rooted):
-            self.end_line()
-            self.state = 1
-        if tag in ROOTS and self.region not in self.rooted:
+            self.state = 3
+        elif self.state < 2:
+            before = self.state
+            if tag in APART and not (tag == "header" and self.region in self.rooted):
+                self.state = 2
+            elif attrs and named_apart(tag, attrs):
+                self.state = 1
+            elif tag in ROOTS and not self.rooted:
+                self.state = 0  # the first article counts, whatever the name of a wrapper around it says
+            if self.state != before:
+                self.end_line_as(before)
+        if tag in ROOTS and self.state == 0 and self.region not in self.rooted:
             self.regions += 1
             self.region = self.regions
             self.rooted.add(self.region)
@@ -118,7 +133,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.end_line()
         if tag in VOID or not any(x[0] == tag for x in self.stack):
             return
@@ -127,14 +142,14 @@ class Lines(HTMLParser):
             name, state, region = self.stack.pop()
             if name == "a":
                 self.link = max(0, self.link - 1)
-            if state != self.state or region != self.region:
+            if (state != self.state and self.state < 3) or region != self.region:
                 self.end_line()
             self.state, self.region = state, region
             if name == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.state < 2:
+        if self.state < 3:
             self.text.append(data)
             if self.link:
                 self.linked += len(data)

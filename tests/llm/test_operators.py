@@ -132,6 +132,12 @@ def test_main_text():
     assert html.main_text(plain) == "T\nText of the page that is long enough to be content.\nok"
 
 
+def test_names_around_and_within_an_article():
+    wrapped = '<body><div class="layout-sidebar share-on"><article class="post comments-open"><header><h1>H</h1></header><p>a<script>x</script>b</p><p class="notice">n</p><p>text</p></article><div class=comments><article><p>a long remark by a reader of this page</p></article></div></div>'
+    assert html.main_text(wrapped) == "H\nab\ntext"
+    assert html.main_text("<main><p>one<br>two</p><aside>x</aside><table><tr><td>c</td><td>d</td></tr></table><div role=complementary>z</div></main>") == "one\ntwo\nc\nd"
+
+
 def test_extract_text_replaces_clashing_columns(spark):
     rows = spark.createDataFrame([(1, PAGE, "old", "keep"), (2, None, "old", "keep")], "page_id long, html string, TEXT string, more string")
     got = {r.page_id: r for r in html.extract_text(rows).collect()}
