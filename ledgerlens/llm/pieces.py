@@ -61,8 +61,7 @@ class Vocabulary:
                 weights[i] = alpha * max(model.get_score(i), -count)
         self.texts = texts
         self.lengths = np.array([len(t) for t in texts], np.int64)
-        self.flat = np.frombuffer(b"".join(texts), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.sums = np.array([int(byte_sums(np.frombuffer(t, np.uint8))[-1]) for t in texts], np.uint64)
         normal = np.array([i for i in range(count) if len(texts[i]) and not model.is_byte(i)])
         self.weights, self.fallback = weights, float(weights.min()) - 1.0
         keys = np.array([self._hash(texts[i]) for i in normal], np.uint64)
@@ -75,10 +74,10 @@ class Vocabulary:
         self.most_alike = int(np.bincount(upper).max())
         self.keys = np.append(self.keys, np.uint64(0))
         # bytes that stand side by side within some piece
-        self.joined = np.zeros((256, 256), bool)
+        self.joined = np.zeros(1 << 16, bool)
         for i in normal:
             own = np.frombuffer(texts[i], np.uint8)
-            self.joined[own[:-1], own[1:]] = True
+            self.joined[own[:-1].astype(np.uint16) << 8 | own[1:]] = True
         self.longest = max(len(texts[i]) for i in normal)
         beginnings = {self._hash(t[:k]) for t in (texts[i] for i in normal) for k in range(1, len(t))}
         # whether a hash may be that of a beginning, by its upper bits
@@ -242,7 +241,8 @@ class Store:
         self.begin[n : n + len(own.begin)] = own.begin + e
         self.edges, self.nodes = e + len(own.source), n + len(own.begin) - 1
         self.table.add(new, (own.first + n).astype(np.int32))
-        return self.table.find(hashed)
+        out[missing] = self.table.find(hashed[missing])
+        return out
 
 
 def uniform(key: np.ndarray, sample: int, purpose: int, place: np.ndarray) -> np.ndarray:
@@ -422,7 +422,7 @@ def sample_block(lattice: Lattice | Store, first: np.ndarray, offset: np.ndarray
 def words_of(data: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bounds in data and the rows' first words: a word begins at a row's start, and wherever no piece can cross."""
     head = np.ones(len(data) + 1, bool)
-    head[1:-1] = ~vocab.joined[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)
+    head[1:-1] = ~vocab.joined.take(data[:-1].astype(np.uint16) << 8 | data[1:]) & ((data[1:] & 0xC0) != 0x80)
     head[np.concatenate([[0], ends])] = True
     at = np.flatnonzero(head)
     return at[:-1], at[1:], np.searchsorted(at[:-1], np.concatenate([[0], ends]))
@@ -474,27 +474,29 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
                     offset = start - np.repeat(own, np.diff(doc_words))
                     found, threshold = sample_block(lattice, first, offset, doc_words, keys[row : row + n], samples)
                     for k, s in enumerate(found):
-                        yield table_of(s, k, lattice, vocab, text, ends, threshold, batch.column(0).slice(row, n))
+                        yield table_of(s, k, lattice, vocab, text, sums, ends, threshold, batch.column(0).slice(row, n))
                 row += n
         trim()
 
-    def table_of(s: Sample, k: int, lattice: Store, vocab: Vocabulary, text, ends, threshold, ids_column) -> pa.RecordBatch:
+    def table_of(s: Sample, k: int, lattice: Store, vocab: Vocabulary, text, sums, ends, threshold, ids_column) -> pa.RecordBatch:
         ids = lattice.piece[s.edges].astype(np.int32)
         some = np.flatnonzero(np.diff(s.bounds))
-        sums = np.concatenate([[0.0], np.cumsum(lattice.log_share[s.edges])])
-        log_prob = sums[s.bounds[1:]] - sums[s.bounds[:-1]]
+        logs = np.concatenate([[0.0], np.cumsum(lattice.log_share[s.edges])])
+        log_prob = logs[s.bounds[1:]] - logs[s.bounds[:-1]]
         with np.errstate(over="ignore"):
             inclusion = -np.expm1(-np.exp(np.minimum(log_prob - threshold, 700.0)))
         size = vocab.lengths[ids]
         after = np.cumsum(size)
-        plain = vocab.flat[np.repeat(vocab.starts[ids] - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
-        edge = np.concatenate([[0], after])[s.bounds]
+        # the bytes of the pieces, each at its place, as one sum a text: the same as that of the text's own bytes
         begin = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], after])[s.bounds]
+        at = after - size - np.repeat(bounds[:-1] - begin[:-1], np.diff(s.bounds))
+        whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vocab.sums[ids] * _powers(_STEP, len(text) + 1)[np.minimum(at, len(text))], dtype=np.uint64)])
+        same = (whole[s.bounds[1:]] - whole[s.bounds[:-1]] == sums[ends] - sums[begin[:-1]]) & (np.diff(bounds) == np.diff(begin))
         raw, little = memoryview(ids.astype("<u4")).cast("B"), s.bounds.tolist()
         crcs = [zlib.crc32(raw[4 * little[d] : 4 * little[d + 1]]) for d in some.tolist()]
-        same = [bool(np.array_equal(plain[edge[d] : edge[d + 1]], text[begin[d] : begin[d + 1]])) for d in some.tolist()]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], s.bounds[1:][some]]), pa.int32()), pa.array(ids))
-        columns = [ids_column.take(pa.array(some)), pa.array(np.full(len(some), k + 1, np.int32)), pa.array(np.diff(s.bounds)[some]), lists, pa.array(crcs, pa.int64()), pa.array(log_prob[some]), pa.array(s.gumbel[some]), pa.array(inclusion[some]), pa.array(same)]
+        columns = [ids_column.take(pa.array(some)), pa.array(np.full(len(some), k + 1, np.int32)), pa.array(np.diff(s.bounds)[some]), lists, pa.array(crcs, pa.int64()), pa.array(log_prob[some]), pa.array(s.gumbel[some]), pa.array(inclusion[some]), pa.array(same[some])]
         return pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, schema)
