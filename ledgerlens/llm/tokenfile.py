@@ -263,7 +263,7 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, segment_ids: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, segment_ids: int = 250_000, most_parts: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Encodes and writes all texts.
 
     Returns the written segments (part, seq, segment) and the parts' first ids (part, base).
@@ -271,7 +271,8 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(key.alias("k"), text.alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
-    parts = max(1, -(-total // part_bytes))
+    # most_parts bounds the list of cuts that every task holds; a larger part only sorts longer
+    parts = min(most_parts, max(1, -(-total // part_bytes)))
     cuts = (rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("c")).first().c or []) if parts > 1 else []
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
