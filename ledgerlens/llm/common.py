@@ -53,6 +53,9 @@ def written(df: DataFrame, what: str, batch_rows: int = 1000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    # later reads need the files, so they go with the application
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
