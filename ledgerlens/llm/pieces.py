@@ -447,13 +447,14 @@ def prefixed(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.cumsum(np.where(sizes > 0, sizes + 1, 0))
 
 
-def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, packed: bool = False) -> DataFrame:
     """A row for each sample of each text: id_col, sample (from 1), n_pieces, ids, ids_crc32, log_prob, gumbel, inclusion, round_trip.
 
-    round_trip says that the ids decode to the text.
+    round_trip says that the ids decode to the text.  With packed, ids are little-endian 32-bit numbers in
+    one binary value instead of an array.
     """
     rows = docs.select(F.col(f"`{id_col}`"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("__key"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    kinds = "sample int, n_pieces long, ids array<int>, ids_crc32 long, log_prob double, gumbel double, inclusion double, round_trip boolean"
+    kinds = f"sample int, n_pieces long, ids {'binary' if packed else 'array<int>'}, ids_crc32 long, log_prob double, gumbel double, inclusion double, round_trip boolean"
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {kinds}"
     names = [id_col, "sample", "n_pieces", "ids", "ids_crc32", "log_prob", "gumbel", "inclusion", "round_trip"]
 
@@ -495,7 +496,8 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
         same = (whole[s.bounds[1:]] - whole[s.bounds[:-1]] == sums[ends] - sums[begin[:-1]]) & (np.diff(bounds) == np.diff(begin))
         raw, little = memoryview(ids.astype("<u4")).cast("B"), s.bounds.tolist()
         crcs = [zlib.crc32(raw[4 * little[d] : 4 * little[d + 1]]) for d in some.tolist()]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], s.bounds[1:][some]]), pa.int32()), pa.array(ids))
+        cuts = np.concatenate([[0], s.bounds[1:][some]]).astype(np.int32)
+        lists = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts * np.int32(4)), pa.py_buffer(ids)]) if packed else pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
         columns = [ids_column.take(pa.array(some)), pa.array(np.full(len(some), k + 1, np.int32)), pa.array(np.diff(s.bounds)[some]), lists, pa.array(crcs, pa.int64()), pa.array(log_prob[some]), pa.array(s.gumbel[some]), pa.array(inclusion[some]), pa.array(same[some])]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -510,6 +512,8 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
         if ids is None:
             return None
         pieces = vocabulary(model_path, ALPHA).texts
+        if isinstance(ids, (bytes, bytearray)):
+            ids = np.frombuffer(ids, "<i4").tolist()
         return b"".join(pieces[i] for i in ids).decode("utf-8", "replace").removeprefix(" ")
 
     return encoded.withColumn(text_col, text(F.col(f"`{ids_col}`")))
@@ -518,4 +522,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
 def op5_sentencepiece_sampling(spark, sf_dir):
     import public_tokenizers
 
-    return segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)

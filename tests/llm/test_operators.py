@@ -285,6 +285,8 @@ def test_segments_decode_to_the_text(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = pieces.segment(docs, path, samples=3)
     got = pieces.decode(rows, path).collect()
+    small = pieces.decode(pieces.segment(docs, path, samples=3, packed=True), path).collect()
+    assert Counter((r.doc_id, r.sample, tuple(np.frombuffer(r.ids, "<i4").tolist()), r.text) for r in small) == Counter((r.doc_id, r.sample, tuple(r.ids), r.text) for r in got)
     sources = {r.doc_id: r.text for r in docs.collect() if r.doc_id != 3}
     assert all(r.round_trip for r in got) and all(r.text == sources[r.doc_id] for r in got if r.doc_id != 3)
     assert {r.doc_id for r in got if r.doc_id is not None} == {k for k, t in sources.items() if t and k is not None} | {3}
