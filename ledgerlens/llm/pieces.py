@@ -209,7 +209,7 @@ class Store:
 
     PARTS = ("source", "target", "step", "piece", "log_share", "share", "upto", "others")
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 2_500_000) -> None:
+    def __init__(self, vocab: Vocabulary, most_edges: int = 1_500_000) -> None:
         self.vocab, self.most = vocab, most_edges
         self.forget()
 
@@ -462,7 +462,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
         vocab = vocabulary(model_path, alpha)
         lattice = _STORES.setdefault((model_path, alpha), Store(vocab))
         for batch in batches:
-            keys, row = batch.column(1).to_numpy().view(np.uint64), 0
+            keys, row, worked = batch.column(1).to_numpy().view(np.uint64), 0, 0
             for n, data, ends in blocks(batch.column(2), 1 << 20):
                 text, ends = prefixed(data, ends)
                 start, stop, doc_words = words_of(text, ends, vocab) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
@@ -477,6 +477,9 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
                     for k, s in enumerate(found):
                         yield table_of(s, k, lattice, vocab, text, sums, ends, threshold, batch.column(0).slice(row, n))
                 row += n
+                worked += 1
+                if worked % 4 == 0:
+                    trim()
         trim()
 
     def table_of(s: Sample, k: int, lattice: Store, vocab: Vocabulary, text, sums, ends, threshold, ids_column) -> pa.RecordBatch:
