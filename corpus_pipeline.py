@@ -9,7 +9,8 @@ one's docs, so that a stage that is lost is made again from files.
    with that id, one);
 3. substring dedup: repeated sentences go from the texts, which keep their rows;
 4. mixing sources: a row for each time that a document is taken, a last one cut to the words it gives;
-5. SentencePiece: a row for each sampled segmentation of each document.
+5. SentencePiece: a row for each sampled segmentation of each document, its ids as little-endian
+   32-bit numbers in one binary value.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"), packed=True)
 
 
 STAGES = [
