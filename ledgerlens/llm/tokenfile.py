@@ -32,7 +32,7 @@ from ledgerlens.llm.hashtable import HashTable
 from ledgerlens.llm.shingles import blocks, run_hashes
 
 LIMIT, STRIDE, MAGIC = 16, 64, b"LLTOK001"
-CACHE_WORDS, LEARN = 500_000, 2048
+CACHE_WORDS, LEARN = 800_000, 2048
 
 
 # ---- the code ----
@@ -291,8 +291,6 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
                 part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, pa.array(sizes + 1, pa.int64()), blobs], ["part", "k", "n", "ids"])
                 row += n
-                del ids, sizes, ends, offsets, blobs, keys, part, data
-            trim()
         trim()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "k", "n", "ids"])
 
@@ -319,7 +317,6 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
             nonlocal keys, counts, blobs, held, seq, before
             ids = np.frombuffer(b"".join(blobs), kind)
             row = (part, seq, pack_segment(keys, np.array(counts, np.int64), before, ids, codes, lengths))
-            trim()
             seq, before, held, keys, counts, blobs = seq + 1, before + len(ids), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["part", "seq", "segment"])
 
@@ -360,7 +357,7 @@ def read_token_file(segments: DataFrame, bases: DataFrame, id_col: str = "doc_id
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(raw.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["part", "k", "s", "n_tokens", "ids_crc32", "ids"][: len(columns)])
-            trim()
+        trim()
 
     schema = "part int, k long, s long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     rows = segments.select("part", "segment").mapInArrow(unpack, schema).join(bases, "part")
