@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_ngram_jaccard_join": OP2_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op7_exact_topk": OP7_SQL}

@@ -497,3 +497,9 @@ def test_pipeline_stages(spark):
     assert seen[0] > seen[1] > seen[2] == seen[3]
     last = cp.STAGES[-1][1](spark, docs, d)
     assert last.filter("not round_trip").count() == 0 and last.count() > seen[4]
+
+
+def test_registered_sql_is_text_for_registered_queries():
+    from ledgerlens.llm import registry
+
+    assert all(isinstance(v, str) for v in registry.oracle_sql().values()) and set(registry.oracle_sql()) <= set(registry.queries())
