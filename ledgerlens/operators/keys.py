@@ -3,30 +3,69 @@
 A record's focal company enters (or renames its ticker) at its position; an admitted company relation
 takes the first entry whose ticker or name it equals, whatever the case, else a slug, whose first
 mention enters as a placeholder.  Closed form: focal versions are valid until the next version of
-their ticker (lead); a mention joins the versions of its lower-cased text by equality and takes the
-ticker that entered first; slugs without such a version have a first mention; a placeholder wins
-over a focal company if it entered before and bears the text.
+their ticker (lead); a mention takes the ticker that entered first among the versions of its
+lower-cased text that are valid at its record; slugs without such a version have a first mention; a
+placeholder wins over a focal company if it entered before and bears the text.
+
+Validity is joined by equality alone: a version's interval is cut into the nodes of a tree over the
+records, 16 to a node, each node keeps its first ticker, and a mention asks the node above it at each
+level.  A node and text has one row, so rows grow with the input however often a text is a name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import graph_slug
 
 
+FAN = 16
+
+
+def _floor(x: Column, level: int) -> Column:
+    return F.shiftright(x, 4 * level)
+
+
+def _nodes(start: Column, end: Column, levels: int) -> Column:
+    """Array of (level, node) that together cover start to end - 1 and nothing else."""
+    up = lambda level: -_floor(-start, level)
+    named = lambda level: lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    parts = []
+    for level in range(levels):
+        lo, hi = up(level), _floor(end, level)
+        nodes = span(lo, hi)
+        if level < levels - 1:
+            a, b = up(level + 1), _floor(end, level + 1)
+            nodes = F.when(a < b, F.concat(span(lo, a * FAN), span(b * FAN, hi))).otherwise(nodes)
+        parts.append(F.transform(nodes, named(level)))
+    return F.concat(*parts)
+
+
 def company_keys(focal: DataFrame, mentions: DataFrame) -> DataFrame:
     """focal: (rec, ticker, name); mentions: (rec, rel, mention), rel from 0.  Returns mentions with company_key."""
+    least, most = focal.agg(F.min("rec"), F.max("rec")).first()
+    least, most = least or 0, most or 0
+    levels = 1
+    while most - least >= FAN**levels:
+        levels += 1
+    at = F.col("rec").cast("long") - least
     own = Window.partitionBy("ticker").orderBy("rec")
-    versions = focal.select("ticker", "name", "rec", F.lead("rec").over(own).alias("next"), F.min("rec").over(Window.partitionBy("ticker")).alias("entered"))
-    words = versions.select("ticker", "rec", "next", "entered", F.explode(F.array_distinct(F.array(F.lower("ticker"), F.lower("name")))).alias("word"))
+    entered = focal.groupBy("ticker").agg(F.min("rec").alias("entered"))
+    end = F.lit(most + 1 - least).cast("long")
+    # a ticker is valid from its entry on, a name until the ticker's next version
+    names = focal.select("ticker", F.lower("name").alias("word"), at.alias("start"), F.coalesce(F.lead(at).over(own), end).alias("end")).filter("word <> lower(ticker)").join(entered, "ticker")
+    tickers = entered.select("ticker", F.lower("ticker").alias("word"), (F.col("entered").cast("long") - least).alias("start"), end.alias("end"), "entered")
+    cover = names.unionByName(tickers).select("word", F.struct("entered", "ticker").alias("hit"), F.explode(_nodes(F.col("start"), F.col("end"), levels)).alias("n"))
+    cover = cover.groupBy("word", "n.level", "n.node").agg(F.min("hit").alias("hit"))
     asked = mentions.withColumn("word", F.lower("mention")).withColumn("slug", graph_slug(F.col("mention")))
-    # a focal row stands before the relations of its own record
-    valid = (F.col("f.rec") <= F.col("m.rec")) & (F.col("f.next").isNull() | (F.col("m.rec") < F.col("f.next")))
-    hits = asked.alias("m").join(words.alias("f"), (F.col("m.word") == F.col("f.word")) & valid)
-    best = hits.groupBy("m.rec", "m.rel", "m.mention").agg(F.min(F.struct("f.entered", "f.ticker")).alias("hit"))
-    found = asked.join(best, ["rec", "rel", "mention"], "left")
+    # a focal row stands before the relations of its own record; after the last one nothing changes
+    seen = F.least(at, end - 1)
+    above = F.array(*[F.struct(F.lit(k).alias("level"), _floor(seen, k).alias("node")) for k in range(levels)])
+    points = asked.select("word", "rec").distinct().filter(F.col("rec") >= least).select("word", "rec", F.explode(above).alias("n")).select("word", "rec", "n.*")
+    best = points.join(cover, ["word", "level", "node"]).groupBy("word", "rec").agg(F.min("hit").alias("hit"))
+    found = asked.join(best, ["word", "rec"], "left")
     first = found.filter("hit is null").groupBy("slug").agg(F.min(F.struct("rec", "rel", "word")).alias("p"))
     rows = found.join(first, "slug", "left")
     before = F.struct(F.col("p.rec"), F.col("p.rel")) < F.struct(F.col("rec"), F.col("rel"))

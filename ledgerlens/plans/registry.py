@@ -62,7 +62,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _key_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    o, li = i.table("orders").filter("o_orderkey < 2000"), i.table("lineitem").filter("l_orderkey < 2000")
+    o, li = i.table("orders"), i.table("lineitem")
     ticker = F.concat(F.lit("SUP"), (F.col("o_custkey") % 40).cast("string"))
     focal = o.select(F.col("o_orderkey").alias("rec"), ticker.alias("ticker"), F.when(F.col("o_orderkey") % 3 == 0, ticker).otherwise(F.concat(F.lit("Firm "), (F.col("o_custkey") % 25).cast("string"))).alias("name"))
     p = F.col("l_partkey")
