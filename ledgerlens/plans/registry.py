@@ -119,13 +119,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         used = F.lit(502) + F.coalesce(F.sum(F.length("part") + 2).over(Window.partitionBy("id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return rows.withColumn("used", used).filter("used < 1000").groupBy("id").agg(F.count("*").alias("n_parts"), F.sum(F.length("part")).alias("n_chars"))
 
+    def exact_all(spark, d):
+        index = _index(spark, d)
+        return resolve.resolve_exact(index.select(F.lower("ticker").alias("mention")), index)
+
     def exact(spark, d):
+        # its SQL asks the even ones only; org_resolution_exact_all asks all
         index = _index(spark, d)
         return resolve.resolve_exact(index.filter("ord % 2 = 0").select(F.lower("ticker").alias("mention")), index)
 
     def fuzzy(spark, d):
         index = _index(spark, d)
-        return resolve.resolve(index.filter("ord <= 40").select(F.concat(F.col("name"), F.lit(" Holdings")).alias("mention")), index.filter("ord <= 400"))
+        return resolve.resolve(index.select(F.concat(F.col("name"), F.lit(" Holdings")).alias("mention")), index)
 
     named = ["c.ticker", "n.label", "n.name"]
     return {
@@ -187,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "business_profile": lambda spark, d: extract.business_profile(_texts(spark, d), "id", "text", "focal").select("id", "predicate", "object"),
         "excerpt_budget": excerpts,
         "org_resolution_exact": exact,
+        "org_resolution_exact_all": exact_all,
         "org_resolution_fuzzy": fuzzy,
         "cik_left_join": lambda spark, d: cik_join(Inputs(spark, d).table("supplier").select(F.col("s_name").alias("ticker")), Inputs(spark, d).table("supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_name").alias("ticker"), F.col("s_suppkey").alias("cik"), F.lit(1).alias("ord"))).select("ticker", "cik"),
         "latest_filing_by_form": lambda spark, d: latest_of_form(_recent(spark, d), "10-1-URGENT").select("cik", "accession_number"),

@@ -5,7 +5,7 @@ import random
 import duckdb
 from test_engine import _sequential
 
-from ledgerlens.operators import keys
+from ledgerlens.operators import keys, resolve
 from ledgerlens.plans import oracle, registry
 
 
@@ -29,3 +29,20 @@ def test_company_key_resolution_reads_whole_tables(spark):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     want = c.sql(f"SELECT rec, rel, mention, company_key FROM ({oracle.oracle()['company_key_resolution']})").fetchall()
     assert sorted(map(tuple, got.filter("rec < 2000").collect())) == sorted(want)
+
+
+def _fuzzy(mention, names):
+    """(matched_name, score) by brute force: the first of the best names."""
+    best = max(names, key=lambda n: resolve.token_set_ratio(mention, n))
+    score = resolve.token_set_ratio(mention, best)
+    return best if score >= resolve.THRESHOLD else None, score
+
+
+def test_org_resolution_asks_every_supplier(spark):
+    d = "/root/testdata/sf0.01"
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").collect()
+    exact = {r.mention: r.matched_name for r in registry.queries()["org_resolution_exact_all"](spark, d).collect()}
+    assert exact == {f"sup{r.s_suppkey}": r.s_name for r in suppliers}
+    names = [r.s_name for r in sorted(suppliers, key=lambda r: r.s_suppkey)]
+    fuzzy = {r.mention: (r.matched_name, r.score) for r in registry.queries()["org_resolution_fuzzy"](spark, d).collect()}
+    assert fuzzy == {f"{n} Holdings": _fuzzy(f"{n} Holdings", names) for n in names}
