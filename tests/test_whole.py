@@ -46,3 +46,24 @@ def test_org_resolution_asks_every_supplier(spark):
     names = [r.s_name for r in sorted(suppliers, key=lambda r: r.s_suppkey)]
     fuzzy = {r.mention: (r.matched_name, r.score) for r in registry.queries()["org_resolution_fuzzy"](spark, d).collect()}
     assert fuzzy == {f"{n} Holdings": _fuzzy(f"{n} Holdings", names) for n in names}
+
+
+def test_resolve_in_blocks_against_brute_force(spark):
+    rng = random.Random(7)
+    words = ["Steel", "Steal", "Works", "Work", "Inc", "Group", "Harbor", "Harbour", "Lights", "Light"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    names = list(dict.fromkeys(["", *(some() for _ in range(60)), "International Machinery"]))
+    asked = {some() for _ in range(40)} | {"International Machinary", "Harbur Lihgts", "zzz", "Steel  Works Incorporated", "Wörks\u00a0Inc", ""}
+    index = spark.createDataFrame([(k, f"T{k}", n, k) for k, n in enumerate(names)], "ord int, ticker string, name string, cik long")
+    mentions = spark.createDataFrame([(m,) for m in sorted(asked)], "mention string")
+    want = {m: _fuzzy(m, names) for m in asked}
+    got = {r.mention: r for r in resolve.resolve(mentions, index, block=9).collect()}
+    assert {m: (r.matched_name, r.score) for m, r in got.items()} == want
+    assert all(r.ticker == (f"T{names.index(r.matched_name)}" if r.matched_name else None) for r in got.values())
+    assert {s < resolve.THRESHOLD for _, s in want.values()} == {True, False} and max(s for _, s in want.values() if s < 100) > resolve.THRESHOLD
+
+
+def test_resolve_has_no_most_names(spark):
+    index = spark.range(50_001).selectExpr("id as ord", "concat('T', id) as ticker", "concat('Name', id, ' Co') as name", "id as cik")
+    rows = resolve.resolve(spark.createDataFrame([("Co Name50000",), ("t7",), ("Name49999 Holdings Co",)], "mention string"), index).collect()
+    assert {r.mention: (r.ticker, r.score) for r in rows} == {"Co Name50000": ("T50000", 100.0), "t7": ("T7", 100.0), "Name49999 Holdings Co": ("T49999", 100.0)}
