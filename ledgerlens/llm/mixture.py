@@ -7,8 +7,8 @@ form: the capped sources are those with the least ratio of cap to weight).
 Draw: a source's documents lie in hashed blocks.  Whole passes take every block; the rest of the
 target takes blocks in the order of a seeded permutation, the last of them only in part, so that the
 source's words come out exact to a word.  All block draws are ranked by one seeded permutation, and
-the ranks are halved recursively among the output shards: given the quotas of a node, those of its
-halves are multivariate hypergeometric, blocks are disjoint, and the leaves are the shards.  Ranks are
+the ranks are cut into equal ranges, one for each output shard.  This replaces a tree whose nodes split
+source quotas by multivariate hypergeometric draws; the law of the shards is the same.  Ranks are
 made in parallel, from the counts of hash ranges and a row number within each range.  Documents then
 get a place in their shard by a local shuffle of seeded hashes.
 
