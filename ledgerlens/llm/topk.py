@@ -3,10 +3,10 @@
 Vectors are terms (dimensions) with weights.  Candidates lie in shards, each held as postings: a
 column of weights for each dimension with its least and greatest value.  For a query, a dimension's
 contribution lies between bounds taken from those; terms are put in order of the width of their
-bounds.  The shard's threshold is the k-th score known so far.  Terms from which on all bounds together
-cannot lift a candidate over the threshold are not essential: the essential postings are traversed for
-all candidates first, the others are probed only for candidates that are still competitive, term
-group by term group.  The best of all shards are merged for each query.
+bounds.  The shard's threshold is the k-th score of 4 * k trial rows and is not raised later.  Terms go
+in a fixed number of groups of equal count, not split by the bounds: the first group's postings are
+traversed for all candidates, each further group's only for those that the bounds of the terms left
+can still lift to the threshold.  The best of all shards are merged for each query.
 
 Queries come in blocks and meet every candidate shard once: a stated query set against all rows.  A
 query whose own row is a candidate skips it.  Results are whole: ties of score go to the smaller id.
