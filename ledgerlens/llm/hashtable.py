@@ -9,6 +9,7 @@ class HashTable:
     """Open addresses; 0 is no key.  Room for ``most`` keys with a load of at most a half."""
 
     def __init__(self, most: int) -> None:
+        self.most = most
         self.mask = (1 << (2 * most).bit_length()) - 1
         self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
         self.count = 0
@@ -40,3 +41,9 @@ class HashTable:
             go = np.ones(len(left), bool)
             go[won] = False
             left, at = left[go], (at[go] + 1) & self.mask
+
+    def wider(self, most: int) -> HashTable:
+        """A table with the same keys and room for more."""
+        out, used = HashTable(most), self.keys != 0
+        out.add(self.keys[used], self.values[used])
+        return out

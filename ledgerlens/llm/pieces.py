@@ -78,6 +78,7 @@ class Vocabulary:
         for i in normal:
             own = np.frombuffer(texts[i], np.uint8)
             self.joined[own[:-1].astype(np.uint16) << 8 | own[1:]] = True
+        self.id_type = np.uint16 if count <= 1 << 16 else np.int32
         self.longest = max(len(texts[i]) for i in normal)
         beginnings = {self._hash(t[:k]) for t in (texts[i] for i in normal) for k in range(1, len(t))}
         # whether a hash may be that of a beginning, by its upper bits
@@ -184,65 +185,113 @@ class Lattice:
             a, b = edge_at[k], edge_at[k + 1]
             if b > a:
                 beta[owner[head_at[k] : head_at[k + 1]]] = np.logaddexp.reduceat(weight[a:b] + beta[target[a:b]], head[head_at[k] : head_at[k + 1]] - a)
-        self.log_share = weight + beta[target] - beta[source]
-        self.log_share = np.round(self.log_share * FIXED) / FIXED  # sums of these are exact in any order
-        self.share = np.exp(self.log_share)
-        self.source, self.target, self.step = source.astype(np.int32), target.astype(np.int32), step.astype(np.int32)
+        # whole multiples of 1 / FIXED: sums of these are exact in any order
+        fixed = np.clip(np.round((weight + beta[target] - beta[source]) * FIXED), -(2.0**31) + 1, 0)
+        self.log_share = fixed.astype(np.int32)
+        share = np.exp(fixed / FIXED)
+        self.target, self.step, self.piece = target.astype(np.int32), step.astype(np.uint8), self.piece.astype(vocab.id_type)
         self.begin = np.zeros(nodes + 1, np.int32)
         self.begin[1:] = np.cumsum(np.bincount(source, minlength=nodes))
         # sums of shares up to each edge within its node, and what its other edges have (0 where there are none)
         many = np.diff(np.append(head, len(source)))
         # (in whole numbers, which wrap: the same whatever stands before the node)
-        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.share * 2.0**53).astype(np.uint64), dtype=np.uint64)])
-        self.upto = (before[1:] - np.repeat(before[head], many)).astype(np.float64) * 2.0**-53
-        top = np.maximum.reduceat(self.share, head) if len(head) else self.share
-        is_top = np.flatnonzero(self.share == np.repeat(top, many))
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum((share * 2.0**53).astype(np.uint64), dtype=np.uint64)])
+        self.upto = np.minimum(before[1:] - np.repeat(before[head], many) >> np.uint64(21), np.uint64(2**32 - 1)).astype(np.uint32)
+        top = np.maximum.reduceat(share, head) if len(head) else share
+        is_top = np.flatnonzero(share == np.repeat(top, many))
         first_top = np.zeros(len(source), bool)
         of = np.repeat(np.arange(len(head)), many)[is_top]
         first_top[is_top[np.concatenate([[True], of[1:] != of[:-1]])] if len(of) else is_top] = True
-        rest = np.add.reduceat(np.where(first_top, 0.0, self.share), head) if len(head) else self.share
-        self.others = np.where(first_top, np.repeat(rest, many), np.repeat(rest + top, many) - self.share)
+        rest = np.add.reduceat(np.where(first_top, 0.0, share), head) if len(head) else share
+        self.others = np.where(first_top, np.repeat(rest, many), np.repeat(rest + top, many) - share).astype(np.float32)
+
+
+def source_of(lattice: Lattice | Store, edge: np.ndarray) -> np.ndarray:
+    """The node that each edge leaves."""
+    return np.searchsorted(lattice.begin, edge, "right") - 1
+
+
+def logs_of(lattice: Lattice | Store, edge: np.ndarray) -> np.ndarray:
+    """The edges' log shares."""
+    return lattice.log_share[edge] / FIXED
 
 
 class Store:
-    """Lattices of the words seen lately, one after the other, in arrays of bounded size; emptied when they are full."""
+    """Lattices of the words seen lately, one after the other; emptied when they hold most_edges.
 
-    PARTS = ("source", "target", "step", "piece", "log_share", "share", "upto", "others")
+    An edge takes 16 bytes.  A block of rows that needs more room has it for that block alone.  New
+    words are built about WORD_BYTES of them at a time, which bounds what is made on the way.
+    """
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 2_500_000) -> None:
-        self.vocab, self.most = vocab, most_edges
+    PARTS = ("target", "step", "piece", "log_share", "upto", "others")
+    WORD_BYTES = 1 << 16
+
+    def __init__(self, vocab: Vocabulary, most_edges: int = 2_000_000) -> None:
+        self.vocab, self.most, self.room = vocab, most_edges, 0
+        self.kinds = {"target": np.int32, "step": np.uint8, "piece": vocab.id_type, "log_share": np.int32, "upto": np.uint32, "others": np.float32}
         self.forget()
 
     def forget(self) -> None:
-        self.table = HashTable(self.most // 4)
+        """Drops all lattices, and room beyond the usual."""
         self.edges = self.nodes = 0
-        self.begin = np.zeros(self.most + 1, np.int32)
-        for name in self.PARTS:
-            setattr(self, name, np.zeros(self.most, np.int32 if name in self.PARTS[:4] else np.float64))
+        self.table = HashTable(self.most // 8)
+        if self.room != self.most:
+            self.room = self.most
+            self.starts = np.zeros(self.room + 1, np.int32)
+            for name in self.PARTS:
+                setattr(self, name, np.empty(self.room, self.kinds[name]))
+
+    @property
+    def begin(self) -> np.ndarray:
+        return self.starts[: self.nodes + 1]
+
+    def widen(self, edges: int) -> None:
+        self.room = max(edges, self.room + self.room // 2)
+        for name in ("starts", *self.PARTS):
+            old = getattr(self, name)
+            new = np.empty(self.room + (name == "starts"), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def learn(self, text: np.ndarray, sums: np.ndarray, hashed: np.ndarray, start: np.ndarray, stop: np.ndarray, must: bool) -> bool:
+        """Adds distinct new words; False if they don't fit and need not."""
+        if self.table.count + len(hashed) > self.table.most:
+            if not must:
+                return False
+            self.table = self.table.wider(self.table.count + len(hashed))
+        cuts = np.flatnonzero(np.diff(np.cumsum(stop - start) // self.WORD_BYTES, prepend=0, append=-1))
+        for a, b in zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist()):
+            if a == b:
+                continue
+            own = Lattice(text, sums, start[a:b], stop[a:b], self.vocab)
+            e, n = self.edges, self.nodes
+            need = max(e + len(own.target), n + len(own.begin))
+            if need > self.room:
+                if not must:
+                    return False
+                self.widen(need)
+            for name in self.PARTS:
+                getattr(self, name)[e : e + len(own.target)] = getattr(own, name) + n if name == "target" else getattr(own, name)
+            self.starts[n : n + len(own.begin)] = own.begin + e
+            self.edges, self.nodes = e + len(own.target), n + len(own.begin) - 1
+            self.table.add(hashed[a:b], (own.first + n).astype(np.int32))
+        return True
 
     def nodes_of(self, text: np.ndarray, sums: np.ndarray, hashed: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The first node of each word text[start:stop]."""
-        out = self.table.find(hashed)
-        missing = np.flatnonzero(out < 0)
-        if not len(missing):
-            return out
-        new, at = np.unique(hashed[missing], return_index=True)
-        at = missing[at]
-        own = Lattice(text, sums, start[at], stop[at], self.vocab)
-        if self.edges and (self.edges + len(own.source) > self.most or self.nodes + len(own.begin) > self.most or self.table.count + len(new) > self.most // 4):
+        if self.room > self.most:
             self.forget()
-            return self.nodes_of(text, sums, hashed, start, stop)
-        if max(len(own.source), len(own.begin), 4 * len(new)) > self.most:  # one block of very many words
-            self.most = 2 * max(len(own.source), len(own.begin), 4 * len(new))
+        for must in (False, True):
+            out = self.table.find(hashed)
+            missing = np.flatnonzero(out < 0)
+            if not len(missing):
+                return out
+            new, at = np.unique(hashed[missing], return_index=True)
+            at = missing[at]
+            if self.learn(text, sums, new, start[at], stop[at], must):
+                break
             self.forget()
-        e, n = self.edges, self.nodes
-        for name in self.PARTS:
-            getattr(self, name)[e : e + len(own.source)] = getattr(own, name) + (n if name in ("source", "target") else 0)
-        self.begin[n : n + len(own.begin)] = own.begin + e
-        self.edges, self.nodes = e + len(own.source), n + len(own.begin) - 1
-        self.table.add(new, (own.first + n).astype(np.int32))
-        out[missing] = self.table.find(hashed[missing])
-        return out
+        return self.table.find(hashed)
 
 
 def uniform(key: np.ndarray, sample: int, purpose: int, place: np.ndarray) -> np.ndarray:
@@ -269,11 +318,11 @@ def walk(lattice: Lattice | Store, node: np.ndarray, place: np.ndarray, key: np.
         choice = np.flatnonzero(last > edge)
         u = uniform(key[active[choice]], sample, 0, at[choice])
         chosen, last = edge[choice], last[choice]
-        more = np.flatnonzero(u > lattice.upto[chosen])
+        more = np.flatnonzero(u * 2.0**32 > lattice.upto[chosen])
         while len(more):
             chosen[more] += 1
             more = more[chosen[more] < last[more]]
-            more = more[u[more] > lattice.upto[chosen[more]]]
+            more = more[u[more] * 2.0**32 > lattice.upto[chosen[more]]]
         edge[choice] = chosen
         steps.append((active, edge, at))
         count[active] += 1
@@ -311,13 +360,13 @@ def sample_block(lattice: Lattice | Store, first: np.ndarray, offset: np.ndarray
     edges, count, places = walk(lattice, first, offset, key[doc], 0)
     ends = np.concatenate([[0], np.cumsum(count)])
     bounds = ends[doc_words]
-    done = [Sample(edges, places, bounds, log_prefix(lattice.log_share[edges], bounds), -np.log(-np.log(uniform(key, 0, 1, np.zeros(docs)))))]
-    taken: dict[tuple[int, int, int], list[int]] = {}
+    done = [Sample(edges, places, bounds, log_prefix(logs_of(lattice, edges), bounds), -np.log(-np.log(uniform(key, 0, 1, np.zeros(docs)))))]
+    taken: list[np.ndarray] = []  # branches' edges that are drawn already: sample's place and edge
     word_ends = ends
 
     def branch_out(s: Sample, number: int, fresh: np.ndarray) -> None:
         of = np.repeat(np.arange(docs), np.diff(s.bounds))
-        others = lattice.others[s.edges[fresh]]
+        others = lattice.others[s.edges[fresh]].astype(np.float64)
         fresh, others = fresh[others > 0], others[others > 0]
         mass = s.prefix[fresh] + np.log(others)
         s.branch[fresh] = cut_gumbel(mass, s.gumbel[of[fresh]], uniform(key[of[fresh]], number, 2, s.places[fresh]))
@@ -346,40 +395,49 @@ def sample_block(lattice: Lattice | Store, first: np.ndarray, offset: np.ndarray
         top, which, where = best()
         lines, first_new = [], np.zeros(docs, np.int64)
         again = [np.zeros(0, np.int64)]
-        heads = []
         live = np.flatnonzero(~np.isneginf(top))
         edge, place, before = np.zeros(docs, np.int64), np.zeros(docs, np.int64), np.zeros(docs)
         for k, s in enumerate(done):
             mine = live[which[live] == k]
             edge[mine], place[mine], before[mine] = s.edges[where[mine]], s.places[where[mine]], s.prefix[where[mine]]
-        node = lattice.source[edge] if len(lattice.source) else edge
-        low, high = lattice.begin[node].tolist(), lattice.begin[node + 1].tolist()
-        draw, redraw = uniform(key, number, 3, place).tolist(), uniform(key, number, 4, place)
+        # the first edge of each new path, among those of its node that no path has taken there
+        node = source_of(lattice, edge[live])
+        low = lattice.begin[node].astype(np.int64)
+        size = lattice.begin[node + 1] - low
+        of = np.repeat(np.arange(len(live)), size)
+        found = np.arange(len(of)) + np.repeat(low - np.cumsum(size) + size, size)
+        mine = (which[live] << 58 | where[live] << 27)[of] + (found - low[of])
+        gone = np.isin(mine, np.concatenate(taken)) if taken else np.zeros(len(of), bool)
+        gone |= found == edge[live][of]
+        mass = np.where(gone, 0.0, np.exp(logs_of(lattice, found)) * 2.0**53).astype(np.uint64)
+        sums = np.cumsum(mass, dtype=np.uint64)
+        ends_at = np.cumsum(size)
+        before_it = np.concatenate([np.zeros(1, np.uint64), sums])[ends_at - size]
+        total = sums[ends_at - 1] - before_it
+        goal = np.minimum((uniform(key[live], number, 3, place[live]) * total.astype(np.float64)).astype(np.uint64), np.maximum(total, 1) - np.uint64(1))
+        over = np.flatnonzero((sums - before_it[of] > goal[of]) & (mass > 0))
+        picked = over[np.concatenate([[True], of[over][1:] != of[over][:-1]])] if len(over) else over
+        chosen = np.full(docs, -1, np.int64)
+        chosen[live[of[picked]]] = found[picked]
+        taken.append(mine[picked])
+        redraw = uniform(key, number, 4, place)
         left = np.full(docs, -np.inf)  # log mass of what is left of each branch
-        edge_list, place_list, at_list, which_list, dead = edge.tolist(), place.tolist(), where.tolist(), which.tolist(), np.isneginf(top).tolist()
+        with np.errstate(divide="ignore"):
+            left[live[of[picked]]] = np.log((total[of[picked]] - mass[picked]).astype(np.float64) * 2.0**-53)
+        place_list, chosen_list = place.tolist(), chosen.tolist()
+        going = np.flatnonzero(chosen >= 0)
+        targets, steps = lattice.target[chosen[going]].astype(np.int64), place[going] + lattice.step[chosen[going]]
+        heads = list(zip(going.tolist(), targets.tolist(), steps.tolist()))
         for d in range(docs):
-            if dead[d]:
+            pick = chosen_list[d]
+            if pick < 0:
                 lines.append((d, None, None, -1, 0))
                 continue
-            k, at, a, b = which_list[d], at_list[d], low[d], high[d]
+            k, at = int(which[d]), int(where[d])
             s = done[k]
-            gone = taken.setdefault((d, k, at), [edge_list[d]])
-            open_edges = [e for e in range(a, b) if e not in gone]
-            shares = [float(lattice.share[e]) for e in open_edges]
-            goal, pick, rest = draw[d] * sum(shares), open_edges[-1], 0.0
-            for e, share in zip(open_edges, shares):
-                goal -= share
-                if goal <= 0:
-                    pick = e
-                    break
-            gone.append(pick)
-            rest = sum(share for e, share in zip(open_edges, shares) if e != pick)
-            if rest > 0:
-                left[d] = math.log(rest)
             w = int(np.searchsorted(starts[k], at, "right")) - 1  # the word of the branch
             own = int(s.bounds[d])
             lines.append((d, s.edges[own:at], s.places[own:at], pick, w))
-            heads.append((d, int(lattice.target[pick]), place_list[d] + int(lattice.step[pick])))
             again.append(np.arange(w + 1, doc_words[d + 1]))
         fresh_gumbel = cut_gumbel(before[live] + left[live], top[live], redraw[live])
         for k, s in enumerate(done):
@@ -411,7 +469,7 @@ def sample_block(lattice: Lattice | Store, first: np.ndarray, offset: np.ndarray
             head_at, position = head_at + 1, position + later
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         new = np.concatenate(parts_e).astype(np.int64) if parts_e else np.zeros(0, np.int64)
-        s = Sample(new, np.concatenate(parts_p).astype(np.int64) if parts_p else np.zeros(0, np.int64), bounds, log_prefix(lattice.log_share[new], bounds), top)
+        s = Sample(new, np.concatenate(parts_p).astype(np.int64) if parts_p else np.zeros(0, np.int64), bounds, log_prefix(logs_of(lattice, new), bounds), top)
         inside = np.arange(len(new)) - np.repeat(bounds[:-1], sizes)
         branch_out(s, number, np.flatnonzero(inside >= np.repeat(first_new, sizes)))
         done.append(s)
@@ -463,7 +521,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
         lattice = _STORES.setdefault((model_path, alpha), Store(vocab))
         for batch in batches:
             keys, row = batch.column(1).to_numpy().view(np.uint64), 0
-            for n, data, ends in blocks(batch.column(2), 1 << 20):
+            for n, data, ends in blocks(batch.column(2), 1 << 18):
                 text, ends = prefixed(data, ends)
                 start, stop, doc_words = words_of(text, ends, vocab) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
                 if len(start):
@@ -482,7 +540,7 @@ def segment(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
     def table_of(s: Sample, k: int, lattice: Store, vocab: Vocabulary, text, sums, ends, threshold, ids_column) -> pa.RecordBatch:
         ids = lattice.piece[s.edges].astype(np.int32)
         some = np.flatnonzero(np.diff(s.bounds))
-        logs = np.concatenate([[0.0], np.cumsum(lattice.log_share[s.edges])])
+        logs = np.concatenate([[0.0], np.cumsum(logs_of(lattice, s.edges))])
         log_prob = logs[s.bounds[1:]] - logs[s.bounds[:-1]]
         with np.errstate(over="ignore"):
             inclusion = -np.expm1(-np.exp(np.minimum(log_prob - threshold, 700.0)))
