@@ -53,10 +53,37 @@ def written(df: DataFrame, what: str, batch_rows: int = 1000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    # later reads need the files, so they go with the application
+    # later reads need the files: those that nobody drops go with the application
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+#: Tables that written() made and nobody dropped yet.
+_WRITTEN: list[str] = []
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in list(paths):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and nothing reads any more."""
+    for t in tables:
+        drop(t.sparkSession, [t._written_path])
+
+
+def since(mark: int) -> list[str]:
+    """Paths of the tables written after the first mark of them."""
+    return _WRITTEN[mark:]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node it reaches."""
+    """(node, root) for every node of the edges (a, b), of any type that has an order: root is the smallest node it reaches."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     last = None
     for _ in range(most_rounds):
@@ -35,5 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (sign.n, sign.h) == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         last = (sign.n, sign.h)
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        before, now = now, written(_star(_star(now, large=True), large=False), "edges")
+        dropped(before)
     raise RuntimeError("components did not settle")

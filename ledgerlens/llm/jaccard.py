@@ -5,45 +5,61 @@
 2. Pivots are found, not drawn: nearly all documents are at distance 1 from each other, so Voronoi
    regions of a few global pivots would send every document everywhere.  In any order of the
    shingles, two sets with similarity t share one of the first n - ceil(t n) + 1; with the rarest
-   first, few classes share any.  Classes that share such a shingle and whose sizes allow a link
-   (the triangle inequality with the empty set) belong to the region of that shingle's pivot, the
-   member with the least hash, so that every linked pair meets in a region.
-3. Regions hold their members' whole sets.  A region too large for a task is cut by size windows
-   and then into blocks, of which each pair meets in a task of its own.
-4. Inside a region the join is recursive and exact: pivots form Voronoi cells, a member also joins
-   each cell whose pivot is at most twice the threshold farther than its own, members that share
-   nothing with any pivot form a cell with those that share little, and cells join in the same way
-   until they are small or do not shrink; those compare by an index of their shingles.
-5. Regions give spanning edges of the links, and components follow by star rounds.
+   first, few classes share any.  Classes that share such a shingle, and whose sizes (the triangle
+   inequality with the empty set) and places of the shingle allow a link, belong to the region of
+   that list's pivot, the member with the least hash.
+3. Every class has a home: of its regions the one it shares most of its rarest shingles with.  Homes
+   split the classes, so each set is laid out once.  A home's members join recursively and exactly:
+   members within the threshold of a pivot are linked to it, others lie in the Voronoi cell of their
+   nearest pivot and in each cell whose pivot is at most twice the threshold farther; members that
+   share next to nothing with any pivot form a cell of their own.  Cells join in the same way until
+   they are small, are all linked or do not shrink; the latter compare by an index of their shingles,
+   but for members that are linked already.
+4. Boundary classes are laid out again in the other regions that they belong to, but only in those
+   that hold two homes and two components: pairs of one home are decided, and so are linked ones.
+5. Regions give a star of each component found, and components follow by star rounds.
+
+A region too large for a task is cut into blocks, of which each pair meets in a task of its own.  A
+shingle that the sketch puts in very many documents has its list dealt to several tasks, and its
+region is named by the shingle, so that no task holds a list of unbounded length.
 
 Defined cases: null text, or one without words: size 0, a component of its own; fewer words than a
 shingle: the whole sequence is the one shingle; rows with one id twice: the id's rows are linked if
 their sets are; a null id takes part, with the smallest id of its component (null if there is none).
-Sets are compared by 64-bit hashes of shingles, classes by 64-bit set hash and size.
+Columns other than the id and the text are not looked at.  Sets are compared by 64-bit hashes of
+shingles, classes by 64-bit set hash and size.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table, trim, written
+from ledgerlens.llm.common import drop, since, table, trim, written
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import mix, shingle_sets
 
 SKETCH_BITS, PIECES = 20, 16
-LEAF, PIVOTS = 96, 12
+LEAF, PIVOTS, SHIFTS = 6, 12, 16
 
 
 def ceil_mul(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def class_hash(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set and its size."""
+    total = int(mix(s).sum(dtype=np.uint64)) + len(s) & (1 << 64) - 1
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+
+
 # ---- the join of one region ----
 
 
@@ -70,71 +86,90 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-class Forest:
-    """Labels of trees, and the edges which joined two of them."""
-
-    def __init__(self, n: int) -> None:
-        self.label, self.edges = np.arange(n), []
-
-    def join(self, x: int, others: np.ndarray) -> None:
-        """Joins member x with all others: one edge for each tree that x was not in."""
-        labels, first = np.unique(self.label[others], return_index=True)
-        for label, at in zip(labels.tolist(), first.tolist()):
-            own = self.label[x]
-            if label != own:
-                self.label[self.label == max(label, own)] = min(label, own)
-                self.edges.append((x, int(others[at])))
-
-
-def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, forest: Forest, num: int, den: int, step: int = 256) -> None:
-    """All links between two lists of members, step columns at a time."""
-    sizes_left = np.array([len(sets[i]) for i in left])
-    chosen = [sets[i] for i in left]
-    for at in range(0, len(right), step):
-        part = right[at : at + step]
-        sizes = np.array([len(sets[i]) for i in part])
-        found = linked(shared_counts(chosen, [sets[i] for i in part]), sizes_left[:, None], sizes[None, :], num, den)
-        for j in np.flatnonzero(found.any(0)).tolist():
-            forest.join(int(part[j]), left[found[:, j]])
-
-
-def region_join(sets: list[np.ndarray], members: np.ndarray, forest: Forest, num: int, den: int, depth: int = 0) -> None:
-    """Adds every link among the members to the forest, by pivots and Voronoi cells with windows."""
-    if len(members) <= LEAF or depth > 20:
-        compare(sets, members, members, forest, num, den)
-        return
-    reach = 1 - num / den + 1e-9
-    sizes = np.array([len(sets[i]) for i in members])
-    # pivots spread over the members, in the order of a hash, far from those already taken
-    keys = mix(np.array([sets[i][0] for i in members], np.uint64) + np.uint64(depth))
-    trial = np.argsort(keys, kind="stable")[: 4 * PIVOTS]
-    near = shared_counts([sets[members[i]] for i in trial], [sets[members[i]] for i in trial])
-    away = 1 - near / (sizes[trial][:, None] + sizes[trial][None, :] - near)
-    pivots: list[int] = []
-    for i in range(len(trial)):
-        if len(pivots) < PIVOTS and all(away[i, j] > 2 * reach for j in pivots):
-            pivots.append(i)
-    inter = shared_counts([sets[i] for i in members], [sets[members[trial[p]]] for p in pivots])
-    far = 1 - inter / (sizes[:, None] + sizes[trial[pivots]][None, :] - inter)
-    own = far.min(1)
-    cells = [np.flatnonzero((far[:, k] <= own + 2 * reach) & (own < 1)) for k in range(len(pivots))]
-    cells.append(np.flatnonzero(own >= 1 - reach))
-    for cell in cells:
-        if len(cell) > 0.8 * len(members):
-            windows(sets, members[cell], forest, num, den)
-        elif len(cell) > 1:
-            region_join(sets, members[cell], forest, num, den, depth + 1)
-
-
-def windows(sets: list[np.ndarray], members: np.ndarray, forest: Forest, num: int, den: int, step: int = 512) -> None:
-    """Compares members in order of size, each block with those whose sizes allow a link."""
-    sizes = np.array([len(sets[i]) for i in members])
-    order = np.argsort(sizes, kind="stable")
-    members, sizes = members[order], sizes[order]
-    for at in range(0, len(members), step):
-        block = members[at : at + step]
-        last = int(np.searchsorted(sizes, sizes[min(at + step, len(sizes)) - 1] * den // num, "right"))
-        compare(sets, block, members[at:last], forest, num, den)
+class Region:
+    """The members of a region: sets, trees of linked ones, and what is decided before (homes)."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, trees: np.ndarray | None = None, homes: np.ndarray | None = None) -> None:
+        n = len(sets)
+        self.sets, self.num, self.den = sets, num, den
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.tree = np.arange(n) if trees is None else np.unique(trees, return_inverse=True)[1].reshape(n)
+        self.homes, self.found = homes, Counter()
+
+    def unite(self, x: int, others: np.ndarray, how: str) -> None:
+        """Links member x with all others."""
+        trees = np.unique(np.append(self.tree[others], self.tree[x]))
+        if len(trees) > 1:
+            self.found[how] += len(trees) - 1
+            self.tree[np.isin(self.tree, trees)] = trees[0]
+
+    def compare(self, left: np.ndarray, right: np.ndarray, how: str = "compared", step: int = 256) -> None:
+        """All links between two lists of members that aren't decided, step columns at a time."""
+        chosen = [self.sets[i] for i in left]
+        for at in range(0, len(right), step):
+            part = right[at : at + step]
+            found = linked(shared_counts(chosen, [self.sets[i] for i in part]), self.sizes[left][:, None], self.sizes[part][None, :], self.num, self.den)
+            for j in np.flatnonzero(found.any(0)).tolist():
+                self.unite(int(part[j]), left[found[:, j]], how)
+
+    def open(self, members: np.ndarray) -> np.ndarray:
+        """Members of which each undecided pair has one: all but those of the largest tree, or of the largest home."""
+        best = members
+        for labels in (self.tree, self.homes):
+            if labels is not None:
+                _, of, count = np.unique(labels[members], return_inverse=True, return_counts=True)
+                rest = members[of.reshape(-1) != count.argmax()]
+                best = rest if len(rest) < len(best) else best
+        return best
+
+    def join(self, members: np.ndarray, depth: int = 0) -> None:
+        """Finds every undecided link among the members, by pivots and Voronoi cells with windows."""
+        probes = self.open(members)
+        if not len(probes):
+            return
+        if len(members) <= LEAF or depth > 20:
+            self.compare(members, probes, "leaf")
+            return
+        reach = 1 - self.num / self.den + 1e-9
+        sizes = self.sizes[members]
+        # pivots spread over the members, in the order of a hash, far from those already taken
+        keys = mix(np.array([self.sets[i][0] for i in members], np.uint64) + np.uint64(depth))
+        trial = np.argsort(keys, kind="stable")[: 4 * PIVOTS]
+        inter = shared_counts([self.sets[i] for i in members], [self.sets[members[i]] for i in trial])
+        far = 1 - inter / (sizes[:, None] + sizes[trial][None, :] - inter)
+        pivots: list[int] = []
+        for i in range(len(trial)):
+            if len(pivots) < PIVOTS and all(far[trial[i], j] > 2 * reach for j in pivots):
+                pivots.append(i)
+        near = linked(inter, sizes[:, None], sizes[trial][None, :], self.num, self.den)
+        for k in pivots:  # members within the threshold of a pivot are linked to it
+            self.unite(int(members[trial[k]]), members[near[:, k]], "pivot")
+        far = far[:, pivots]
+        own = far.min(1)
+        cells = [np.flatnonzero((far[:, k] <= own + 2 * reach) & (own < 1)) for k in range(len(pivots))]
+        cells.append(np.flatnonzero(own >= 1 - reach))
+        cells = [c for c in cells if len(c) == len(members)][:1] or cells
+        for cell in cells:
+            if len(cell) > 0.8 * len(members):
+                self.rings(members[cell], far[cell], reach)
+            elif len(cell) > 1:
+                self.join(members[cell], depth + 1)
+
+    def rings(self, members: np.ndarray, far: np.ndarray, reach: float) -> None:
+        """Undecided links of a cell that does not shrink: probes against the ring of members at about their own distance from a pivot."""
+        probes = np.flatnonzero(np.isin(members, self.open(members)))
+        if not len(probes):
+            return
+        pivot = int(far[probes].std(0).argmax())
+        at = far[:, pivot]
+        order = probes[np.argsort(at[probes], kind="stable")]
+        start = 0
+        while start < len(order):
+            last = min(len(order), start + 256)
+            low, high = at[order[start]] - reach, at[order[last - 1]] + reach
+            ring = members[(at >= low) & (at <= high)]
+            self.compare(ring, members[order[start:last]], "ring")
+            start = last
 
 
 # ---- passes over the documents ----
@@ -146,26 +181,27 @@ def _prefix(n, num: int, den: int):
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """Class hash and size of each row's set (kind 0), and pieces of the shingle counts (kind 1)."""
+    names = ["kind", "z", "k", "h", "n", "f", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "k", "z", "n", "f", "piece"]
         for batch in batches:
             sizes, hashes = [], []
             held: list[np.ndarray] = []
-            for s in shingle_sets(batch.column(2), width):
+            for s in shingle_sets(batch.column(3), width):
                 sizes.append(len(s))
-                hashes.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
+                hashes.append(class_hash(s) if len(s) else 0)
                 held.append(s)
             if held:
                 counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            hashed = mix(np.array(hashes, np.uint64) + np.array(sizes, np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(hashed), pa.nulls(len(sizes), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), *batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names)
         each = len(counts) // PIECES
         blobs = [zlib.compress(counts[i * each : (i + 1) * each].astype("<u4").tobytes(), 1) for i in range(PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * PIECES, pa.int32()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.bool_()), pa.array(range(PIECES), pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(blobs, pa.binary())], names)
+        none = [pa.nulls(PIECES, t) for t in (pa.bool_(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([1] * PIECES, pa.int32()), *none, pa.array(range(PIECES), pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(blobs, pa.binary())], names)
+        trim()
 
-    return docs.select("k", "z", "t").mapInArrow(run, "kind int, k long, z boolean, n long, f long, piece binary")
+    return docs.select("z", "k", "h", "t").mapInArrow(run, "kind int, z boolean, k long, h long, n long, f long, piece binary")
 
 
 def shingle_sketch(rows: DataFrame) -> np.ndarray:
@@ -188,24 +224,29 @@ def shingle_sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, parts: int) -> DataFrame:
-    """(part, blob): the rarest shingles of each class with its hash and size, packed for each part."""
-    kind = np.dtype([("s", "<u8"), ("f", "<i8"), ("n", "<i4")])
+#: A rare shingle (32 bits of it) of a class, its size, and the largest size of a class that it may be
+#: linked with if this is the first shingle they share (-1: the shingle's list is dealt to several parts).
+ENTRY = np.dtype([("s", "<u4"), ("f", "<i8"), ("n", "<i4"), ("up", "<i4")])
+
+
+def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, parts: int, hot: int) -> DataFrame:
+    """(part, blob): the rarest shingles of each class as ENTRY records, packed for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sketch.value
+        usual = int(order.mean())  # of a sketch's cell, without any shingle that is frequent
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        to: list[np.ndarray] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, count
-            rows = np.concatenate(held)
-            part = (mix(rows["s"]) % np.uint64(parts)).astype(np.int64)
+            nonlocal held, to, count
+            rows, part = np.concatenate(held), np.concatenate(to)
             at = np.argsort(part, kind="stable")
             rows, part = rows[at], part[at]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            held, count = [], 0
+            held, to, count = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "blob"])
 
         for batch in batches:
@@ -213,7 +254,7 @@ def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, part
                 n = len(s)
                 if not n:
                     continue
-                f = int(mix(np.array([int(mix(s).sum(dtype=np.uint64)) + n & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
+                f = class_hash(s)
                 if f in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -221,11 +262,17 @@ def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, part
                 seen.add(f)
                 first = _prefix(n, num, den)
                 often = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                rows = np.empty(first, kind)
-                rows["s"], rows["f"], rows["n"] = s[np.lexsort((s, often))[:first]], f, n
+                chosen = np.lexsort((s, often))[:first]
+                often, own = often[chosen].astype(np.int64), s[chosen]
+                rows = np.empty(first, ENTRY)
+                rows["s"], rows["f"], rows["n"] = own >> np.uint64(32), f, n
+                up = (n - np.arange(first)) * (num + den) // num - n
+                pieces = np.maximum(-(-(often - usual) // hot), 1)
+                rows["up"] = np.where(pieces > 1, -1, up)
                 held.append(rows)
+                to.append(((mix(own) % np.uint64(parts)).astype(np.int64) + f % pieces) % parts)
                 count += first
-                if count > 1_500_000:
+                if count > 1_000_000:
                     yield flush()
         if held:
             yield flush()
@@ -234,124 +281,213 @@ def prefix_entries(docs: DataFrame, sketch, width: int, num: int, den: int, part
     return docs.select("t").mapInArrow(run, "part int, blob binary")
 
 
+def list_members(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pivot, class, size and number of lists of all memberships that ENTRY records give."""
+    dealt = rows[rows["up"] < 0]
+    rows = rows[rows["up"] >= 0]
+    rows = rows[np.lexsort((rows["f"], rows["n"], rows["s"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["f"][1:] != rows["f"][:-1])
+    rows = rows[new]
+    size = rows["n"].astype(np.int64)
+    # a new segment where the shingle changes or the next size is too large for a link
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows["s"][1:] != rows["s"][:-1]) | (size[:-1] * den < size[1:] * num)
+    start = np.flatnonzero(fresh)
+    many = np.diff(np.append(start, len(rows)))
+    segment = np.repeat(np.arange(len(start)), many)
+    # those that some other of the segment may be linked with: by the sizes, and by what may follow the shingle
+    kept = many[segment] > SHIFTS + 1 if len(rows) else np.zeros(0, bool)
+    for d in range(1, SHIFTS + 1):
+        a = np.flatnonzero(segment[:-d] == segment[d:]) if len(rows) > d else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        a = a[(size[a + d] * num <= size[a] * den) & (rows["up"][a] >= size[a + d]) & (rows["up"][a + d] >= size[a])]
+        kept[a] = kept[a + d] = True
+    rows, segment = rows[kept], segment[kept]
+    start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(rows["f"], start) if len(rows) else rows["f"]
+    pivot = np.repeat(least, np.diff(np.append(start, len(rows))))
+    pivot = np.concatenate([pivot, dealt["s"].astype(np.int64)])
+    f, n = np.concatenate([rows["f"], dealt["f"]]), np.concatenate([rows["n"], dealt["n"]]).astype(np.int64)
+    order = np.lexsort((f, pivot))
+    pivot, f, n = pivot[order], f[order], n[order]
+    one = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (f[1:] != f[:-1])])) if len(f) else np.zeros(0, np.int64)
+    return pivot[one], f[one], n[one], np.diff(np.append(one, len(f)))
+
+
 def memberships(entries: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Distinct (p, f, n): class f of size n is in the region of pivot p; regions of one member are left out."""
-    kind = np.dtype([("s", "<u8"), ("f", "<i8"), ("n", "<i4")])
-
-    def regions(rows: np.ndarray) -> np.ndarray:
-        rows = np.unique(rows)  # also sorts by shingle
-        same = np.concatenate([[False], rows["s"][1:] == rows["s"][:-1], [False]])
-        rows = rows[same[1:] | same[:-1]]
-        rows = rows[np.lexsort((rows["n"], rows["s"]))]
-        # a new segment where the shingle changes or the next size is too large for a link
-        fresh = np.concatenate([[True], (rows["s"][1:] != rows["s"][:-1]) | (rows["n"][:-1].astype(np.int64) * den < rows["n"][1:].astype(np.int64) * num)])
-        start = np.flatnonzero(fresh)
-        size = np.diff(np.append(start, len(rows)))
-        pivot = np.repeat(np.minimum.reduceat(rows["f"], start), size) if len(start) else rows["f"]
-        many = np.repeat(size > 1, size) if len(start) else np.zeros(0, bool)
-        out = np.empty(int(many.sum()), [("p", "<i8"), ("f", "<i8"), ("n", "<i4")])
-        out["p"], out["f"], out["n"] = pivot[many], rows["f"][many], rows["n"][many]
-        return np.unique(out)
+    """(p, f, n, votes): class f of size n is in the region of pivot p, by so many lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b.as_py() for batch in batches for b in batch.column(0)]
         if blobs:
-            out = regions(np.frombuffer(b"".join(blobs), kind))
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out["p"]), pa.array(out["f"]), pa.array(out["n"].astype(np.int64))], ["p", "f", "n"])
+            found = list_members(np.frombuffer(b"".join(blobs), ENTRY), num, den)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["p", "f", "n", "votes"])
+
+    found = entries.repartition(parts, "part").select("blob").mapInArrow(run, "p long, f long, n long, votes long")
+    return found.groupBy("p", "f", "n").agg(F.sum("votes").alias("votes"))
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(h, text): each text's hash and zstd bytes, once a task but for a bounded memory of those seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            hashes, texts = [], []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                if h not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(h)
+                    raw = t.as_buffer()
+                    hashes.append(h)
+                    texts.append(struct.pack("<q", raw.size) + codec.compress(raw, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.binary())], ["h", "text"])
+        trim()
+
+    return rows.filter("t is not null").select("h", "t").mapInArrow(run, "h long, text binary")
 
-    return entries.repartition(parts, "part").select("blob").mapInArrow(run, "p long, f long, n long").distinct()
 
+def unpacked(texts: list[bytes]) -> pa.Array:
+    codec = pa.Codec("zstd", 1)
+    raw = [codec.decompress(memoryview(t)[8:], struct.unpack_from("<q", t)[0], asbytes=True) for t in texts]
+    return pa.array(raw, pa.large_binary())
 
-def region_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning edges (a, b) of class hashes from rows (region, left, right, f, blob).
+
+def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes: int = 4 << 20) -> DataFrame:
+    """(az, ak, bz, bk): each linked member (a) and the least one of its tree (b), from rows (region, side, f, home, lz, lk, text).
 
     The members of a region are one group, or a pair of blocks: rows are then left, right or both.
     """
+    names = ["az", "ak", "bz", "bk"]
+
+    def edges(rows: list[tuple], sets: list[np.ndarray]) -> list[tuple]:
+        fine = [i for i, (r, s) in enumerate(zip(rows, sets)) if len(s) and class_hash(s) == r[2] and (i == 0 or rows[i - 1][2] != r[2] or rows[i - 1][1] != r[1])]
+        if len(fine) < 2:
+            return []
+        rows, sets = [rows[i] for i in fine], [sets[i] for i in fine]
+        sides = np.array([r[1] for r in rows])
+        trees = {}
+        region = Region(sets, num, den, np.array([trees.setdefault(r[4:6], len(trees)) for r in rows]), None if rows[0][3] is None else np.array([r[3] for r in rows]))
+        if (sides == 0).all():
+            region.join(np.arange(len(sets)))
+        else:
+            region.compare(np.flatnonzero(sides == 1), np.flatnonzero(sides == 2))
+        # stars of the labels that members came with
+        by: dict[int, set] = {}
+        for r, tree in zip(rows, region.tree.tolist()):
+            by.setdefault(tree, set()).add(r[4:6])
+        return [(*a, *min(own)) for own in by.values() if len(own) > 1 for a in own if a != min(own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, rows = None, []
-
-        def finish() -> pa.RecordBatch | None:
-            hashes = [r[0] for r in rows]
-            sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-            forest = Forest(len(sets))
-            sides = np.array([r[2] for r in rows])
-            if (sides == 0).all():
-                region_join(sets, np.arange(len(sets)), forest, num, den)
-            else:
-                compare(sets, np.flatnonzero(sides == 1), np.flatnonzero(sides == 2), forest, num, den)
-            if forest.edges:
-                a, b = zip(*forest.edges)
-                return pa.RecordBatch.from_arrays([pa.array([hashes[i] for i in a]), pa.array([hashes[i] for i in b])], ["a", "b"])
-            return None
+        region, held, size = None, [], 0  # held: whole regions of about flush_bytes, the last one maybe not whole
+
+        def finish(groups: list[list[tuple]]) -> pa.RecordBatch:
+            sets = shingle_sets(unpacked([r[6] for g in groups for r in g]), width)
+            out = [e for g in groups for e in edges(g, [next(sets) for _ in g])]
+            columns = list(zip(*out)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64()) * 2)], names)
 
         for batch in batches:
-            for r, f, side, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for r, *values, text in zip(*columns, batch.column(6)):
                 if r != region:
-                    if len(rows) > 1 and (out := finish()):
-                        yield out
-                    region, rows = r, []
-                rows.append((f, blob.as_py(), side))
-        if len(rows) > 1 and (out := finish()):
-            yield out
+                    if size > flush_bytes:
+                        yield finish(held)
+                        held, size = [], 0
+                    held.append([])
+                    region = r
+                text = text.as_py()
+                held[-1].append((r, *values, text))
+                size += len(text)
+        if held:
+            yield finish(held)
         trim()
 
-    return members.select("region", "f", "side", "blob").mapInArrow(run, "a long, b long")
+    return members.select("region", "side", "f", "home", "lz", "lk", "text").mapInArrow(run, "az boolean, ak long, bz boolean, bk long")
 
 
-def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 24 << 20, task_members: int = 4096) -> DataFrame:
-    """(id_col, n_shingles, component_id) for every row: the components of all links."""
-    spark = docs.sparkSession
+def laid(texts: DataFrame, places: DataFrame, task_bytes: int, task_members: int) -> DataFrame:
+    """Rows of texts (f ...) once in each task of each region of places (p, f, n ...); regions of one member are left out.
+
+    A region too large for a task is cut into blocks, and each pair of blocks is a task, whatever the region's size.
+    """
+    size = places.groupBy("p").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"), F.count("*").alias("m")).filter("m > 1")
+    blocks = F.greatest(F.ceil(2 * F.col("bytes") / task_bytes), F.ceil(2 * F.col("m") / task_members)).cast("int")
+    size = size.select("p", F.when((F.col("bytes") <= task_bytes) & (F.col("m") <= task_members), 1).otherwise(blocks).alias("blocks"))
+    placed = places.drop("n").join(size, "p").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, if(x = block, 0, if(block < x, 1, 2)) as side))")
+    rows = texts.join(placed, "f").withColumn("to", F.explode(pairs))
+    return rows.withColumn("region", F.concat_ws(":", "p", "to.i", "to.j")).withColumn("side", F.col("to.side")).drop("to", "blocks", "block")
+
+
+def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 16 << 20, task_members: int = 4096) -> DataFrame:
+    """(z, k, h, n, rz, rk) for every row: its id (with z, a hash of its text instead), the text's hash, the set's size, and the least (z, k) that it reaches."""
+    spark, mark = docs.sparkSession, len(since(0))
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    # a row without an id goes by a hash of its text
-    rows = docs.select(F.coalesce(key, F.xxhash64(text)).alias("k"), key.isNull().alias("z"), text.alias("t"))
+    rows = docs.select(key.isNull().alias("z"), F.coalesce(key, F.xxhash64(text)).alias("k"), F.xxhash64(text).alias("h"), text.alias("t"))
     hashed = written(set_rows(rows, width), "sets")
     sketch = spark.sparkContext.broadcast(shingle_sketch(hashed))
-    sized = hashed.filter("kind = 0")
-    total = sized.agg(F.coalesce(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1")), F.lit(0)).alias("e")).first().e
+    sized = hashed.filter("kind = 0").select("z", "k", "h", "n", "f")
+    classes = written(sized.filter("n > 0").groupBy("f", "n").agg(F.min(F.struct("z", "k")).alias("id"), F.min("h").alias("h")).select("f", "n", "id.z", "id.k", "h"), "classes")
+    total = classes.agg(F.coalesce(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1")), F.lit(0)).alias("e")).first().e
     parts = max(1, int(total) // part_entries + 1)
 
-    member = written(memberships(prefix_entries(rows, sketch, width, num, den, parts), parts, num, den), "regions")
-    size = member.groupBy("p").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"), F.count("*").alias("m"))
-    # blocks of a region too large for a task: each pair of blocks is a task, whatever the region's size
-    blocks = F.greatest(F.ceil(2 * F.col("bytes") / task_bytes), F.ceil(2 * F.col("m") / task_members)).cast("int")
-    size = size.filter("m > 1").withColumn("blocks", F.when((F.col("bytes") <= task_bytes) & (F.col("m") <= task_members), 1).otherwise(blocks))
+    member = written(memberships(prefix_entries(rows, sketch, width, num, den, parts, 4 * part_entries), parts, num, den), "regions")
+    homes = member.groupBy("f", "n").agg(F.max_by("p", F.struct("votes", -F.col("p"))).alias("home"))
+    wanted = classes.join(homes, ["f", "n"]).select("f", "n", "z", "k", "home", "h")
+    texts = written(packed_texts(rows).join(wanted, "h").drop("h"), "texts")
+
+    def links(places: DataFrame, first: bool = False) -> DataFrame:
+        tasks = laid(texts, places, task_bytes, task_members).drop("p")
+        tasks = tasks.withColumn("home", F.lit(None).cast("long")) if first else tasks
+        return region_links(tasks.repartition("region").sortWithinPartitions("region", "side", "f"), num, den, width)
+
+    # members of one home first
+    at_home = homes.select(F.col("home").alias("p"), "f", "n").join(classes.select("f", F.col("z").alias("lz"), F.col("k").alias("lk")), "f")
+    inner = written(links(at_home, True), "links")
+    label = inner.groupBy(F.col("az").alias("z"), F.col("ak").alias("k")).agg(F.min(F.struct("bz", "bk")).alias("l"))
+    known = wanted.join(label, ["z", "k"], "left").select("f", "home", F.coalesce("l.bz", "z").alias("lz"), F.coalesce("l.bk", "k").alias("lk"))
+    crossing = member.drop("votes").join(known, "f")
+    several = crossing.groupBy("p").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min(F.struct("lz", "lk")).alias("l0"), F.max(F.struct("lz", "lk")).alias("l1"))
+    crossing = crossing.join(several.filter("h0 <> h1 and l0 <> l1").select("p"), "p")
+    outer = written(links(crossing.drop("home")), "links")
+
+    edges = inner.unionByName(outer).select(F.struct(F.col("az").alias("z"), F.col("ak").alias("k")).alias("a"), F.struct(F.col("bz").alias("z"), F.col("bk").alias("k")).alias("b"))
+    named = components(edges)
+    roots = classes.withColumn("node", F.struct("z", "k")).join(named, "node", "left").select("f", "n", F.coalesce("root", "node").alias("r"))
+    roots = written(roots.select("f", "n", F.col("r.z").alias("rz"), F.col("r.k").alias("rk")), "roots")
+    drop(spark, [path for path in since(mark) if path not in (hashed._written_path, roots._written_path)])
+    out = sized.join(roots, ["f", "n"], "left")
+    return out.select("z", "k", "h", "n", F.coalesce("rz", "z").alias("rz"), F.coalesce("rk", "k").alias("rk"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id_col, n_shingles, component_id) for every row: the components of all links."""
+    out = labelled(docs, id_col=id_col, **options)
+    return out.select(F.when(~F.col("z"), F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), F.when(~F.col("rz"), F.col("rk")).alias("component_id"))
 
-    classes = sized.filter("n > 0").groupBy("f", "n").agg(F.min("k").alias("k"))
-    placed = member.join(size.select("p", "blocks"), "p").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
-    # the text of one row of each class in a region (by its id; equal ids with other texts are sorted out by the hash)
-    wanted = placed.groupBy("f", "n").agg(F.collect_set(F.struct("p", "blocks", "block")).alias("at")).join(classes, ["f", "n"])
-    schema = "p long, blocks int, block int, f long, blob binary"
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for f, at, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width)):
-                own = int(mix(np.array([int(mix(s).sum(dtype=np.uint64)) + len(s) & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
-                if own != f:
-                    continue
-                for place in at:
-                    for column, value in zip(out, (place["p"], place["blocks"], place["block"], f, s.tobytes())):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["p", "blocks", "block", "f", "blob"])
-
-    found = rows.filter("t is not null").join(wanted, "k").select("f", "at", "t").mapInArrow(sets, schema)
-    single = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")))
-    pairs = F.expr(
-        "concat(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, if(x = block, 0, if(block < x, 1, 2)) as side)))"
-    )
-    laid = found.withColumn("to", F.explode(F.when(F.col("blocks") == 1, single).otherwise(pairs)))
-    laid = laid.select(F.concat_ws(":", "p", "to.i", "to.j").alias("region"), "f", F.col("to.side").alias("side"), "blob")
-    tasks = laid.repartition("region").sortWithinPartitions("region", "f", "side")
-    links = region_links(tasks, num, den)
-
-    named = components(links)
-    reps = sized.join(named.withColumnRenamed("node", "f"), "f", "left").select(F.when(~F.col("z"), F.col("k")).alias("k"), "n", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("c"))
-    reps = written(reps, "labels")
-    least = reps.filter("c is not null").groupBy("c").agg(F.min("k").alias("least"))
-    out = reps.join(least, "c", "left")
-    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the least id (without ids: text hash), then text hash.
+
+    Rows without words are components of their own and all stay; of equal rows (id and text) one stays.
+    """
+    found = labelled(docs, id_col=id_col, text_col=text_col, **options)
+    first = found.filter("n > 0").groupBy("rz", "rk").agg(F.min(F.struct("z", "k", "h")).alias("v")).select("v.*")
+    first = first.unionByName(found.filter("n = 0").select("z", "k", "h").distinct())
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    names = [f"__{c}" for c in ("z", "k", "h")]
+    rows = docs.withColumns(dict(zip(names, (key.isNull(), F.coalesce(key, F.xxhash64(text)), F.xxhash64(text)))))
+    rows = rows.join(first.select(*(F.col(c).alias(f"__{c}") for c in ("z", "k", "h"))), names, "left_semi")
+    bare = ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(*others)))
+    return rows.withColumn("__n", F.when(bare, 1).otherwise(place)).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
