@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and planted cases, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -90,9 +91,58 @@ def test_region_join_is_exact_with_pivots_and_cells():
             keep = core[rng.random(60) > rng.choice([0.02, 0.1, 0.3])]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**60, rng.integers(0, 8), dtype=np.uint64)])))
     sets = [s for s in sets if len(s)]
-    forest = jaccard.Forest(len(sets))
-    jaccard.region_join(sets, np.arange(len(sets)), forest, 80, 100)
-    assert forest.label.tolist() == classes([set(s.tolist()) for s in sets])
+    region = jaccard.Region(sets, 80, 100)
+    region.join(np.arange(len(sets)))
+    want = classes([set(x.tolist()) for x in sets])
+    assert least_of(region.tree) == want
+    # links come from pivots within the threshold and from windows around them; small leaves give few
+    assert region.found["pivot"] > 100 and region.found["pivot"] + region.found["ring"] > 0.9 * sum(region.found.values())
+    # linked pairs and pairs of one home are taken as decided, all others are found
+    homes = rng.integers(0, 3, len(sets))
+    inside = [jaccard.Region([sets[i] for i in np.flatnonzero(homes == h)], 80, 100) for h in range(3)]
+    trees = np.zeros(len(sets), np.int64)
+    for h, own in enumerate(inside):
+        own.join(np.arange(len(own.sets)))
+        trees[homes == h] = own.tree + 10_000 * h
+    crossing = jaccard.Region(sets, 80, 100, trees, homes)
+    crossing.join(np.arange(len(sets)))
+    assert least_of(crossing.tree) == want
+
+
+def least_of(tree):
+    first = {}
+    return [first.setdefault(t, k) for k, t in enumerate(tree.tolist())]
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.01, 0.03, 0.08])
+def test_regions_of_near_copies(noise):
+    rng = np.random.default_rng(5)
+    core = [f"w{k}" for k in range(300)]
+    copies = [" ".join(w if rng.random() > noise else f"x{rng.integers(10**9)}" for w in core) for _ in range(120)]
+    sets = list(shingle_sets(pa.array(copies)))
+    region = jaccard.Region(sets, 80, 100)
+    region.join(np.arange(len(sets)))
+    assert least_of(region.tree) == classes([set(x.tolist()) for x in sets])
+
+
+def test_list_members_lose_no_link():
+    """Brute force: of every linked pair, some list holds both."""
+    rng = random.Random(4)
+    base = [[rng.randrange(400) for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    sets = [set(b) for b in base] + [set(b) ^ {rng.randrange(400) for _ in range(rng.randint(0, 4))} for b in base for _ in range(3)]
+    sets = [sorted(x) for x in sets if x]
+    for dealt in (False, True):
+        rows = []
+        for f, own in enumerate(sets):
+            for i, x in enumerate(own[: jaccard._prefix(len(own), 80, 100)]):
+                rows.append((x, f, len(own), -1 if dealt and x % 3 == 0 else (len(own) - i) * 180 // 80 - len(own)))
+        found = jaccard.list_members(np.array(rows, jaccard.ENTRY), 80, 100)
+        regions = defaultdict(set)
+        for p, f in zip(found[0].tolist(), found[1].tolist()):
+            regions[p].add(f)
+        meet = {(a, b) for own in regions.values() for a in own for b in own}
+        linked = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+        assert len(linked) > 50 and all((a, b) in meet or sets[a] == sets[b] for a, b in linked)
 
 
 def test_components_of_a_long_chain(spark):
@@ -156,24 +206,61 @@ def spark_hash(seed, *values):
     return h - 2**64 if h >= 2**63 else h
 
 
+def fisher_yates(n, *seeds):
+    """Slots of records 0 .. n - 1, swapped one after the other in a list."""
+    records = list(range(n))
+    for i in range(n - 1, 0, -1):
+        j = spark_hash((), *seeds, np.int32(i)) % (i + 1)
+        records[i], records[j] = records[j], records[i]
+    return [records.index(k) for k in range(n)]
+
+
 def test_sharding(spark, docs):
-    rows = sharding.shard_documents(docs, shards=6, bucket_rows=8).collect()
+    options = {"shards": 6, "bucket_rows": 8, "run_rows": 5}
+    rows = sharding.shard_documents(docs, **options).collect()
     assert len(rows) == docs.count() and set(rows[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", *sharding.MADE}
     by = defaultdict(list)
     for r in rows:
-        by[r.shard].append(r.slot)
+        by[r.shard].append(r)
         assert r.size == len((r.text or "").encode()) + 16 and r.text_crc32 == zlib.crc32((r.text or "").encode()) and r.grown_shard in (r.shard, 6)
         if r.doc_id is not None:
             scores = [spark_hash((np.int32(i), np.int32(7)), r.doc_id) for i in range(7)]
             assert r.shard == scores[:6].index(max(scores[:6])) and (r.grown_shard == 6) == (scores[6] > max(scores[:6]))
-    assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert sorted(map(str, rows)) == sorted(map(str, sharding.shard_documents(docs, shards=6, bucket_rows=8).collect()))
-
-
-def test_fisher_yates_is_a_permutation(spark):
-    rows = spark.range(1, 40).select(F.col("id").cast("int").alias("n")).select("n", sharding.fisher_yates(F.col("n"), F.lit(5), F.col("n")).alias("p")).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.shard_documents(docs.repartition(3), **options).collect()))
+    # the slots by brute force: buckets by hash, their order, runs, swaps in a list
+    buckets = -(-len(rows) // (6 * 8))
+    for shard, own in by.items():
+        cells = defaultdict(list)
+        for r in own:
+            h = spark_hash((), np.int32(8), r.doc_id)
+            h = spark_hash((), np.int32(9), h, r.text_crc32, r.size)
+            copy = sum(x[0] == h for x in cells[h % buckets])
+            cells[h % buckets].append((h, copy, r.slot))
+        at = 0
+        for bucket in sorted(cells):
+            found = sorted(cells[bucket], key=lambda x: spark_hash((), np.int32(10), x[0], np.int32(x[1])))
+            want = []
+            for run in range(0, len(found), 5):
+                moved = fisher_yates(min(5, len(found) - run), np.int32(11), np.int32(shard), np.int32(bucket), np.int32(run // 5))
+                want += [at + run + m for m in moved]
+            pairs = [sorted((h, slot) for (h, _, _), slot in zip(found, slots)) for slots in (want, [x[2] for x in found])]
+            assert pairs[0] == pairs[1]  # equal rows may change places
+            at += len(found)
+
+
+def test_many_rows_of_one_id_and_stored_shards(spark):
+    frame = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("text"), F.lit(9).alias("SLOT"))
+    stored = sharding.stored_shards(sharding.shard_documents(frame, bucket_rows=64))
+    rows = stored.collect()
+    assert len(rows) == 5000 and sorted(r.slot for r in rows) == list(range(5000)) and len({r.shard for r in rows}) == 1 and "SLOT" not in stored.columns
+    texts = [r.text for r in sorted(rows, key=lambda r: r.slot)]
+    assert len(set(texts[:700])) > 300
+
+
+def test_fisher_yates_is_uniform(spark):
+    rows = spark.range(1, 40).select(F.col("id").cast("int").alias("n"), F.transform(F.sequence(F.lit(0), F.col("id").cast("int") - 1), lambda k: sharding.shuffled_place(k, F.col("id").cast("int"), F.lit(5))).alias("p")).collect()
     assert all(sorted(r.p) == list(range(r.n)) for r in rows) and any(r.p != sorted(r.p) for r in rows)
-    many = spark.range(6000).select(sharding.fisher_yates(F.lit(3), F.lit(1), F.col("id")).alias("p")).groupBy("p").count().collect()
+    many = spark.range(6000).select(F.array(*[sharding.shuffled_place(F.lit(k), F.lit(3), F.lit(1), F.col("id")) for k in range(3)]).alias("p")).groupBy("p").count().collect()
     assert len(many) == 6 and all(850 < r["count"] < 1150 for r in many)
 
 
@@ -459,6 +546,55 @@ def test_mixture(spark, docs):
         assert sum(len(WORD.findall(r.text or "")) for r in mixed) == sum(taken.values())
 
 
+def test_hypergeometric_draws_follow_their_law(spark):
+    long = lambda x: F.lit(x).cast("long")
+    n = 20_000
+    for white, everything, draws in ((7, 20, 8), (3, 3, 2), (0, 5, 3), (5, 9, 0), (1, 40, 39)):
+        rows = spark.range(n).select(mixture.hypergeometric(long(white), long(everything), long(draws), mixture.uniform(F.lit(9), F.col("id"))).alias("x")).groupBy("x").count().collect()
+        seen = {r.x: r["count"] for r in rows}
+        law = {k: math.comb(white, k) * math.comb(everything - white, draws - k) / math.comb(everything, draws) * n for k in range(white + 1) if 0 <= draws - k <= everything - white}
+        assert set(seen) <= set(law) and all(abs(seen.get(k, 0) - e) < 5 * e**0.5 + 1 for k, e in law.items())
+    wide = [r.x for r in spark.range(150).select(mixture.hypergeometric(long(300_000), long(1_000_000), long(500_000), mixture.uniform(F.lit(2), F.col("id"))).alias("x")).collect()]
+    assert abs(np.mean(wide) - 150_000) < 5 * 230 / 150**0.5 and 150 < np.std(wide) < 310
+
+
+def test_splitting_tree_keeps_quotas(spark):
+    quotas = {"=a": 100, "=b": 37, "": 11, "=z": 0}
+    for shards in (1, 5, 8):
+        rows = mixture.split_quotas(spark.createDataFrame(list(quotas.items()), "src string, q long"), shards, 4).collect()
+        by_source, by_shard = Counter(), Counter()
+        for r in rows:
+            by_source[r.src] += r.q
+            by_shard[r.shard] += r.q
+        assert dict(by_source) == quotas and sorted(by_shard) == list(range(shards)) and min(r.q for r in rows) >= 0
+        assert max(by_shard.values()) - min(by_shard.values()) <= 2
+
+
+def test_running_sums_are_those_of_one_order(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), F.col("id").alias("t"), (F.col("id") % 7).alias("v"))
+    got = {r.t: r.s for r in mixture.running(rows, "g", "h", ["t"], F.col("v"), "s").collect()}
+    for g in range(3):
+        total = 0
+        # the ranges are those of the hash as an unsigned number, rows in a range go by the signed one
+        for r in sorted((r for r in rows.collect() if r.g == g), key=lambda r: (r.h % 2**64 >> 56, r.h)):
+            assert got[r.t] == total
+            total += r.v
+
+
+def test_mix_shards_hold_disjoint_blocks(spark):
+    """Every draw of a document lies in one shard; a block's documents share their shards; clashing columns keep their values."""
+    rows = [(k, "w " * (1 + k % 5), f"s{k % 3}", 7, "own") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string")
+    mixed = mixture.mix_documents(frame, shards=5, block_rows=16).collect()
+    assert {(r.size, r.target) for r in mixed} == {(7, "own")} and {r.mix_shard for r in mixed} == set(range(5))
+    shards = {r.doc_id: r.shards for r in mixture.allot(frame.select("doc_id", "text", "source"), shards=5, block_rows=16).collect()}
+    drawn = defaultdict(list)
+    for r in mixed:
+        drawn[r.doc_id].append(r.mix_shard)
+    assert all(sorted(drawn[k]) == sorted(v) for k, v in shards.items())
+    assert len({(r.mix_shard, r.mix_order) for r in mixed}) == len(mixed)
+
+
 # ---- quality ----
 
 
