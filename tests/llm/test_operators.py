@@ -610,10 +610,51 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert np.mean([kept[k] == (k % 4 > 0) for k in unseen]) > 0.98 and len(kept) == 802
 
 
-def test_quality_weights_do_not_depend_on_partitions(spark, docs):
+@pytest.mark.parametrize("length", [quality.LENGTH, 1])
+def test_quality_weights_and_choice_by_brute_force(spark, docs, length):
+    from ledgerlens.llm.shingles import blocks
+
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
-    a, b = quality.resample(docs, labels).collect(), quality.resample(docs.repartition(5), labels).collect()
-    assert Counter((r.doc_id, r.text, r.log_weight, r.kept) for r in a) == Counter((r.doc_id, r.text, r.log_weight, r.kept) for r in b)
+    got = quality.resample(docs, labels, missed=0.3, length=length).collect()
+    again = quality.resample(docs.repartition(5), labels, missed=0.3, length=length).collect()
+    assert Counter((r.doc_id, r.text, r.log_weight, r.kept) for r in got) == Counter((r.doc_id, r.text, r.log_weight, r.kept) for r in again)
+    fit = {k for k in range(60) if spark_hash((), np.int32(quality.SEED + 2), k) % 2 == 0}
+    rows = docs.collect()
+    grams = []  # of every row: lists of features, words' and shapes' apart
+    for r in rows:
+        found = quality.features(*next(blocks(pa.array([r.text])))[1:])[0]
+        grams.append(([x for x in found[:2].ravel().tolist() if x >= 0], [x for x in found[2:].ravel().tolist() if x >= 0], found.shape[1]))
+    ratio = {}
+    for model in (0, 1):
+        raw = Counter(x for g in grams for x in g[model])
+        good = Counter(x for r, g in zip(rows, grams) if r.doc_id in fit and r.doc_id % 2 for x in g[model])
+        for x in raw:
+            ratio[x] = math.log((good[x] + 1) / (sum(good.values()) + 2**14)) - math.log((raw[x] + 1) / (sum(raw.values()) + 2**14))
+    weights = [length * sum(ratio[x] for x in g[0] + g[1]) / max(1, g[2]) for g in grams]
+    noise = []
+    for r in rows:
+        raw = [np.int32(quality.SEED), r.doc_id]
+        h = spark_hash((), *raw)
+        h = h if r.text is None else xxhash.xxh64(r.text.encode(), seed=h % 2**64).intdigest()
+        noise.append(-math.log(-math.log(((h % 2**64 >> 11) + 0.5) / 2**53)))
+    unseen = [w for r, w in zip(rows, weights) if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2 and r.doc_id not in fit]
+    k = sum(w >= np.quantile(unseen, 0.3) - 1e-6 for w in weights)
+    keys = sorted((w + n for w, n in zip(weights, noise)), reverse=True)
+    want = Counter((r.doc_id, r.text, w + n >= keys[k - 1] - 1e-9) for r, w, n in zip(rows, weights, noise))
+    assert 0 < k < len(rows) and Counter((r.doc_id, r.text, r.kept) for r in got) == want
+    by = {(r.doc_id, r.text): r for r in got}
+    assert all(by[r.doc_id, r.text].log_weight == pytest.approx(w, abs=1e-2) and by[r.doc_id, r.text].gumbel_key == pytest.approx(w + n, abs=1e-2) for r, w, n in zip(rows, weights, noise))
+    # the noise matters: some rows over the cut go for others under it
+    assert length > 1 or any((w >= np.quantile(unseen, 0.3)) != by[r.doc_id, r.text].kept for r, w in zip(rows, weights))
+
+
+def test_kth_greatest(spark):
+    rng = random.Random(3)
+    values = [rng.choice([rng.random(), 0.5, -1e6, 7.0]) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 2, 130, 131, 250, 499, 500):
+        assert quality.kth_greatest(rows, "v", k, cells=4) == sorted(values, reverse=True)[k - 1]
+    assert quality.kth_greatest(rows, "v", 0) == float("inf") and quality.kth_greatest(rows, "v", 501) == float("-inf")
 
 
 # ---- the pipeline ----
