@@ -459,6 +459,43 @@ def test_topk_against_all_products(spark):
     assert got == want
 
 
+def test_topk_in_several_batches_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "BATCH_BLOCKS", 2)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-3, 4, (250, 6))
+    frame = spark.createDataFrame([(k % 240, (v / 256).tolist(), 1, 2) for k, v in enumerate(vectors)] + [(None, [0.1] * 6, 1, 2)], "vec_id long, embedding array<float>, score int, rank int")
+    want = set()
+    for q in range(0, 240, 10):
+        pairs = [(-int(vectors[a] @ vectors[b]), b % 240) for a in range(q, 250, 240) for b in range(250) if b % 240 != q]
+        want |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(sorted(pairs)[:5])}
+    assert {tuple(r) for r in topk.topk(frame.repartition(3), frame.filter("vec_id % 10 = 0"), sampled=3).collect()} == want
+
+
+def test_maxscore_probes_survivors_only():
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-100, 100, (3000, 64))
+    postings, ids = np.ascontiguousarray(vectors.T.astype(float)), np.arange(3000)
+    low, high = postings.min(1), postings.max(1)
+    for query in vectors[:20].astype(float):
+        scores = vectors @ query
+        want = sorted((-s, k) for k, s in enumerate(scores.tolist()) if k != 7)[:5]
+        for threshold in (None, -want[4][0], -want[4][0] / 2):
+            probed = Counter()
+            names, found = topk.maxscore(query, 7, ids, postings, low, high, 5, threshold, probed)
+            assert list(zip((-found).tolist(), names.tolist())) == want
+            if threshold is not None:
+                steps = sorted(probed)
+                width = np.abs(query) * (high - low)
+                order, first = topk.essential(width, threshold - np.where(query > 0, query * low, query * high).sum())
+                # the non-essential terms cannot reach the threshold, one term more could
+                assert steps[0] == first and probed[first] == 3000
+                need = threshold - np.where(query > 0, query * low, query * high).sum()
+                assert width[order[first:]].sum() < need <= width[order[first - 1 :]].sum()
+                assert all(probed[b] <= probed[a] for a, b in zip(steps, steps[1:])) and probed[steps[-1]] < 1000
+
+
 def test_topk_beyond_doubles(spark):
     frame = spark.createDataFrame([(k, [2.0**22, k / 256]) for k in range(3)], "vec_id long, embedding array<double>")
     rows = topk.topk(frame, frame.filter("vec_id = 1")).collect()
@@ -492,15 +529,30 @@ def test_adpcm_against_one_step_at_a_time():
 
 
 def test_text_audio(spark, docs):
-    rows = media.text_audio(docs).collect()
-    assert len(rows) == docs.count()
-    want = Counter((r.doc_id, hashlib.sha256((r.text or "").encode() + b"\xff" * (max(1, -(-len((r.text or "").encode()) // 576)) * 576 - len((r.text or "").encode()))).hexdigest()) for r in docs.collect())
-    assert Counter((r.doc_id, r.payload_sha256) for r in rows) == want
-    for r in rows:
-        kind, rate, block, payload = media.read_wav(bytes(r.media))
-        assert (kind, rate, block, len(payload)) == (7, 8000, 1, r.payload_bytes) and r.payload_bytes % 576 == 0 and hashlib.sha256(payload).hexdigest() == r.payload_sha256
-        assert zlib.crc32(payload[-32:]) == r.tail_crc32 and r.media_bytes == len(r.media)
-        assert media.feature(media.decode_wav(bytes(r.pcm))[0], 16000) == r.feature
+    long = spark.createDataFrame([(5000, "é" * 2_000_000, 1, 2)], "doc_id long, text string, media int, N_BYTES int")
+    for frame, to_rate in ((docs, 16000), (docs.withColumn("media", F.lit(1)).withColumn("pcm", F.lit(2)), 4000), (long, 4000)):
+        rows = media.text_audio(frame, to_rate=to_rate).collect()
+        raw = [(r.doc_id, (r.text or "").encode()) for r in frame.collect()]
+        payloads = [(k, len(t), t + b"\xff" * (max(1, -(-len(t) // 576)) * 576 - len(t))) for k, t in raw]
+        assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == Counter((k, n, hashlib.sha256(p).hexdigest()) for k, n, p in payloads)
+        seen = {}
+        for r in rows:
+            kind, rate, block, payload = media.read_wav(bytes(r.media))
+            assert (kind, block) in ((6, 1), (7, 1), (17, 576)) and rate == 8000 and len(payload) == r.payload_bytes and r.payload_bytes % 576 == 0
+            assert hashlib.sha256(payload).hexdigest() == r.payload_sha256 and hashlib.sha256(bytes(r.media)).hexdigest() == r.media_sha256
+            assert zlib.crc32(payload[-32:]) == r.tail_crc32 and r.media_bytes == len(r.media)
+            sound = media.decode_wav(bytes(r.pcm))
+            assert r.feature == f"format={media.NAMES[kind]};{media.feature(*sound)}" and sound[1] == to_rate
+            assert seen.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+            if len(payload) < 10_000:  # each file for itself
+                assert media.resample(*media.decode_wav(bytes(r.media)), to_rate).tolist() == sound[0].tolist()
+        assert frame is long or {media.read_wav(bytes(r.media))[0] for r in rows} == {6, 7, 17}
+
+
+def test_unreadable_media_are_null(spark):
+    frame = spark.createDataFrame([(1, 3, bytearray(b"junk")), (2, None, None), (3, 9, bytearray(media.store_payload(b"a" * 576, kind=17)))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.decoded(frame).collect()}
+    assert got[1].pcm is None and got[1].media_bytes == 4 and got[2].media_bytes is None and got[2].feature is None and got[3].payload_bytes == 576
     made = spark.createDataFrame([(bytearray(media.wav(6, 8000, 8, 1, bytes(range(200)), 200)),), (bytearray(b"junk"),), (None,)], "media binary")
     got = [r.pcm for r in media.decode_media(made).collect()]
     assert got[0] is not None and got[1] is None and got[2] is None
