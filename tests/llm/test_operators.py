@@ -183,11 +183,59 @@ def test_main_text():
 
 
 def test_names_around_and_within_an_article():
-    wrapped = '<body><div class="layout-sidebar share-on"><article class="post comments-open"><header><h1>H</h1></header><p>a<script>x</script>b</p><p class="notice">n</p><p>text</p></article><div class=comments><article><p>a long remark by a reader of this page</p></article></div></div>'
+    wrapped = '<body><div class="layout-sidebar share-on"><article class="post comments-open"><header><h1>H</h1></header><p>a<script>x</script>b</p><div class="newsletter">n</div><p>text</p></article><div class=comments><article><p>a long remark by a reader of this page</p></article></div></div>'
     assert html.main_text(wrapped) == "H\nab\ntext"
     assert html.main_text("<main><p>one<br>two</p><aside>x</aside><table><tr><td>c</td><td>d</td></tr></table><div role=complementary>z</div></main>") == "one\ntwo\nc\nd"
 
 
+LONG = "A long paragraph of the text, with as many words in it as paragraphs of articles are used to have."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div class="social-science"><p>one</p></div></article>', "one"),
+        ('<article><p class="related-work">one</p><p class=notice>two</p><p class="share-price">three</p><div class="ad">x</div><div id=comments>y</div></article>', "one\ntwo\nthree"),
+        (f"<div><article><p>I liked it very much.</p></article></div><article><h1>H</h1><p>{LONG}</p></article>", f"H\n{LONG}"),
+        (f"<article><h1>H</h1><p>{LONG}</p><article><p>{LONG} I said.</p></article></article>", f"H\n{LONG}"),
+        (f"<article><h1>H</h1><p>{LONG}</p></article><article><h2>Also</h2><p>Read on</p></article>", f"H\n{LONG}"),
+        ('<article><p>a</p><p hidden="hidden">b</p><p hidden>c</p><p style="color:red; display : none">d</p><p aria-hidden="true">e</p></article>', "a"),
+        (f"<nav><ul><li><a href=a>Menu</a><li><a href=b>More</a></ul><article><h1>H</h1><p>{LONG}</article>", f"H\n{LONG}"),
+        (f"<form action=x><div><article><p>{LONG}</p></article></div></form>", LONG),
+        ("<article><p>a</p><!-- never closed <p>b</p></article>", "a"),
+        ("<article><p>a</p><p>b <em>c</em></p><p class='x", "a\nb c"),
+        ("<article><p>1 < 2 & 3 &lt; 4 &#8212; &eacute;&nbsp;x</p>", "1 < 2 & 3 < 4 \u2014 \u00e9 x"),
+        (f"<head><title>T</title><body><p>{LONG}", LONG),
+        (f"<div><p>{LONG}</p><div><ul><li>one</li><li>two</li></ul></div><p>{LONG}</p></div><div>&copy; 2020 by us</div>", f"{LONG}\none\ntwo\n{LONG}"),
+        (f"<div class=top><a href=a>Home</a> <a href=b>News</a></div><h1>Title</h1><div><p>{LONG}</p><p>Short.</p></div><div><p>All rights reserved</p></div>", f"Title\n{LONG}\nShort."),
+        ("<main><h1>H</h1><p>one<p>two</main><div class='comment'><p>no</p></div>", "H\none\ntwo"),
+        (f"<aside><article><p>{LONG}</p></article></aside><main><p>main</p></main>", "main"),
+        ("<div hidden><p>x</p></div><script>var a='<p>no</p>'</script>", ""),
+        ("</p></div><p>stray", "stray"),
+        ("<p>" * 3000 + "deep" + "<div>" * 3000 + "text", "deep\ntext"),
+    ],
+)
+def test_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_the_ratio_chooses_the_region():
+    """Without articles nothing but the ratio tells a list of short lines from the text."""
+    items = "".join(f"<p><b>{w}</b> <i>{w}</i></p>" for w in LOREM)
+    page = f"<div>{items}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{items}</div>"
+    assert html.main_text(page) == f"{LONG}\n{LONG}"
+    # of two articles, that with more text over the threshold
+    assert html.main_text(f"<article>{items}</article><article><p>{LONG}</p><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    ratios = [html.smooth(np.array(x)) for x in ([0.0, 0, 10, 0, 0], [3.0] * 7)]
+    assert ratios[0].argmax() == 2 and ratios[0][1] == pytest.approx(ratios[0][3]) and ratios[1] == pytest.approx(np.full(7, 3.0))
+
+
+def test_very_long_pages():
+    page = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    assert html.main_text(page) == "\n".join(["word & word"] * 100_000)
+    assert html.main_text("<article><p>" + "x" * 3_000_000) == "x" * 3_000_000
+
+
 def test_extract_text_replaces_clashing_columns(spark):
     rows = spark.createDataFrame([(1, PAGE, "old", "keep"), (2, None, "old", "keep")], "page_id long, html string, TEXT string, more string")
     got = {r.page_id: r for r in html.extract_text(rows).collect()}
