@@ -19,7 +19,7 @@ class Policy:
 def review_status(confidence: Column, method: Column, policy: Policy) -> Column:
     heuristic, model = method.startswith("heuristic:"), method.startswith("claude:")
     return (
-        F.when(confidence < policy.min_confidence, "rejected_low_confidence")
+        F.when(confidence.isNull() | F.isnan(confidence) | (confidence < policy.min_confidence), "rejected_low_confidence")
         .when(heuristic & (confidence < policy.heuristic_min_confidence), "rejected_heuristic_low_confidence")
         .when(heuristic | (model & (confidence < policy.approved_confidence)), "review")
         .otherwise("approved")
@@ -27,7 +27,7 @@ def review_status(confidence: Column, method: Column, policy: Policy) -> Column:
 
 
 def gate(relations: DataFrame, policy: Policy = Policy(), confidence: str = "conf", method: str = "method") -> DataFrame:
-    """relations with review_status and load_decision (load or exclude)."""
+    """relations with review_status and load_decision (load or exclude); without a confidence a relation is rejected."""
     rows = relations.withColumn("review_status", review_status(F.col(confidence), F.col(method), policy))
     out = F.col("review_status").startswith("rejected")
     if not policy.include_reviewable:

@@ -1,5 +1,8 @@
 """The property graph: node and edge tables made by keyed upserts, and patterns over them.
 
+Inputs are tables of companies, filings, relations and mentions (``build``) or extraction records, whose
+order decides what a company is called (``from_records``); both end in ``assemble``.
+
 Upserts keep the last row of a key by an explicit order, with max_by, so that Spark combines
 rows before it shuffles and no key is sorted in one place.
 """
@@ -13,13 +16,17 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import graph_slug, padded_cik
 from ledgerlens.operators.gate import Policy, gate
+from ledgerlens.operators.keys import company_keys, known_keys
 
 RELATION_TYPES = ("COMPETES_WITH", "SUPPLIES", "CUSTOMER_OF", "SUBSIDIARY_OF", "EXPOSED_TO")
 #: Labels of extracted entities; a label that is not here (money) makes no node.
 ENTITY_LABELS = {"ORG": "Company", "PERSON": "Person", "GPE": "GeographicRegion", "LOC": "GeographicRegion", "PRODUCT": "ProductLine"}
 EDGE_KEY = ("src_label", "src_key", "type", "dst_label", "dst_key")
-EDGE_VALUES = ("predicate", "confidence", "source_text", "extraction_method", "review_status", "load_decision")
-NODE_VALUES = ("ticker", "name", "cik", "industry", "accession_number", "path", "form_type", "filing_date", "confidence", "extraction_method")
+EDGE_VALUES = ("predicate", "confidence", "source_text", "rationale", "extraction_method", "review_status", "load_decision")
+NODE_VALUES = ("ticker", "name", "cik", "industry", "accession_number", "path", "form_type", "filing_date", "source", "confidence", "extraction_method")
+# What edges from metadata and mentions say of themselves.
+FILED_METHOD, FILED_RATIONALE = "sec_submissions_metadata", "Filing downloaded from SEC EDGAR submissions metadata."
+MENTION_RATIONALE = "Entity mention extracted from filing text."
 
 
 def entity_label(label: Column) -> Column:
@@ -52,47 +59,106 @@ def filing_rows(filings: DataFrame) -> DataFrame:
     return filings.select("ticker", padded_cik(F.col("cik")).alias("cik"), key.alias("accession_number"), F.concat(F.lit("raw/10-K/"), F.col("ticker"), F.lit("_"), padded_cik(F.col("cik")), F.lit("_"), key, F.lit(".html")).alias("path"), F.lit("10-K").alias("form_type"), "filing_date")
 
 
-def relation_edges(relations: DataFrame, policy: Policy) -> DataFrame:
-    """Admitted relations as edges from the focal company, in their order."""
+def relation_edges(relations: DataFrame, policy: Policy, companies: DataFrame | None = None) -> DataFrame:
+    """Admitted relations as edges from the focal company, in their order; companies (ticker, name) are those that objects may name."""
     rows = gate(relations, policy).filter("load_decision = 'load'")
-    key = F.when(F.col("object_type") == "Company", F.col("object")).otherwise(graph_slug(F.col("object")))
+    slug = graph_slug(F.col("object"))
+    if companies is not None:
+        named = known_keys(companies, rows.filter("object_type = 'Company'").select(F.col("object").alias("mention")))
+        rows = rows.join(named.withColumnRenamed("mention", "object"), "object", "left")
+        slug = F.when(F.col("object_type") == "Company", F.col("company_key")).otherwise(slug)
+    return related_edges(rows.withColumnsRenamed({"conf": "confidence", "method": "extraction_method", "evidence": "source_text"}), slug)
+
+
+def related_edges(rows: DataFrame, key: Column) -> DataFrame:
+    """Edges of admitted relations whose target's key is given."""
+    either = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name)
     return rows.select(
         F.lit("Company").alias("src_label"), F.col("ticker").alias("src_key"), F.upper("predicate").alias("type"), F.col("object_type").alias("dst_label"), key.alias("dst_key"),
-        "predicate", F.col("conf").alias("confidence"), F.col("evidence").alias("source_text"), F.col("method").alias("extraction_method"), "review_status", "load_decision", "ord", F.col("object").alias("name"),
+        "predicate", "confidence", "source_text", either("rationale"), "extraction_method", "review_status", "load_decision", "ord", F.col("object").alias("name"), either("accession").alias("source"),
     )
 
 
-def build(companies: DataFrame, filings: DataFrame, relations: DataFrame, mentions: DataFrame, policy: Policy = Policy(min_confidence=0.1)) -> Graph:
-    """Node and edge tables of the inputs."""
-    filing = filing_rows(filings)
-    related = relation_edges(relations, policy)
-    mentioned = mentions.withColumn("dst_label", entity_label(F.col("entity_label"))).filter("dst_label is not null").select(
+def mention_edges(mentions: DataFrame) -> DataFrame:
+    """Edges from filings to what they mention: rows (ord, accession_number, entity_label, text, conf, method); labels without a node make none."""
+    rows = mentions.withColumn("dst_label", entity_label(F.col("entity_label"))).filter("dst_label is not null")
+    source = F.col("source") if "source" in rows.columns else F.col("accession_number")
+    return rows.select(
         F.lit("Filing").alias("src_label"), F.col("accession_number").alias("src_key"), F.lit("MENTIONS").alias("type"), "dst_label", graph_slug(F.col("text")).alias("dst_key"),
-        F.lit("mentions").alias("predicate"), F.col("conf").alias("confidence"), F.col("text").alias("source_text"), F.col("method").alias("extraction_method"), F.lit("approved").alias("review_status"), F.lit("load").alias("load_decision"), "ord", F.col("text").alias("name"),
+        F.lit("mentions").alias("predicate"), F.col("conf").alias("confidence"), F.col("text").alias("source_text"), F.lit(MENTION_RATIONALE).alias("rationale"), F.col("method").alias("extraction_method"), F.lit("approved").alias("review_status"), F.lit("load").alias("load_decision"), "ord", F.col("text").alias("name"), source.alias("source"),
     )
+
+
+def node(frame: DataFrame, label: Column, key: Column, **values: Column) -> DataFrame:
+    kinds = {"confidence": "double"}
+    return frame.select(label.alias("label"), key.alias("key"), *(values.get(v, F.lit(None)).cast(kinds.get(v, "string")).alias(v) for v in NODE_VALUES))
+
+
+def assemble(companies: DataFrame, filing: DataFrame, related: DataFrame, mentioned: DataFrame) -> Graph:
+    """Node and edge tables of companies (ticker, name, padded cik, industry), filings, and edges with their order.
+
+    A company that is only an object enters under its key with its first name; a company that is
+    mentioned takes the mention's name, source, confidence and method.
+    """
     filed = filing.select(
         F.lit("Company").alias("src_label"), F.col("ticker").alias("src_key"), F.lit("FILED").alias("type"), F.lit("Filing").alias("dst_label"), F.col("accession_number").alias("dst_key"),
-        F.lit("filed").alias("predicate"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_text"), F.lit("filing_metadata").alias("extraction_method"), F.lit("approved").alias("review_status"), F.lit("load").alias("load_decision"),
+        F.lit("filed").alias("predicate"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_text"), F.lit(FILED_RATIONALE).alias("rationale"), F.lit(FILED_METHOD).alias("extraction_method"), F.lit("approved").alias("review_status"), F.lit("load").alias("load_decision"),
     )
-
-    def node(frame: DataFrame, label: Column, key: Column, **values: Column) -> DataFrame:
-        kinds = {"confidence": "double"}
-        return frame.select(label.alias("label"), key.alias("key"), *(values.get(v, F.lit(None)).cast(kinds.get(v, "string")).alias(v) for v in NODE_VALUES))
-
-    focal = node(companies, F.lit("Company"), F.col("ticker"), ticker=F.col("ticker"), name=F.col("name"), cik=padded_cik(F.col("cik")), industry=F.col("industry"))
     others = related.filter("dst_label = 'Company'").join(companies.select(F.col("ticker").alias("dst_key")), "dst_key", "left_anti")
-    placeholder = node(first_of(others.select("dst_key", "ord", "name"), ("dst_key",), [F.col("ord")]), F.lit("Company"), F.col("dst_key"), ticker=F.col("dst_key"), name=F.col("name"))
-    things = related.filter("dst_label <> 'Company'").unionByName(mentioned).select("dst_label", "dst_key", "name", "confidence", "extraction_method", "ord")
+    first = first_of(others.select("dst_key", "ord", "name"), ("dst_key",), [F.col("ord"), F.col("name")])
+    known = companies.select("ticker", "name", "cik", "industry").unionByName(first.select(F.col("dst_key").alias("ticker"), "name", F.lit(None).cast("string").alias("cik"), F.lit(None).cast("string").alias("industry")))
+
+    things = related.filter("dst_label <> 'Company'").unionByName(mentioned).select("dst_label", "dst_key", "name", "source", "confidence", "extraction_method", "ord")
     entities = last_of(things, ("dst_label", "dst_key"), [F.col("ord"), F.col("confidence"), F.col("extraction_method"), F.col("name")])
-    entity = node(entities, F.col("dst_label"), F.col("dst_key"), name=F.col("name"), confidence=F.col("confidence"), extraction_method=F.col("extraction_method"))
-    papers = node(filing, F.lit("Filing"), F.col("accession_number"), ticker=F.col("ticker"), cik=F.col("cik"), accession_number=F.col("accession_number"), path=F.col("path"), form_type=F.col("form_type"), filing_date=F.col("filing_date"))
-    nodes = focal.unionByName(placeholder).unionByName(papers).unionByName(entity)
+    said = entities.filter("dst_label = 'Company'").select(F.col("dst_key").alias("ticker"), F.col("name").alias("said"), "source", "confidence", "extraction_method")
+    known = known.join(said, "ticker", "full").withColumn("name", F.coalesce("said", "name"))
+    own = {c: F.col(c) for c in ("ticker", "name", "cik", "industry", "source", "confidence", "extraction_method")}
+    nodes = node(known, F.lit("Company"), F.col("ticker"), **own)
+    apart = entities.filter("dst_label <> 'Company'")
+    nodes = nodes.unionByName(node(apart, F.col("dst_label"), F.col("dst_key"), **{c: F.col(c) for c in ("name", "source", "confidence", "extraction_method")}))
+    papers = {c: F.col(c) for c in ("ticker", "cik", "accession_number", "path", "form_type", "filing_date")}
+    nodes = nodes.unionByName(node(filing, F.lit("Filing"), F.col("accession_number"), **papers))
 
     rows = related.unionByName(mentioned).select(*EDGE_KEY, *EDGE_VALUES, "ord")
     edges = last_of(rows, EDGE_KEY, [F.col("ord"), F.col("confidence"), F.col("extraction_method"), F.col("source_text")])
     return Graph(nodes, edges.select(*EDGE_KEY, *EDGE_VALUES).unionByName(filed))
 
 
+def build(companies: DataFrame, filings: DataFrame, relations: DataFrame, mentions: DataFrame, policy: Policy = Policy(min_confidence=0.1)) -> Graph:
+    """The graph of input tables: all companies are known from the beginning."""
+    related = relation_edges(relations, policy, companies)
+    return assemble(companies.withColumn("cik", padded_cik(F.col("cik"))), filing_rows(filings), related, mention_edges(mentions))
+
+
+def from_records(records: DataFrame, policy: Policy = Policy()) -> Graph:
+    """The graph of extraction records, read in the order of record_ord.
+
+    Of a company and of a filing the last record counts, of an entity the last entity or relation (in a
+    record, relations come after entities).  An object that is a company takes the key that the companies
+    read so far give it.
+    """
+    rows = records.select(F.col("record_ord").alias("rec"), "ticker", "filing", "entities", "relationships", best_name().alias("name"))
+    cik = padded_cik(F.col("filing.cik"))
+    companies = last_of(rows.select("ticker", "rec", "name", cik.alias("cik")), ("ticker",), [F.col("rec")]).withColumn("industry", F.lit(None).cast("string"))
+    filing = rows.select(F.col("filing.accession_number").alias("accession_number"), "filing.path", F.lit("10-K").alias("form_type"), "ticker", cik.alias("cik"), F.lit(None).cast("string").alias("filing_date"), "rec")
+    filing = last_of(filing, ("accession_number",), [F.col("rec")])
+    place = lambda phase, at: F.struct("rec", F.lit(phase).alias("phase"), F.col(at).alias("at"))
+    said = rows.select("rec", F.col("filing.accession_number").alias("accession_number"), F.posexplode("entities").alias("at", "e"))
+    mentioned = said.select(place(0, "at").alias("ord"), "accession_number", F.col("e.label").alias("entity_label"), "e.text", F.col("e.confidence").alias("conf"), F.col("e.extraction_method").alias("method"), "e.source")
+    found = rows.select("rec", "ticker", F.col("filing.accession_number").alias("accession"), F.posexplode("relationships").alias("rel", "r")).select("rec", "rel", "ticker", "accession", "r.*")
+    found = gate(found, policy, "confidence", "extraction_method").filter("load_decision = 'load'")
+    named = company_keys(rows.select("rec", "ticker", "name"), found.filter("object_type = 'Company'").select("rec", "rel", F.col("object").alias("mention"))).select("rec", "rel", "company_key")
+    found = found.join(named, ["rec", "rel"], "left").withColumn("ord", place(1, "rel"))
+    related = related_edges(found, F.when(F.col("object_type") == "Company", F.col("company_key")).otherwise(graph_slug(F.col("object"))))
+    return assemble(companies, filing, related, mention_edges(mentioned))
+
+
+def best_name() -> Column:
+    """A record's company name: the first linked resolution with its own ticker, else the ticker."""
+    own = F.get(F.filter("entity_resolution", lambda r: (r["status"] == "linked") & (r["ticker"] == F.col("ticker"))), F.lit(0))["matched_name"]
+    return F.coalesce(own, F.col("ticker"))
+
+
 def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes."""
     src = nodes.select(F.col("label").alias("src_label"), F.col("key").alias("src_key"))

@@ -73,3 +73,10 @@ def company_keys(focal: DataFrame, mentions: DataFrame) -> DataFrame:
     earlier = F.col("p.rec") < F.col("hit.entered")
     key = F.when(F.col("hit").isNull(), F.col("slug")).when(F.coalesce(before & bears & earlier, F.lit(False)), F.col("slug")).otherwise(F.col("hit.ticker"))
     return rows.select("rec", "rel", "mention", key.alias("company_key"))
+
+
+def known_keys(companies: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(mention, company_key) of distinct mentions where all companies (ticker, name) are there from the beginning."""
+    focal = companies.select(F.lit(0).cast("long").alias("rec"), "ticker", "name")
+    asked = mentions.select("mention").distinct().select(F.lit(1).cast("long").alias("rec"), F.lit(0).alias("rel"), "mention")
+    return company_keys(focal, asked).select("mention", "company_key")

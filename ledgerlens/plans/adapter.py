@@ -16,7 +16,8 @@ lines AS (
     CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord,
     round(((l_orderkey * 7 + l_linenumber * 13) % 101) / CAST(100 AS DOUBLE), 2) AS conf,
     CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'claude:m' WHEN 1 THEN 'heuristic:k' ELSE 'sec_form' END AS method,
-    CASE WHEN l_linenumber = 7 THEN ' ' ELSE concat('Order ', CAST(l_orderkey AS STRING), ' names it.') END AS evidence
+    CASE WHEN l_linenumber = 7 THEN ' ' ELSE concat('Order ', CAST(l_orderkey AS STRING), ' names it.') END AS evidence,
+    concat('Line ', CAST(l_linenumber AS STRING), ' of an order.') AS rationale, concat('SUP', CAST(l_suppkey AS STRING), '-', CAST(year(l_shipdate) AS STRING)) AS accession
   FROM lineitem WHERE l_discount > 0.085 AND l_quantity >= 45
 ), raw_companies AS (
   SELECT concat('SUP', CAST(s_suppkey AS STRING)) AS ticker, s_name AS name, CAST(s_suppkey AS BIGINT) AS cik, r_name AS industry
@@ -25,26 +26,31 @@ lines AS (
   SELECT concat('SUP', CAST(l_suppkey AS STRING)) AS ticker, CAST(l_suppkey AS BIGINT) AS cik, CAST(year(l_shipdate) AS INT) AS filing_year,
     CAST(CAST(max(l_shipdate) AS DATE) AS STRING) AS filing_date FROM lineitem GROUP BY l_suppkey, year(l_shipdate)
 ), raw_relations AS (
-  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)) AS ticker, 'supplies' AS predicate, concat(p_brand, '/', p_type) AS object, 'ProductLine' AS object_type, conf, method, evidence
+  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)) AS ticker, 'supplies' AS predicate, concat(p_brand, '/', p_type) AS object, 'ProductLine' AS object_type, conf, method, evidence, rationale, accession
   FROM lines JOIN part ON l_partkey = p_partkey
   UNION ALL
-  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)), 'exposed_to', n_name, 'GeographicRegion', conf, method, evidence
+  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)), 'exposed_to', n_name, 'GeographicRegion', conf, method, evidence, rationale, accession
   FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE qty >= 48
   UNION ALL
-  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)), 'customer_of', concat('CUS', CAST(o_custkey AS STRING)), 'Company', conf, method, evidence
+  SELECT ord, concat('SUP', CAST(l_suppkey AS STRING)), 'customer_of', concat('Cus ', CAST(o_custkey AS STRING)), 'Company', conf, method, evidence, rationale, accession
   FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE disc >= 0.1 AND qty >= 48
   UNION ALL
-  SELECT CAST(0 AS BIGINT), concat('SUP', CAST(a.s_suppkey AS STRING)), 'competes_with', concat('SUP', CAST(b.s_suppkey AS STRING)), 'Company',
+  SELECT CAST(0 AS BIGINT), concat('SUP', CAST(a.s_suppkey AS STRING)), 'competes_with',
+    CASE b.s_suppkey % 4 WHEN 0 THEN upper(b.s_name) WHEN 1 THEN concat('Sup', CAST(b.s_suppkey AS STRING)) WHEN 2 THEN b.s_name ELSE concat('SUP', CAST(b.s_suppkey AS STRING)) END, 'Company',
     round(((a.s_suppkey * 7 + b.s_suppkey * 13) % 101) / CAST(100 AS DOUBLE), 2),
-    CASE (a.s_suppkey + b.s_suppkey) % 3 WHEN 0 THEN 'claude:m' WHEN 1 THEN 'heuristic:k' ELSE 'sec_form' END, concat(a.s_name, ' competes with ', b.s_name)
+    CASE (a.s_suppkey + b.s_suppkey) % 3 WHEN 0 THEN 'claude:m' WHEN 1 THEN 'heuristic:k' ELSE 'sec_form' END, concat(a.s_name, ' competes with ', b.s_name), 'Same nation.', CAST(NULL AS STRING)
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
   UNION ALL
-  SELECT CAST(0 AS BIGINT), concat('SUP', CAST(s_suppkey AS STRING)), 'subsidiary_of', concat('SUP', CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS STRING)), 'Company',
-    CAST(0.9 AS DOUBLE), 'claude:m', concat(s_name, ' is a subsidiary') FROM supplier WHERE s_suppkey >= 10
+  SELECT CAST(0 AS BIGINT), concat('SUP', CAST(s_suppkey AS STRING)), 'subsidiary_of', concat('sup', CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS STRING)), 'Company',
+    CAST(0.9 AS DOUBLE), 'claude:m', concat(s_name, ' is a subsidiary'), 'By number.', CAST(NULL AS STRING) FROM supplier WHERE s_suppkey >= 10
 ), raw_mentions AS (
   SELECT ord, concat('SUP', CAST(l_suppkey AS STRING), '-', CAST(year(l_shipdate) AS STRING)) AS accession_number, 'PRODUCT' AS entity_label,
     concat(p_brand, '/', p_type) AS text, conf, 'regex:product' AS method
   FROM lines JOIN part ON l_partkey = p_partkey
+  UNION ALL
+  SELECT ord, accession, 'ORG', concat('CUS ', CAST(o_custkey AS STRING)), conf, 'regex:org_suffix' FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE disc >= 0.1 AND qty >= 49
+  UNION ALL
+  SELECT ord, accession, 'MONEY', '$1', conf, 'regex:money' FROM lines WHERE qty >= 50
 )
 """
 

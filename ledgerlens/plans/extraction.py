@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import extract, filing
 from ledgerlens.functions.text import tolerant_json
 from ledgerlens.operators.gate import Policy, gate
+from ledgerlens.operators.graph import best_name as record_name
 from ledgerlens.operators.resolve import resolve
 
 MOST_ENTITIES, MOST_MENTIONS = 80, 30
@@ -116,8 +117,7 @@ def review_rows(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 def best_name(rows: DataFrame) -> DataFrame:
     """(ticker, name): the first linked resolution with the record's own ticker, else the ticker."""
-    own = F.get(F.filter("entity_resolution", lambda r: (r["status"] == "linked") & (r["ticker"] == F.col("ticker"))), F.lit(0))["matched_name"]
-    return rows.select("ticker", F.coalesce(own, F.col("ticker")).alias("name"))
+    return rows.select("ticker", record_name().alias("name"))
 
 
 def ticker_list(text: str, macros: dict[str, list[str]] | None = None) -> list[str]:

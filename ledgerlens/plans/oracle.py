@@ -25,32 +25,35 @@ gated AS (
   SELECT *, CASE WHEN starts_with(review_status, 'rejected') THEN 'exclude' ELSE 'load' END AS load_decision FROM gated
 ), related AS (
   SELECT 'Company' AS src_label, ticker AS src_key, upper(predicate) AS type, object_type AS dst_label,
-    CASE WHEN object_type = 'Company' THEN object ELSE {slug("object")} END AS dst_key, predicate, conf AS confidence, evidence AS source_text,
-    method AS extraction_method, review_status, load_decision, ord, object AS name FROM decided WHERE load_decision = 'load'
+    CASE WHEN object_type = 'Company' THEN coalesce(known.t, {slug("object")}) ELSE {slug("object")} END AS dst_key, predicate, conf AS confidence, evidence AS source_text,
+    rationale, method AS extraction_method, review_status, load_decision, ord, object AS name, accession AS source
+  FROM decided LEFT JOIN (SELECT w, min(t) AS t FROM (SELECT lower(ticker) AS w, ticker AS t FROM raw_companies UNION ALL SELECT lower(name), ticker FROM raw_companies) GROUP BY w) known ON known.w = lower(object)
+  WHERE load_decision = 'load'
 ), mentioned AS (
-  SELECT 'Filing' AS src_label, accession_number AS src_key, 'MENTIONS' AS type, 'ProductLine' AS dst_label, {slug("text")} AS dst_key, 'mentions' AS predicate,
-    conf AS confidence, text AS source_text, method AS extraction_method, 'approved' AS review_status, 'load' AS load_decision, ord, text AS name FROM raw_mentions
+  SELECT 'Filing' AS src_label, accession_number AS src_key, 'MENTIONS' AS type, CASE entity_label WHEN 'ORG' THEN 'Company' ELSE 'ProductLine' END AS dst_label, {slug("text")} AS dst_key, 'mentions' AS predicate,
+    conf AS confidence, text AS source_text, 'Entity mention extracted from filing text.' AS rationale, method AS extraction_method, 'approved' AS review_status, 'load' AS load_decision, ord, text AS name,
+    accession_number AS source FROM raw_mentions WHERE entity_label <> 'MONEY'
 ), papers AS (
   SELECT ticker, lpad(CAST(cik AS STRING), 10, '0') AS cik, concat(ticker, '-', filing_year) AS accession_number,
     concat('raw/10-K/', ticker, '_', lpad(CAST(cik AS STRING), 10, '0'), '_', ticker, '-', filing_year, '.html') AS path, '10-K' AS form_type, filing_date FROM raw_filings
 ), edges AS (
-  SELECT src_label, src_key, type, dst_label, dst_key, predicate, confidence, source_text, extraction_method, review_status, load_decision FROM (
+  SELECT src_label, src_key, type, dst_label, dst_key, predicate, confidence, source_text, rationale, extraction_method, review_status, load_decision FROM (
     SELECT *, row_number() OVER (PARTITION BY src_label, src_key, type, dst_label, dst_key ORDER BY ord DESC, confidence DESC, extraction_method DESC, source_text DESC) AS rn
     FROM (SELECT * FROM related UNION ALL SELECT * FROM mentioned)) WHERE rn = 1
   UNION ALL
-  SELECT 'Company', ticker, 'FILED', 'Filing', accession_number, 'filed', 1.0, '', 'filing_metadata', 'approved', 'load' FROM papers
+  SELECT 'Company', ticker, 'FILED', 'Filing', accession_number, 'filed', 1.0, '', 'Filing downloaded from SEC EDGAR submissions metadata.', 'sec_submissions_metadata', 'approved', 'load' FROM papers
 ), placeholders AS (
-  SELECT dst_key, name FROM (SELECT dst_key, name, row_number() OVER (PARTITION BY dst_key ORDER BY ord) AS rn FROM related
+  SELECT dst_key, name FROM (SELECT dst_key, name, row_number() OVER (PARTITION BY dst_key ORDER BY ord, name) AS rn FROM related
     WHERE dst_label = 'Company' AND dst_key NOT IN (SELECT ticker FROM raw_companies)) WHERE rn = 1
 ), things AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst_label, dst_key ORDER BY ord DESC, confidence DESC, extraction_method DESC, name DESC) AS rn
     FROM (SELECT * FROM related WHERE dst_label <> 'Company' UNION ALL SELECT * FROM mentioned)) WHERE rn = 1
 ), nodes AS (
-  SELECT 'Company' AS label, ticker AS key, ticker, name, lpad(CAST(cik AS STRING), 10, '0') AS cik, industry, CAST(NULL AS STRING) AS accession_number, CAST(NULL AS STRING) AS path,
-    CAST(NULL AS STRING) AS form_type, CAST(NULL AS STRING) AS filing_date, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS STRING) AS extraction_method FROM raw_companies
-  UNION ALL SELECT 'Company', dst_key, dst_key, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM placeholders
-  UNION ALL SELECT 'Filing', accession_number, ticker, NULL, cik, NULL, accession_number, path, form_type, filing_date, NULL, NULL FROM papers
-  UNION ALL SELECT dst_label, dst_key, NULL, name, NULL, NULL, NULL, NULL, NULL, NULL, confidence, extraction_method FROM things
+  SELECT 'Company' AS label, coalesce(k.ticker, said.dst_key) AS key, coalesce(k.ticker, said.dst_key) AS ticker, coalesce(said.name, k.name) AS name, lpad(CAST(k.cik AS STRING), 10, '0') AS cik, k.industry, CAST(NULL AS STRING) AS accession_number, CAST(NULL AS STRING) AS path,
+    CAST(NULL AS STRING) AS form_type, CAST(NULL AS STRING) AS filing_date, said.source, said.confidence, said.extraction_method
+    FROM (SELECT ticker, name, cik, industry FROM raw_companies UNION ALL SELECT dst_key, name, NULL, NULL FROM placeholders) k FULL JOIN (SELECT * FROM things WHERE dst_label = 'Company') said ON said.dst_key = k.ticker
+  UNION ALL SELECT 'Filing', accession_number, ticker, NULL, cik, NULL, accession_number, path, form_type, filing_date, NULL, NULL, NULL FROM papers
+  UNION ALL SELECT dst_label, dst_key, NULL, name, NULL, NULL, NULL, NULL, NULL, NULL, source, confidence, extraction_method FROM things WHERE dst_label <> 'Company'
 ), ends AS (
   SELECT src_label AS label, src_key AS key FROM edges UNION ALL SELECT dst_label, dst_key FROM edges WHERE NOT (src_label = dst_label AND src_key = dst_key)
 ), degree AS (SELECT label, key, count(*) AS degree FROM ends GROUP BY label, key
@@ -149,14 +152,14 @@ def oracle() -> dict[str, str]:
         "orphan_nodes": GRAPH + "SELECT label, count(*) AS count FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.label = n.label AND e.key = n.key) GROUP BY label",
         "self_edges": GRAPH + "SELECT type, count(*) AS count FROM edges WHERE src_label = dst_label AND src_key = dst_key GROUP BY type",
         "invalid_confidence": GRAPH + "SELECT count(*) AS count FROM edges WHERE confidence IS NULL OR confidence < 0.2 OR confidence > 1",
-        "missing_evidence": GRAPH + "SELECT type, count(*) AS count FROM edges WHERE type <> 'FILED' AND extraction_method <> 'filing_metadata' AND trim(source_text) = '' GROUP BY type",
-        "generic_companies": GRAPH + "SELECT coalesce(ticker, key) AS key, name FROM nodes WHERE label = 'Company' AND (name IN ('Company', 'CUS7', 'Group') OR ticker IN ('SUP1', 'Group'))",
+        "missing_evidence": GRAPH + "SELECT type, count(*) AS count FROM edges WHERE type <> 'FILED' AND extraction_method <> 'sec_submissions_metadata' AND trim(source_text) = '' GROUP BY type",
+        "generic_companies": GRAPH + "SELECT coalesce(ticker, key) AS key, name FROM nodes WHERE label = 'Company' AND (name IN ('Company', 'CUS 7', 'Group') OR ticker IN ('SUP1', 'Group'))",
         "validation_checks": GRAPH + """, counts AS (SELECT type, (SELECT count(*) FROM triples t WHERE t.p = camel.p) AS t, g FROM camel JOIN (SELECT type, lower(type) AS predicate, count(*) AS g FROM edges GROUP BY type) USING (predicate))
             SELECT 'graph_has_nodes' AS check_name, (SELECT count(*) FROM nodes) > 0 AS passed UNION ALL SELECT 'graph_has_relationships', (SELECT count(*) FROM edges) > 0 UNION ALL SELECT 'rdf_has_triples', (SELECT count(*) FROM triples) > 0
             UNION ALL SELECT 'no_orphan_nodes', (SELECT count(*) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.label = n.label AND e.key = n.key)) = 0
             UNION ALL SELECT 'relationship_counts_match_rdf', (SELECT count(*) FROM counts WHERE t <> g) = 0
             UNION ALL SELECT 'relationship_confidence_valid', (SELECT count(*) FROM edges WHERE confidence IS NULL OR confidence < 0 OR confidence > 1) = 0
-            UNION ALL SELECT 'extracted_relationships_have_evidence', (SELECT count(*) FROM edges WHERE type <> 'FILED' AND extraction_method <> 'filing_metadata' AND trim(source_text) = '') = 0
+            UNION ALL SELECT 'extracted_relationships_have_evidence', (SELECT count(*) FROM edges WHERE type <> 'FILED' AND extraction_method <> 'sec_submissions_metadata' AND trim(source_text) = '') = 0
             UNION ALL SELECT 'no_self_relationships', (SELECT count(*) FROM edges WHERE src_label = dst_label AND src_key = dst_key) = 0
             UNION ALL SELECT 'no_generic_company_nodes', (SELECT count(*) FROM nodes WHERE label = 'Company' AND (name IN ('Company', 'Corporation', 'Industry', 'Products', 'Services', 'Group') OR ticker IN ('Company', 'Corporation', 'Industry', 'Products', 'Services', 'Group'))) = 0""",
         "rdf_triples": GRAPH + "SELECT s, p, o, kind FROM triples",

@@ -151,7 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "self_edges": on_graph(lambda g: _counted(checks.self_edges(g.edges), "type")),
         "invalid_confidence": on_graph(lambda g: checks.invalid_confidence(g.edges.withColumn("confidence", F.when(F.col("confidence") >= 0.2, F.col("confidence")))).agg(F.count("*").alias("count"))),
         "missing_evidence": on_graph(lambda g: _counted(checks.missing_evidence(g.edges), "type")),
-        "generic_companies": on_graph(lambda g: checks.generic_companies(g.nodes, ["Company", "CUS7", "Group", "SUP1"])),
+        "generic_companies": on_graph(lambda g: checks.generic_companies(g.nodes, ["Company", "CUS 7", "Group", "SUP1"])),
         "validation_checks": on_stored(lambda g: checks.checks(g, triples.triples(g))),
         "rdf_triples": on_triples(lambda t: t),
         "rdf_predicate_counts": on_triples(lambda t: triples.predicate_counts(t).orderBy(F.col("n").desc(), "predicate").limit(20)),
