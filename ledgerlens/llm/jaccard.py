@@ -17,7 +17,7 @@
    but for members that are linked already.
 4. Boundary classes are laid out again in the other regions that they belong to, but only in those
    that hold two homes and two components: pairs of one home are decided, and so are linked ones.
-5. Regions give a star of each component found, and components follow by star rounds.
+5. In a region, members most of whose shingles nobody else there has are left out first.  Regions give a star of each component found, and components follow by star rounds.
 
 A region too large for a task is cut into blocks, of which each pair meets in a task of its own.  A
 shingle that the sketch puts in very many documents has its list dealt to several tasks, and its
@@ -94,7 +94,7 @@ class Region:
         self.sets, self.num, self.den = sets, num, den
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.tree = np.arange(n) if trees is None else np.unique(trees, return_inverse=True)[1].reshape(n)
-        self.homes, self.found = homes, Counter()
+        self.homes, self.found, self.work = homes, Counter(), 0
 
     def unite(self, x: int, others: np.ndarray, how: str) -> None:
         """Links member x with all others."""
@@ -122,8 +122,25 @@ class Region:
                 best = rest if len(rest) < len(best) else best
         return best
 
+    def sharing(self, members: np.ndarray) -> np.ndarray:
+        """Those members that share enough shingles with others for a link: of the first n - ceil(t n) + 1 in any order one must be shared, so no more may be a member's own."""
+        while len(members) > 1:
+            values, of = np.concatenate([self.sets[i] for i in members]), np.repeat(np.arange(len(members)), self.sizes[members])
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            alone = np.concatenate([[True], values[1:] != values[:-1]]) & np.concatenate([values[1:] != values[:-1], [True]])
+            own = np.bincount(of[order][alone], minlength=len(members))
+            fit = own < _prefix(self.sizes[members], self.num, self.den)
+            if fit.all():
+                break
+            members = members[fit]
+        return members
+
     def join(self, members: np.ndarray, depth: int = 0) -> None:
         """Finds every undecided link among the members, by pivots and Voronoi cells with windows."""
+        members = self.sharing(members)
+        if len(members) < 2:
+            return
         probes = self.open(members)
         if not len(probes):
             return
@@ -148,12 +165,12 @@ class Region:
         own = far.min(1)
         cells = [np.flatnonzero((far[:, k] <= own + 2 * reach) & (own < 1)) for k in range(len(pivots))]
         cells.append(np.flatnonzero(own >= 1 - reach))
-        cells = [c for c in cells if len(c) == len(members)][:1] or cells
+        self.work += len(members)
+        if max(map(len, cells)) > 0.8 * len(members) or self.work > 16 * len(self.sets):
+            self.rings(members, far, reach)  # cells that hold nearly all, or each other's members again and again, are no smaller work
+            return
         for cell in cells:
-            if len(cell) > 0.8 * len(members):
-                self.rings(members[cell], far[cell], reach)
-            elif len(cell) > 1:
-                self.join(members[cell], depth + 1)
+            self.join(members[cell], depth + 1)
 
     def rings(self, members: np.ndarray, far: np.ndarray, reach: float) -> None:
         """Undecided links of a cell that does not shrink: probes against the ring of members at about their own distance from a pivot."""
@@ -453,8 +470,10 @@ def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_
     label = inner.groupBy(F.col("az").alias("z"), F.col("ak").alias("k")).agg(F.min(F.struct("bz", "bk")).alias("l"))
     known = wanted.join(label, ["z", "k"], "left").select("f", "home", F.coalesce("l.bz", "z").alias("lz"), F.coalesce("l.bk", "k").alias("lk"))
     crossing = member.drop("votes").join(known, "f")
+    crossing = written(crossing, "crossing")
     several = crossing.groupBy("p").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min(F.struct("lz", "lk")).alias("l0"), F.max(F.struct("lz", "lk")).alias("l1"))
-    crossing = crossing.join(several.filter("h0 <> h1 and l0 <> l1").select("p"), "p")
+    # a table of its own: the join with it may be split where a region has many members
+    crossing = crossing.join(written(several.filter("h0 <> h1 and l0 <> l1").select("p"), "several"), "p")
     outer = written(links(crossing.drop("home")), "links")
 
     edges = inner.unionByName(outer).select(F.struct(F.col("az").alias("z"), F.col("ak").alias("k")).alias("a"), F.struct(F.col("bz").alias("z"), F.col("bk").alias("k")).alias("b"))

@@ -153,7 +153,8 @@ def allotted(rows: DataFrame, thin: DataFrame, shards: int = SHARDS, block_rows:
     words = F.floor(F.col("target") + 0.5).cast("long")
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(words / F.col("source_size")), F.lit(CAP))).otherwise(0).cast("int"))
     goal = goal.withColumn("rest", F.when(F.col("passes") < CAP, words - F.col("passes") * F.col("source_size")).otherwise(0)).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    goal = goal.withColumn("__src", F.coalesce(F.concat(F.lit("="), "src"), F.lit(""))).drop("src", "n")
+    # a table of its own, with a size that is known when rows are joined with it
+    goal = written(goal.withColumn("__src", F.coalesce(F.concat(F.lit("="), "src"), F.lit(""))).drop("src", "n"), "targets")
 
     block = F.pmod(F.xxhash64("__h"), F.col("blocks")).cast("int")
     cells = thin.join(goal.select("__src", "passes", "rest", "blocks"), "__src").groupBy("__src", block.alias("__block"), "passes", "rest").agg(F.sum("size").alias("words"))
