@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import graph_slug, padded_cik
@@ -159,6 +159,28 @@ def best_name() -> Column:
     return F.coalesce(own, F.col("ticker"))
 
 
+def write(g: Graph, folder: str) -> None:
+    """The graph's tables in a folder: nodes by label and edges by type; triples (no edges) by predicate."""
+    by = "label" if "label" in g.nodes.columns else "p"
+    g.nodes.repartition(by, F.pmod(F.xxhash64(*g.nodes.columns), F.lit(8))).write.mode("overwrite").partitionBy(by).parquet(f"{folder}/nodes")
+    g.nodes.limit(0).write.mode("overwrite").parquet(f"{folder}/nodes_kind")
+    if g.edges is not None:
+        g.edges.repartition("type", F.pmod(F.xxhash64("src_key", "dst_key"), F.lit(8))).write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+        g.edges.limit(0).write.mode("overwrite").parquet(f"{folder}/edges_kind")
+
+
+def read(spark: SparkSession, folder: str) -> Graph:
+    """Tables that write() made; filters on label, type or predicate leave folders unread."""
+
+    def whole(name: str) -> DataFrame:
+        kind = spark.read.parquet(f"{folder}/{name}_kind").schema
+        return spark.read.schema(kind).parquet(f"{folder}/{name}").select(*kind.names)
+
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges_kind")
+    edges = whole("edges") if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
+    return Graph(whole("nodes"), edges)
+
+
 def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes."""
     src = nodes.select(F.col("label").alias("src_label"), F.col("key").alias("src_key"))

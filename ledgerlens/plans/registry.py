@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import extract, filing, text
 from ledgerlens.operators import analytics, checks, graph, keys, resolve, similarity, triples
 from ledgerlens.operators.gate import Policy, gate
+from ledgerlens.plans.adapter import TABLES as ADAPTED
 from ledgerlens.plans.adapter import Inputs
 from ledgerlens.plans.texts import TEXTS
 from ledgerlens.sources.companies import cik_join
@@ -23,10 +25,38 @@ def build(spark: SparkSession, sf_dir: str) -> graph.Graph:
     return graph.build(i.companies, i.filings, i.relations, i.mentions, POLICY)
 
 
+#: Stored graphs of this application: the state of the input files, and the folder.
+_STORED: dict[str, tuple[tuple, str]] = {}
+
+
 def stored(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """The graph with both tables written first, for queries that read them several times."""
-    g = build(spark, sf_dir)
-    return graph.Graph(analytics.checkpointed(g.nodes), analytics.checkpointed(g.edges))
+    """The graph of the tables as they are, built once: nodes partitioned by label and edges by type, read with pushed filters."""
+    return kept(spark, sf_dir, ADAPTED, "graph", lambda: build(spark, sf_dir))
+
+
+def kept(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], what: str, make: Callable[[], graph.Graph]) -> graph.Graph:
+    """A graph in the shared folder, made anew when a table's files have changed."""
+    state = (spark.sparkContext.applicationId, tuple(file_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if _STORED.get(f"{what} {sf_dir}", (None,))[0] != state:
+        folder = f"{analytics.shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        graph.write(make(), folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _STORED[f"{what} {sf_dir}"] = state, folder
+    return graph.read(spark, _STORED[f"{what} {sf_dir}"][1])
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def stored_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples of the stored graph, partitioned by predicate."""
+    g = kept(spark, sf_dir, ADAPTED, "triples", lambda: graph.Graph(triples.triples(stored(spark, sf_dir)), None))
+    return g.nodes
 
 
 def _counted(rows: DataFrame, *by: str) -> DataFrame:
@@ -87,16 +117,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir)."""
 
     def on_graph(f):
-        return lambda spark, d: f(build(spark, d))
-
-    def on_stored(f):
         return lambda spark, d: f(stored(spark, d))
 
     def on_triples(f):
-        return lambda spark, d: f(triples.triples(build(spark, d)))
-
-    def on_stored_triples(f):
-        return lambda spark, d: f(analytics.checkpointed(triples.triples(stored(spark, d))))
+        return lambda spark, d: f(stored_triples(spark, d))
 
     def on_entities(f):
         return lambda spark, d: f(extract.entities(_texts(spark, d), "id", "text"))
@@ -134,9 +158,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     named = ["c.ticker", "n.label", "n.name"]
     return {
-        "similarity_topk": on_stored(similarity.similarity),
-        "company_list": on_stored(company_list),
-        "company_detail": on_stored(lambda g: company_detail(g, "SUP7")),
+        "similarity_topk": on_graph(similarity.similarity),
+        "company_list": on_graph(company_list),
+        "company_detail": on_graph(lambda g: company_detail(g, "SUP7")),
         "company_neighbors": on_graph(lambda g: graph.neighbours(g, "SUP7")),
         "graph_summary_labels": on_graph(lambda g: _counted(g.nodes, "label")),
         "graph_summary_types": on_graph(lambda g: _counted(g.edges, "type")),
@@ -152,11 +176,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "invalid_confidence": on_graph(lambda g: checks.invalid_confidence(g.edges.withColumn("confidence", F.when(F.col("confidence") >= 0.2, F.col("confidence")))).agg(F.count("*").alias("count"))),
         "missing_evidence": on_graph(lambda g: _counted(checks.missing_evidence(g.edges), "type")),
         "generic_companies": on_graph(lambda g: checks.generic_companies(g.nodes, ["Company", "CUS 7", "Group", "SUP1"])),
-        "validation_checks": on_stored(lambda g: checks.checks(g, triples.triples(g))),
+        "validation_checks": lambda spark, d: checks.checks(stored(spark, d), stored_triples(spark, d)),
         "rdf_triples": on_triples(lambda t: t),
         "rdf_predicate_counts": on_triples(lambda t: triples.predicate_counts(t).orderBy(F.col("n").desc(), "predicate").limit(20)),
         "rdf_type_counts": on_triples(triples.type_counts),
-        "rdf_reconcile": on_stored(lambda g: checks.reconcile(g.edges, triples.predicate_counts(triples.triples(g)))),
+        "rdf_reconcile": lambda spark, d: checks.reconcile(stored(spark, d).edges, triples.predicate_counts(stored_triples(spark, d))),
         "company_names": on_graph(lambda g: g.nodes.filter("label = 'Company'").select("ticker", "name")),
         "company_edges": on_graph(lambda g: graph.with_ends(graph.Graph(g.nodes, g.edges.filter("src_key = 'SUP7'")), src_label="Company").select(*named, "type", "confidence", "extraction_method")),
         "competitors": on_graph(lambda g: _related(g, type_="COMPETES_WITH")),
@@ -169,15 +193,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "low_confidence": on_graph(lambda g: _related(graph.Graph(g.nodes, g.edges.filter("confidence < 0.7")), "type", src_label="Company")),
         "rel_counts": on_graph(lambda g: g.edges.filter("src_label = 'Company'").groupBy(F.col("src_key").alias("ticker")).agg(F.count("*").alias("relationship_count"))),
         "two_hop_paths": on_graph(lambda g: graph.two_hops(g, "SUP7")),
-        "latest_filings": on_stored_triples(lambda t: triples.latest_filings(t, "SUP7")),
-        "rdf_competitors": on_stored_triples(lambda t: triples.competitors(t, "SUP7")),
-        "industry_exposure": on_stored_triples(lambda t: triples.industry_exposure(t, "ASIA")),
-        "symmetric_competitors": on_stored_triples(triples.symmetric_closure),
-        "pagerank": on_stored(analytics.pagerank),
-        "louvain": on_stored(analytics.louvain),
-        "community_sizes": on_stored(lambda g: analytics.louvain(g).groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"))),
-        "company_components": on_stored(analytics.company_components),
-        "subsidiary_closure": on_stored(analytics.subsidiary_closure),
+        "latest_filings": on_triples(lambda t: triples.latest_filings(t, "SUP7")),
+        "rdf_competitors": on_triples(lambda t: triples.competitors(t, "SUP7")),
+        "industry_exposure": on_triples(lambda t: triples.industry_exposure(t, "ASIA")),
+        "symmetric_competitors": on_triples(triples.symmetric_closure),
+        "pagerank": on_graph(analytics.pagerank),
+        "louvain": on_graph(analytics.louvain),
+        "community_sizes": on_graph(lambda g: analytics.louvain(g).groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"))),
+        "company_components": on_graph(analytics.company_components),
+        "subsidiary_closure": on_graph(analytics.subsidiary_closure),
         "company_key_resolution": _key_resolution,
         "html_text": _filing_texts,
         "sections": lambda spark, d: _filing_texts(spark, d).select("page_id", filing.sections("text").alias("s")).select("page_id", "s.*"),
