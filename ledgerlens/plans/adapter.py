@@ -64,9 +64,9 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
-    def sql(self, query: str) -> DataFrame:
+    def sql(self, query: str, more: str = "") -> DataFrame:
         heads = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in TABLES)
-        return self._spark.sql(f"WITH {heads}, {ADAPTER} {query}", **{t: self.table(t) for t in TABLES})
+        return self._spark.sql(f"WITH {heads}, {ADAPTER}{', ' + more if more else ''} {query}", **{t: self.table(t) for t in TABLES})
 
     @property
     def companies(self) -> DataFrame:

@@ -98,6 +98,8 @@ def records(html: DataFrame, index: DataFrame, model: Model | None = None, name:
     ]
     for part in parts:
         out = out.join(part, "id", "left")
+    for name in ("entities", "relationships", "entity_resolution"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
     return out.withColumn("relation_extraction_prompt", F.lit(PROMPT)).drop("id")
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ledgerlens.plans.adapter import ADAPTER
-from ledgerlens.plans.texts import TEXTS
+from ledgerlens.plans.records import RECORDS
+from ledgerlens.plans.texts import FILINGS, TEXTS
 
 
 def slug(x: str, joint: str = "_") -> str:
@@ -133,6 +134,67 @@ FOUND = f"""WITH {TEXTS}, money AS (SELECT id, regexp_extract_all(substr(text, 1
 """
 
 
+KEYS = f"""v AS (SELECT *, lead(rec) OVER (PARTITION BY ticker ORDER BY rec) AS nxt, min(rec) OVER (PARTITION BY ticker) AS entered FROM focal
+), words AS (SELECT lower(name) AS word, rec, nxt, entered, ticker FROM v UNION ALL SELECT DISTINCT lower(ticker), entered, CAST(NULL AS BIGINT), entered, ticker FROM v
+), asked AS (SELECT DISTINCT rec, lower(mention) AS word FROM mentions
+), hits AS (SELECT m.rec, m.word, min((w.entered, w.ticker)) AS hit FROM asked m JOIN words w ON w.word = m.word AND w.rec <= m.rec AND (w.nxt IS NULL OR m.rec < w.nxt) GROUP BY m.rec, m.word
+), f AS (SELECT m.rec, m.rel, m.mention, {slug("mention")} AS slug, hit FROM mentions m LEFT JOIN hits ON hits.rec = m.rec AND hits.word = lower(m.mention)
+), p AS (SELECT slug, min((rec, rel, lower(mention))) AS p FROM f WHERE hit IS NULL GROUP BY slug
+), keyed AS (SELECT rec, rel, mention, CASE WHEN hit IS NULL THEN f.slug WHEN p IS NOT NULL AND (p[1], p[2]) < (rec, rel) AND (p[3] = lower(mention) OR lower(mention) = f.slug) AND p[1] < hit[1] THEN f.slug ELSE hit[2] END AS company_key FROM f LEFT JOIN p ON p.slug = f.slug)"""
+
+RECORD_GRAPH = f"""WITH {ADAPTER}, {RECORDS}, named AS (
+  SELECT heads.*, coalesce(matched_name, ticker) AS name FROM heads LEFT JOIN (SELECT * FROM resolutions WHERE status = 'linked') r ON r.rec = heads.rec
+), decided AS (
+  SELECT told.*, ticker, accession, CASE WHEN confidence IS NULL OR confidence < 0.1 THEN 'rejected_low_confidence'
+    WHEN starts_with(method, 'heuristic:') AND confidence < 0.55 THEN 'rejected_heuristic_low_confidence'
+    WHEN starts_with(method, 'heuristic:') OR (starts_with(method, 'claude:') AND confidence < 0.7) THEN 'review' ELSE 'approved' END AS review_status
+  FROM told JOIN heads USING (rec)
+), loaded AS (SELECT * FROM decided WHERE NOT starts_with(review_status, 'rejected')
+), focal AS (SELECT rec, ticker, name FROM named
+), mentions AS (SELECT rec, rel, object AS mention FROM loaded WHERE object_type = 'Company'
+), {KEYS}, related AS (
+  SELECT loaded.rec, 1 AS phase, loaded.rel AS pos, 'Company' AS src_label, ticker AS src_key, upper(predicate) AS type, object_type AS dst_label, coalesce(company_key, {slug("object")}) AS dst_key, predicate, confidence,
+    concat(ticker, ' ', predicate) AS source_text, 'Said so.' AS rationale, method AS extraction_method, review_status, 'load' AS load_decision, object AS name, accession AS source
+  FROM loaded LEFT JOIN keyed ON keyed.rec = loaded.rec AND keyed.rel = loaded.rel
+), spoken AS (
+  SELECT said.rec, 0 AS phase, pos, 'Filing' AS src_label, accession AS src_key, 'MENTIONS' AS type, CASE label WHEN 'ORG' THEN 'Company' WHEN 'PERSON' THEN 'Person' WHEN 'GPE' THEN 'GeographicRegion' ELSE 'ProductLine' END AS dst_label,
+    {slug("text")} AS dst_key, 'mentions' AS predicate, confidence, text AS source_text, 'Entity mention extracted from filing text.' AS rationale, method AS extraction_method, 'approved' AS review_status, 'load' AS load_decision, text AS name, source
+  FROM said JOIN heads USING (rec) WHERE label <> 'MONEY'
+), both_kinds AS (SELECT * FROM related UNION ALL SELECT * FROM spoken
+), edges AS (
+  SELECT src_label, src_key, type, dst_label, dst_key, predicate, confidence, source_text, rationale, extraction_method, review_status, load_decision FROM (
+    SELECT *, row_number() OVER (PARTITION BY src_label, src_key, type, dst_label, dst_key ORDER BY rec DESC, phase DESC, pos DESC) AS rn FROM both_kinds) WHERE rn = 1
+  UNION ALL SELECT 'Company', ticker, 'FILED', 'Filing', accession, 'filed', 1.0, '', 'Filing downloaded from SEC EDGAR submissions metadata.', 'sec_submissions_metadata', 'approved', 'load' FROM heads
+), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rec DESC) AS rn FROM named) WHERE rn = 1
+), placeholders AS (SELECT dst_key, name FROM (SELECT dst_key, name, row_number() OVER (PARTITION BY dst_key ORDER BY rec, pos) AS rn FROM related WHERE dst_label = 'Company' AND dst_key NOT IN (SELECT ticker FROM heads)) WHERE rn = 1
+), things AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst_label, dst_key ORDER BY rec DESC, phase DESC, pos DESC) AS rn FROM both_kinds WHERE dst_label <> 'Company' OR phase = 0) WHERE rn = 1
+), nodes AS (
+  SELECT 'Company' AS label, coalesce(k.ticker, t.dst_key) AS key, coalesce(k.ticker, t.dst_key) AS ticker, coalesce(t.name, k.name) AS name, k.cik, CAST(NULL AS STRING) AS industry, CAST(NULL AS STRING) AS accession_number,
+    CAST(NULL AS STRING) AS path, CAST(NULL AS STRING) AS form_type, CAST(NULL AS STRING) AS filing_date, t.source, t.confidence, t.extraction_method
+  FROM (SELECT ticker, name, lpad(CAST(s AS STRING), 10, '0') AS cik FROM latest UNION ALL SELECT dst_key, name, NULL FROM placeholders) k FULL JOIN (SELECT * FROM things WHERE dst_label = 'Company') t ON t.dst_key = k.ticker
+  UNION ALL SELECT dst_label, dst_key, NULL, name, NULL, NULL, NULL, NULL, NULL, NULL, source, confidence, extraction_method FROM things WHERE dst_label <> 'Company'
+  UNION ALL SELECT 'Filing', accession, ticker, NULL, lpad(CAST(s AS STRING), 10, '0'), NULL, accession, path, '10-K', NULL, NULL, NULL, NULL FROM heads
+)
+"""
+
+PAGES = f"""WITH {FILINGS}, shown AS (
+  SELECT *, concat('Filing ', id, ' Contents: Item 1. Business Item 1A. Risk Factors Item 1B. Staff Comments ', business, ' ', risk, ' Item 1B. None of them ', markets, ' ', CASE WHEN no_mda THEN '' ELSE concat(mda, ' ') END, 'Item 8. Financial Statements') AS text,
+    CASE WHEN len(business) >= 5000 THEN business ELSE '' END AS b, risk AS r, CASE WHEN no_mda THEN '' ELSE mda END AS m FROM bodies
+)
+"""
+
+
+def _excerpt() -> str:
+    """Head of 5000 characters, then keyword sentences of 80 to 800 characters, each once, until 9000 are spent."""
+    return PAGES + r""", cut AS (SELECT id, substr(text, 1, 5000) AS head, list_filter(list_transform(string_split(regexp_replace(text, '([.;])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) BETWEEN 80 AND 800) AS s FROM shown
+    ), flat AS (SELECT id, head, unnest(s) AS sentence, unnest(range(len(s))) AS ord FROM cut
+    ), kept AS (SELECT id, head, substr(sentence, 1, 500) AS part, ord FROM flat WHERE regexp_matches(lower(sentence), 'compet|supplier|supply|customer|subsidiar|geographic|international|china|europe|japan|canada|market|revenue|product')
+    ), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(trim(part)) ORDER BY ord) AS rn FROM kept) WHERE rn = 1
+    ), spent AS (SELECT *, len(head) + 2 + coalesce(sum(len(trim(part)) + 2) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM firsts
+    ) SELECT shown.id, substr(concat_ws(chr(10) || chr(10), substr(text, 1, 5000), string_agg(trim(part), chr(10) || chr(10) ORDER BY ord)), 1, 9000) AS excerpt FROM shown LEFT JOIN (SELECT * FROM spent WHERE used < 9000 OR used = len(head) + 2) p ON p.id = shown.id GROUP BY shown.id, text"""
+
+
 def oracle() -> dict[str, str]:
     rel = "c.ticker AS ticker, coalesce(n.name, n.key) AS target, e.confidence, e.extraction_method"
     return {
@@ -196,13 +258,25 @@ def oracle() -> dict[str, str]:
         "entity_summary": FOUND + "SELECT id, label, count(*) AS n FROM deduped GROUP BY ALL",
         "heuristic_relations": FOUND + ", rels AS (SELECT id, s_ord, rule, h_ord, CASE rule WHEN 1 THEN hit ELSE 'The Filer' END AS subject, CASE rule WHEN 0 THEN 'competes_with' WHEN 1 THEN 'supplies' ELSE 'exposed_to' END AS predicate, CASE rule WHEN 1 THEN 'The Filer' ELSE hit END AS object, CAST(CASE rule WHEN 0 THEN 0.55 WHEN 1 THEN 0.5 ELSE 0.48 END AS DOUBLE) AS confidence, substr(sentence, 1, 300) AS source_text FROM flat), firsts AS (SELECT *, row_number() OVER (PARTITION BY id, lower(subject), predicate, lower(object) ORDER BY s_ord, rule, h_ord) AS rn FROM rels), capped AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s_ord, rule, h_ord) AS k FROM firsts WHERE rn = 1) SELECT id, subject, predicate, object, confidence, source_text FROM capped WHERE k <= 40",
         "business_profile": FOUND + ", got AS (SELECT id, s_ord, sentence, regexp_extract(sentence, '(?i)(?:designs,\\s+manufactures\\s+and\\s+markets)\\s+([^.;:]{8,260})', 1) AS raw, regexp_extract(sentence, '(?i)(?:work\\s+across)\\s+([^.;:]{8,160})', 1) AS raw2 FROM sents), firsts AS (SELECT id, raw, ord FROM (SELECT id, raw, s_ord AS ord, row_number() OVER (PARTITION BY id ORDER BY s_ord) AS rn FROM got WHERE raw <> '') WHERE rn = 1), pieces AS (SELECT id, 'supplies' AS predicate, unnest(string_split(replace(regexp_replace(raw, '(?i)\\b(?:worldwide|globally|principally|primarily|including|includes)\\b', '', 'g'), ' and ', ', '), ',')) AS p FROM firsts UNION ALL SELECT id, 'exposed_to', unnest(string_split(replace(raw2, ' and ', ', '), ',')) FROM got WHERE raw2 <> ''), tidy AS (SELECT id, predicate, trim(regexp_replace(regexp_replace(trim(p), '\\s+', ' ', 'g'), '^(?:a variety of |the |our |a |an )', '')) AS q FROM pieces) SELECT DISTINCT id, predicate, concat(upper(q[1]), q[2:]) AS object FROM tidy WHERE len(q) BETWEEN 3 AND 80",
-        "excerpt_budget": FOUND + ", kept AS (SELECT id, s_ord, substr(sentence, 1, 500) AS part FROM (SELECT id, unnest(s) AS sentence, unnest(range(len(s))) AS s_ord FROM parts) WHERE regexp_matches(lower(sentence), 'compet|supplier|supply|customer|subsidiar|geographic|international|china|europe|japan|canada|market|revenue|product')), firsts AS (SELECT id, part, min(s_ord) AS o FROM kept GROUP BY id, part), spent AS (SELECT *, 502 + coalesce(sum(len(part) + 2) OVER (PARTITION BY id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM firsts) SELECT id, count(*) AS n_parts, CAST(sum(len(part)) AS BIGINT) AS n_chars FROM spent WHERE used < 1000 GROUP BY id",
+        "excerpt_budget": _excerpt(),
+        "entity_offsets": FOUND + """, gaps AS (SELECT id, 0 AS base, m AS f, string_split_regex(substr(text, 1, 250000), '(?i)""" + MONEY + """') AS g FROM money JOIN filing_texts USING (id)
+            UNION ALL SELECT id, len(m), o, string_split_regex(substr(text, 1, 250000), '""" + ORG + """') FROM orgs JOIN money USING (id) JOIN filing_texts USING (id)
+            UNION ALL SELECT id, len(m) + len(o), p, string_split_regex(substr(text, 1, 250000), '""" + PLACES + """') FROM places JOIN orgs USING (id) JOIN money USING (id) JOIN filing_texts USING (id)
+            ), marked AS (SELECT id, base, f, g, unnest(range(1, len(f) + 1)) AS k FROM gaps
+            ), placed AS (SELECT id, base + k - 1 AS ord, len(f[k]) AS n, len(array_to_string(g[1:k], '')) + len(array_to_string(f[1:k - 1], '')) AS start_char FROM marked)
+            SELECT id, ord, start_char, start_char + n AS end_char FROM placed""",
+        "companies_without_cik": "SELECT count(*) AS companies, count(*) FILTER (s_suppkey % 3 = 0) AS missing FROM supplier",
+        "filing_text": PAGES + "SELECT id, text FROM shown",
+        "sections": PAGES + "SELECT id, b AS business, r AS risk_factors, m AS mda FROM shown",
+        "chosen_text": PAGES + "SELECT id, array_to_string(list_filter([b, r, m], lambda x: len(x) >= 1000), chr(10) || chr(10)) AS chosen FROM shown",
+        "record_nodes": RECORD_GRAPH + "SELECT * FROM nodes",
+        "record_edges": RECORD_GRAPH + "SELECT * FROM edges",
+        "record_review": RECORD_GRAPH + "SELECT ticker, accession AS accession_number, ticker AS subject, predicate, object, object_type, confidence, method AS extraction_method, review_status, CASE WHEN starts_with(review_status, 'rejected') THEN 'exclude' ELSE 'load' END AS load_decision, concat(ticker, ' ', predicate) AS source_text, 'Said so.' AS rationale FROM decided",
+        "record_names": RECORD_GRAPH + "SELECT ticker, name FROM named",
+        "record_statistics": RECORD_GRAPH + "SELECT ticker, (SELECT count(*) FROM said WHERE said.rec = heads.rec) AS entity_count, CAST(count(told.rec) AS INTEGER) AS relationship_count, CAST(count(*) FILTER (told.confidence >= 0.7) AS INTEGER) AS high_confidence_relationship_count, CAST(1 AS BIGINT) AS organisations, CAST(2 AS INTEGER) AS subsidiaries FROM heads LEFT JOIN told USING (rec) GROUP BY heads.rec, ticker",
         "extraction_stats": FOUND + "SELECT id, count(*) AS entities, count(*) FILTER (confidence >= 0.6) AS high_confidence, count(*) FILTER (label = 'ORG') AS organisations FROM deduped GROUP BY id",
-        "org_resolution_exact": "SELECT concat('sup', s_suppkey) AS mention, s_name AS matched_name, concat('SUP', s_suppkey) AS ticker, CAST(s_suppkey AS STRING) AS cik, CAST(100 AS DOUBLE) AS score, 'ticker_exact' AS resolution_method, 'linked' AS status FROM supplier WHERE s_suppkey % 2 = 0",
-        "company_key_resolution": f"""WITH focal AS (SELECT o_orderkey AS rec, concat('SUP', o_custkey % 40) AS ticker, CASE WHEN o_orderkey % 3 = 0 THEN concat('SUP', o_custkey % 40) ELSE concat('Firm ', o_custkey % 25) END AS name FROM orders WHERE o_orderkey < 2000
-            ), mentions AS (SELECT l_orderkey AS rec, CAST(l_linenumber - 1 AS INT) AS rel, CASE WHEN l_partkey % 2 = 0 THEN concat('firm ', l_partkey % 40) WHEN l_partkey % 3 = 0 THEN concat('SUP', l_partkey % 50) ELSE concat('Firm_', l_partkey % 40) END AS mention FROM lineitem WHERE l_orderkey < 2000
-            ), v AS (SELECT *, lead(rec) OVER (PARTITION BY ticker ORDER BY rec) AS nxt, min(rec) OVER (PARTITION BY ticker) AS entered FROM focal
-            ), f AS (SELECT rec, rel, mention, {slug("mention")} AS slug, (SELECT min((v.entered, v.ticker)) FROM v WHERE v.rec <= m.rec AND (v.nxt IS NULL OR m.rec < v.nxt) AND lower(m.mention) IN (lower(v.ticker), lower(v.name))) AS hit FROM mentions m
-            ), p AS (SELECT slug, min((rec, rel, lower(mention))) AS p FROM f WHERE hit IS NULL GROUP BY slug)
-            SELECT rec, rel, mention, CASE WHEN hit IS NULL THEN f.slug WHEN p IS NOT NULL AND (p[1], p[2]) < (rec, rel) AND (p[3] = lower(mention) OR lower(mention) = f.slug) AND p[1] < hit[1] THEN f.slug ELSE hit[2] END AS company_key FROM f LEFT JOIN p ON p.slug = f.slug""",
+        "org_resolution_exact": "SELECT concat('sup', s_suppkey) AS mention, s_name AS matched_name, concat('SUP', s_suppkey) AS ticker, CAST(s_suppkey AS STRING) AS cik, CAST(100 AS DOUBLE) AS score, 'ticker_exact' AS resolution_method, 'linked' AS status FROM supplier",
+        "company_key_resolution": f"""WITH focal AS (SELECT o_orderkey AS rec, concat('SUP', o_custkey % 40) AS ticker, CASE WHEN o_orderkey % 3 = 0 THEN concat('SUP', o_custkey % 40) ELSE concat('Firm ', o_custkey % 25) END AS name FROM orders
+            ), mentions AS (SELECT l_orderkey AS rec, CAST(l_linenumber - 1 AS INT) AS rel, CASE WHEN l_partkey % 2 = 0 THEN concat('firm ', l_partkey % 40) WHEN l_partkey % 3 = 0 THEN concat('SUP', l_partkey % 50) ELSE concat('Firm_', l_partkey % 40) END AS mention FROM lineitem
+            ), {KEYS} SELECT rec, rel, mention, company_key FROM keyed""",
     }

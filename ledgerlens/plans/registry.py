@@ -13,8 +13,10 @@ from ledgerlens.operators import analytics, checks, graph, keys, resolve, simila
 from ledgerlens.operators.gate import Policy, gate
 from ledgerlens.plans.adapter import TABLES as ADAPTED
 from ledgerlens.plans.adapter import Inputs
-from ledgerlens.plans.texts import TEXTS
-from ledgerlens.sources.companies import cik_join
+from ledgerlens.plans import extraction
+from ledgerlens.plans.records import records
+from ledgerlens.plans.texts import FILINGS, TEXTS
+from ledgerlens.sources.companies import cik_join, missing_ciks
 from ledgerlens.sources.filings import latest_of_form, manifest
 
 POLICY = Policy(min_confidence=0.1)
@@ -105,6 +107,16 @@ def _filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", filing.html_text("html").alias("text"))
 
 
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, html) of the filings made from suppliers."""
+    return spark.sql(f"WITH supplier AS (SELECT * FROM {{supplier}}), {FILINGS} SELECT id, html FROM pages_of", supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+
+
+def from_records(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """The graph of the extraction records, built once."""
+    return kept(spark, sf_dir, ADAPTED, "records", lambda: graph.from_records(records(Inputs(spark, sf_dir)), POLICY))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inputs(spark, sf_dir).table("supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("cik"))
 
@@ -133,24 +145,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found = extract.dedupe_entities(extract.entities(docs, "id", "text"), "id")
         return extract.heuristic_relations(docs, found, "id", "text", "focal").select("id", "subject", "predicate", "object", "confidence", "source_text")
 
-    def excerpts(spark, d):
-        # the head is left out here so that a small budget shows
-        docs = _texts(spark, d)
-        rows = docs.select("id", F.posexplode(text.sentences(F.col("text"))).alias("ord", "sentence")).filter(text.contains_any(F.col("sentence"), extract.EXCERPT_WORDS))
-        from pyspark.sql import Window
+    def sectioned(spark, d):
+        rows = _filings(spark, d).select("id", filing.html_text("html").alias("text"))
+        return rows.withColumn("s", filing.sections("text"))
 
-        rows = rows.groupBy("id", F.substring("sentence", 1, 500).alias("part")).agg(F.min("ord").alias("o"))
-        used = F.lit(502) + F.coalesce(F.sum(F.length("part") + 2).over(Window.partitionBy("id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return rows.withColumn("used", used).filter("used < 1000").groupBy("id").agg(F.count("*").alias("n_parts"), F.sum(F.length("part")).alias("n_chars"))
+    def found(spark, d):
+        return extraction.records(_filings(spark, d).select(F.format_string("SUP%d_%010d_a-%d.html", "id", "id", "id").alias("path"), "html"), _index(spark, d))
 
-    def exact_all(spark, d):
-        index = _index(spark, d)
-        return resolve.resolve_exact(index.select(F.lower("ticker").alias("mention")), index)
+    def on_records(f):
+        return lambda spark, d: f(records(Inputs(spark, d)))
+
+    def on_record_graph(f):
+        return lambda spark, d: f(from_records(spark, d))
 
     def exact(spark, d):
-        # its SQL asks the even ones only; org_resolution_exact_all asks all
         index = _index(spark, d)
-        return resolve.resolve_exact(index.filter("ord % 2 = 0").select(F.lower("ticker").alias("mention")), index)
+        return resolve.resolve_exact(index.select(F.lower("ticker").alias("mention")), index)
 
     def fuzzy(spark, d):
         index = _index(spark, d)
@@ -204,7 +214,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "subsidiary_closure": on_graph(analytics.subsidiary_closure),
         "company_key_resolution": _key_resolution,
         "html_text": _filing_texts,
-        "sections": lambda spark, d: _filing_texts(spark, d).select("page_id", filing.sections("text").alias("s")).select("page_id", "s.*"),
+        "filing_text": lambda spark, d: _filings(spark, d).select("id", filing.html_text("html").alias("text")),
+        "sections": lambda spark, d: sectioned(spark, d).select("id", "s.*"),
+        "chosen_text": lambda spark, d: sectioned(spark, d).select("id", filing.extraction_text(F.col("text"), F.col("s")).alias("chosen")),
+        "records_from_html": lambda spark, d: found(spark, d).select("ticker", "filing.accession_number", F.col("sections_found.business").alias("has_business"), F.col("sections_found.mda").alias("has_mda"), F.size("relationships").alias("n_relationships")),
+        "record_nodes": on_record_graph(lambda g: g.nodes),
+        "record_edges": on_record_graph(lambda g: graph.attached(g.edges, g.nodes).select(*graph.EDGE_KEY, *graph.EDGE_VALUES)),
+        "record_review": on_records(lambda r: extraction.review_rows(r, POLICY)),
+        "record_names": on_records(extraction.best_name),
+        "record_statistics": on_records(lambda r: extraction.statistics(r).select("ticker", "entity_count", "relationship_count", "high_confidence_relationship_count", F.col("entity_summary.ORG").alias("organisations"), F.col("relationship_type_counts.subsidiary_of").alias("subsidiaries"))),
         "sentences": lambda spark, d: _texts(spark, d).select("id", F.posexplode(F.slice(text.sentences(F.col("text")), 1, 80)).alias("s_ord", "sentence")),
         "entities_money": on_entities(lambda r: r.filter("label = 'MONEY'").select("id", "ord", "text")),
         "entities_org": on_entities(lambda r: r.filter("label = 'ORG'").select("id", "ord", "text")),
@@ -214,16 +232,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extraction_stats": on_deduped(_summaries),
         "heuristic_relations": relations,
         "business_profile": lambda spark, d: extract.business_profile(_texts(spark, d), "id", "text", "focal").select("id", "predicate", "object"),
-        "excerpt_budget": excerpts,
+        "excerpt_budget": lambda spark, d: extract.excerpt(_filings(spark, d).select("id", filing.html_text("html").alias("text")), "id", "text", 9_000),
+        "entity_offsets": on_entities(lambda r: r.select("id", "ord", "start_char", "end_char")),
+        "companies_without_cik": lambda spark, d: missing_ciks(cik_join(*_ciks(spark, d))),
         "org_resolution_exact": exact,
-        "org_resolution_exact_all": exact_all,
         "org_resolution_fuzzy": fuzzy,
-        "cik_left_join": lambda spark, d: cik_join(Inputs(spark, d).table("supplier").select(F.col("s_name").alias("ticker")), Inputs(spark, d).table("supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_name").alias("ticker"), F.col("s_suppkey").alias("cik"), F.lit(1).alias("ord"))).select("ticker", "cik"),
+        "cik_left_join": lambda spark, d: cik_join(*_ciks(spark, d)).select("ticker", "cik"),
         "latest_filing_by_form": lambda spark, d: latest_of_form(_recent(spark, d), "10-1-URGENT").select("cik", "accession_number"),
         "filing_manifest": lambda spark, d: manifest(Inputs(spark, d).table("customer").select(F.col("c_custkey").alias("ticker"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("cik")), latest_of_form(_recent(spark, d), "10-1-URGENT")).select("ticker", "status", "accession_number"),
     }
 
 
+def _ciks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index of all suppliers, and a table of CIKs that spells some tickers otherwise."""
+    rows = Inputs(spark, sf_dir).table("supplier")
+    spelt = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("old "), F.col("s_name"))).otherwise(F.lower("s_name"))
+    return rows.select(F.col("s_name").alias("ticker")), rows.select(spelt.alias("ticker"), F.col("s_suppkey").alias("cik"), F.lit(1).alias("ord"))
+
+
 def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel arrays of a company's filings, newest first."""
     o = Inputs(spark, sf_dir).table("orders").select(F.col("o_custkey").alias("cik"), F.struct((-F.col("o_orderkey")).alias("n"), F.concat(F.lit("10-"), F.col("o_orderpriority")).alias("form"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").cast("string").alias("day")).alias("r"))

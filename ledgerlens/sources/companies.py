@@ -66,6 +66,11 @@ def cik_join(index: DataFrame, ciks: DataFrame) -> DataFrame:
     return rows.join(found, rows.ticker == F.col("__t"), "left").drop("__t")
 
 
+def missing_ciks(index: DataFrame) -> DataFrame:
+    """(companies, missing): how many companies there are, and how many of them have no CIK."""
+    return index.agg(F.count("*").alias("companies"), F.count_if(F.col("cik").isNull()).alias("missing"))
+
+
 def company_index(spark: SparkSession, html: str, ciks: DataFrame, limit: int = 0) -> DataFrame:
     """Sorted by ticker; a limit of 0 is none."""
     rows = cik_join(constituents(spark, html), ciks).drop("ord").orderBy("ticker")
