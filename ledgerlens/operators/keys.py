@@ -76,7 +76,7 @@ def company_keys(focal: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def known_keys(companies: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(mention, company_key) of distinct mentions where all companies (ticker, name) are there from the beginning."""
-    focal = companies.select(F.lit(0).cast("long").alias("rec"), "ticker", "name")
-    asked = mentions.select("mention").distinct().select(F.lit(1).cast("long").alias("rec"), F.lit(0).alias("rel"), "mention")
-    return company_keys(focal, asked).select("mention", "company_key")
+    """(mention, company_key) of distinct mentions where all companies (ticker, name) are there from the beginning: the least ticker of those that bear the text, else a slug."""
+    words = companies.select(F.lower("ticker").alias("word"), "ticker").unionByName(companies.select(F.lower("name").alias("word"), "ticker")).groupBy("word").agg(F.min("ticker").alias("ticker"))
+    asked = mentions.select("mention").distinct().withColumn("word", F.lower("mention"))
+    return asked.join(words, "word", "left").select("mention", F.coalesce("ticker", graph_slug(F.col("mention"))).alias("company_key"))

@@ -23,8 +23,19 @@ POLICY = Policy(min_confidence=0.1)
 
 
 def build(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """The graph of the input tables, each of which is written first: what follows reads them several times."""
     i = Inputs(spark, sf_dir)
-    return graph.build(i.companies, i.filings, i.relations, i.mentions, POLICY)
+    return graph.build(*(table_of(x) for x in (i.companies, i.filings, i.relations, i.mentions)), POLICY)
+
+
+def table_of(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back; the table goes with the application."""
+    spark = rows.sparkSession
+    folder = f"{analytics.shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 #: Stored graphs of this application: the state of the input files, and the folder.
@@ -114,7 +125,7 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def from_records(spark: SparkSession, sf_dir: str) -> graph.Graph:
     """The graph of the extraction records, built once."""
-    return kept(spark, sf_dir, ADAPTED, "records", lambda: graph.from_records(records(Inputs(spark, sf_dir)), POLICY))
+    return kept(spark, sf_dir, ADAPTED, "records", lambda: graph.from_records(table_of(records(Inputs(spark, sf_dir))), POLICY))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
