@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.graph import Graph, degrees, filers
@@ -116,26 +116,83 @@ def _louvain(edges: dict[tuple[str, str], float], total: float) -> dict[str, str
     return {k: least[c] for k, c in label.items()}
 
 
-def louvain(g: Graph) -> DataFrame:
+def moves(edges: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, c): communities after rounds of local moves of the nodes of (a, b, w), by joins.
+
+    In each round a hashed half of the nodes may move, each to the neighbouring community that gains
+    most, so that neighbours do not trade places for ever.
+    """
+    degree = checkpointed(edges.groupBy("a").agg(F.sum("w").alias("d")))
+    now = checkpointed(degree.select(F.col("a").alias("node"), F.col("a").alias("c")))
+    for k in range(rounds):
+        mass = now.join(degree, now.node == degree.a).groupBy("c").agg(F.sum("d").alias("m"))
+        there = now.select(F.col("node").alias("b"), "c")
+        to = edges.filter("a <> b").join(there, "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+        # to stay is a choice of weight 0 at least
+        own = now.select(F.col("node").alias("a"), F.col("c").alias("own"))
+        to = to.unionByName(own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
+        gain = F.round(F.col("w") - F.col("d") * (F.col("m") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)) / total, 12)
+        rated = to.join(own, "a").join(degree, "a").join(mass, "c").select("a", "own", "c", gain.alias("gain"), (F.col("c") == F.col("own")).alias("stays"))
+        best = rated.groupBy("a", "own").agg(F.max_by("c", F.struct("gain", "stays", F.xxhash64("c"))).alias("best"))
+        turn = F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2
+        fresh = checkpointed(best.select(F.col("a").alias("node"), F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")))
+        changed = fresh.join(now.withColumnRenamed("c", "old"), "node").filter("c <> old").limit(1).count()
+        now = fresh
+        if not changed and k % 2:
+            break
+    return now
+
+
+def contracted(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges between communities."""
+    a, b = groups.select(F.col("node").alias("a"), F.col("c").alias("ca")), groups.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+    return edges.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def louvain(g: Graph, most_edges: int = 200_000, rounds: int = 8, levels: int = 12) -> DataFrame:
     """ticker, name, communityId (least member), community_size, is_focal.
 
-    Modularity never gains from joining components, so each is solved by itself with the whole graph's weight.
+    Modularity never gains from joining components, so each is solved by itself with the whole graph's
+    weight: in one task where it has at most most_edges edges.  A larger one is contracted by distributed
+    rounds of local moves until it is small enough, or until it shrinks no more.
     """
     parts = company_components(g)
-    edges = projection(g).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    edges = checkpointed(projection(g).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
     total = float(edges.agg(F.sum("w").alias("t")).first().t or 1.0)
-    placed = edges.join(parts.select(F.col("key").alias("a"), "component"), "a")
+    placed = checkpointed(edges.join(parts.select(F.col("key").alias("a"), "component"), "a"))
+    sizes = checkpointed(placed.groupBy("component").agg(F.count("*").alias("n")))
+    large = sizes.filter(F.col("n") > most_edges).select("component")
+    above = None  # (key, c): what nodes of large components are contracted to
+    if not large.isEmpty():
+        rest, few = placed.join(large, "component").select("a", "b", "w"), placed.join(large, "component", "left_anti")
+        above = checkpointed(rest.select(F.col("a").alias("key"), F.col("a").alias("c")).distinct())
+        for _ in range(levels):
+            before = rest.count()
+            groups = moves(rest, total, rounds)
+            above = checkpointed(above.join(groups.select(F.col("node").alias("c"), F.col("c").alias("up")), "c").select("key", F.col("up").alias("c")))
+            rest = checkpointed(contracted(rest, groups))
+            count = rest.count()
+            if count <= most_edges or count >= before:
+                break
+        homes = parts.withColumnsRenamed({"key": "a"})
+        placed = few.select("a", "b", "w", "component").unionByName(rest.join(homes, "a").select("a", "b", "w", "component"))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         found = _louvain({(a, b): w for a, b, w in zip(frame.a, frame.b, frame.w)}, total)
         return pd.DataFrame({"key": list(found), "communityId": list(found.values())})
 
     found = placed.groupBy("component").applyInPandas(solve, "key string, communityId string")
+    if above is not None:
+        found = checkpointed(found)
+        through = above.join(found.withColumnRenamed("key", "c"), "c").select("key", "communityId")
+        found = through.unionByName(found.join(above.select("key"), "key", "left_anti"))
+        least = found.groupBy("communityId").agg(F.min("key").alias("least"))
+        found = found.join(least, "communityId").select("key", F.col("least").alias("communityId"))
     companies = g.nodes.filter("label = 'Company'").select("key", "name")
     rows = companies.join(found, "key", "left").withColumn("communityId", F.coalesce("communityId", "key"))
-    sizes = rows.groupBy("communityId").agg(F.count("*").alias("community_size"))
+    counts = rows.groupBy("communityId").agg(F.count("*").alias("community_size"))
     focal = filers(g).withColumn("f", F.lit(True))
-    return rows.join(sizes, "communityId").join(focal, "key", "left").select(F.col("key").alias("ticker"), "name", "communityId", "community_size", F.coalesce("f", F.lit(False)).alias("is_focal"))
+    return rows.join(counts, "communityId").join(focal, "key", "left").select(F.col("key").alias("ticker"), "name", "communityId", "community_size", F.coalesce("f", F.lit(False)).alias("is_focal"))
 
 
 def subsidiary_closure(g: Graph, depth: int = 20) -> DataFrame:
@@ -153,10 +210,14 @@ def subsidiary_closure(g: Graph, depth: int = 20) -> DataFrame:
 
 
 def community_report(rows: DataFrame, top: int = 10, sample: int = 15) -> str:
-    """Markdown of the communities with the most filers."""
-    groups = rows.groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"), F.slice(F.sort_array(F.collect_list("ticker")), 1, sample).alias("tickers"))
-    total, many = groups.count(), groups.filter("size > 1").count()
+    """Markdown of the communities with the most filers; of each the first tickers only are gathered."""
+    sizes = rows.groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"))
+    total, many = sizes.count(), sizes.filter("size > 1").count()
+    best = sizes.orderBy(F.col("focal").desc(), F.col("size").desc(), "communityId").limit(top)
+    place = F.row_number().over(Window.partitionBy("communityId").orderBy("ticker"))
+    members = rows.join(best.select("communityId"), "communityId").withColumn("n", place).filter(F.col("n") <= sample)
+    tickers = {r.communityId: sorted(r.t) for r in members.groupBy("communityId").agg(F.collect_list("ticker").alias("t")).collect()}
     lines = ["# Communities", "", f"- Communities: {total}", f"- With more than one company: {many}", "", "| community | size | filers | companies |", "|---|---|---|---|"]
-    for r in groups.orderBy(F.col("focal").desc(), F.col("size").desc(), "communityId").limit(top).collect():
-        lines.append(f"| {r.communityId} | {r['size']} | {r.focal} | {', '.join(r.tickers)} |")
+    for r in best.orderBy(F.col("focal").desc(), F.col("size").desc(), "communityId").collect():
+        lines.append(f"| {r.communityId} | {r['size']} | {r.focal} | {', '.join(tickers[r.communityId])} |")
     return "\n".join(lines) + "\n"

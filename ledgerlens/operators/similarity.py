@@ -1,8 +1,10 @@
 """Explainable Jaccard similarity of companies over graph features.
 
-Pairs come from an inverted index: only companies that share a feature meet, and pairs are counted
-before they are joined with anything else.  A feature held by many companies makes as many pairs
-as the result needs, so none is made twice: the join is on the feature with left < right.
+Companies and features are numbers while pairs are made: an inverted index gives pairs that share a
+feature, left < right only, with nothing but their numbers; pairs are counted, partially before they
+are shuffled.  A feature held by many companies is dealt to several tasks by blocks of its holders, each
+pair of blocks once.  Each company keeps its best pairs, and only those are joined with names and
+with the features that they share.
 """
 
 from __future__ import annotations
@@ -21,18 +23,37 @@ def features(g: Graph) -> DataFrame:
     return rows.select(F.col("src_key").alias("ticker"), F.concat_ws(":", "type", "shown").alias("feature")).distinct()
 
 
-def similarity(g: Graph, top_k: int = 10) -> DataFrame:
-    """Each filer's top_k most similar ones: ticker, similar_ticker, jaccard, shared_feature_count, shared_features."""
+def numbered(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, f) for each (ticker, feature), and (t, ticker, n): numbers by hash, the company's count of features."""
+    pairs = own.select(F.xxhash64("ticker").alias("t"), F.xxhash64("feature").alias("f"))
+    return pairs, own.groupBy("ticker").agg(F.count("*").alias("n")).select(F.xxhash64("ticker").alias("t"), "ticker", "n")
+
+
+def shared_counts(pairs: DataFrame, block: int) -> DataFrame:
+    """(a, b, shared) with a < b for companies that share a feature; a feature with more than ``block`` holders is cut in blocks."""
+    held = pairs.groupBy("f").agg(F.count("*").alias("m")).filter("m > 1").select("f", F.ceil(F.col("m") / block).cast("int").alias("k"))
+    rows = pairs.join(held, "f").withColumn("i", F.pmod(F.xxhash64("t"), F.col("k")).cast("int"))
+    left = rows.select("f", F.col("t").alias("a"), F.col("i").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("y"))
+    right = rows.select("f", F.col("t").alias("b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), F.col("i").alias("y"))
+    return left.join(right, ["f", "x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def similarity(g: Graph, top_k: int = 10, block: int = 4096) -> DataFrame:
+    """Each filer's top_k most similar ones: ticker, similar_ticker, jaccard, shared_feature_count, shared_features (the first 12)."""
     own = features(g)
-    sizes = own.groupBy("ticker").agg(F.count("*").alias("n"))
-    left, right = own.select(F.col("ticker").alias("a"), "feature"), own.select(F.col("ticker").alias("b"), "feature")
-    pairs = left.join(right, "feature").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("feature")).alias("features"))
-    sized = pairs.join(sizes.select(F.col("ticker").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("ticker").alias("b"), F.col("n").alias("nb")), "b")
-    scored = sized.withColumn("jaccard", F.bround(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4)).withColumn("shown", F.array_join(F.slice("features", 1, 12), "; "))
-    ends = F.explode(F.array(F.struct(F.col("a").alias("ticker"), F.col("b").alias("similar_ticker")), F.struct(F.col("b").alias("ticker"), F.col("a").alias("similar_ticker"))))
-    rows = scored.select(ends.alias("e"), "jaccard", "shared", "shown").select("e.*", "jaccard", F.col("shared").alias("shared_feature_count"), F.col("shown").alias("shared_features"))
+    pairs, sizes = numbered(own)
+    counted = shared_counts(pairs, block)
+    one = sizes.select(F.col("t").alias("a"), F.col("n").alias("na"), F.col("ticker").alias("ta"))
+    two = sizes.select(F.col("t").alias("b"), F.col("n").alias("nb"), F.col("ticker").alias("tb"))
+    sized = counted.join(one, "a").join(two, "b").withColumn("jaccard", F.bround(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4))
+    ends = F.explode(F.array(F.struct(F.col("ta").alias("ticker"), F.col("tb").alias("similar_ticker")), F.struct(F.col("tb").alias("ticker"), F.col("ta").alias("similar_ticker"))))
+    rows = sized.select(ends.alias("e"), "jaccard", F.col("shared").alias("shared_feature_count")).select("e.*", "jaccard", "shared_feature_count")
     order = Window.partitionBy("ticker").orderBy(F.col("jaccard").desc(), F.col("shared_feature_count").desc(), "similar_ticker")
     best = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).drop("place")
+    # the features of the pairs that are kept
+    mine = best.select("ticker", "similar_ticker").join(own, "ticker")
+    common = mine.join(own.withColumnRenamed("ticker", "similar_ticker"), ["similar_ticker", "feature"])
+    shown = common.groupBy("ticker", "similar_ticker").agg(F.array_join(F.slice(F.sort_array(F.collect_list("feature")), 1, 12), "; ").alias("shared_features"))
     names = g.nodes.filter("label = 'Company'")
-    best = best.join(names.select(F.col("key").alias("ticker"), "name"), "ticker").join(names.select(F.col("key").alias("similar_ticker"), F.col("name").alias("similar_name")), "similar_ticker")
+    best = best.join(shown, ["ticker", "similar_ticker"]).join(names.select(F.col("key").alias("ticker"), "name"), "ticker").join(names.select(F.col("key").alias("similar_ticker"), F.col("name").alias("similar_name")), "similar_ticker")
     return best.select("ticker", "name", "similar_ticker", "similar_name", "jaccard", "shared_feature_count", "shared_features")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import extract, filing, text
-from ledgerlens.operators import analytics, graph, keys, resolve, triples
+from ledgerlens.operators import analytics, graph, keys, resolve, similarity, triples
 from ledgerlens.operators.gate import Policy, gate
 from ledgerlens.sources import companies, filings
 
@@ -178,6 +178,43 @@ def test_louvain_partition(spark):
     assert found["a"] == found["b"] == found["c"] != found["x"] == found["y"] == found["z"]
 
 
+def _modularity(edges, label):
+    """Of undirected (a, b, weight) with each pair once."""
+    total = 2.0 * sum(w for _, _, w in edges)
+    inside, mass = {}, {}
+    for a, b, w in edges:
+        for x in (a, b):
+            mass[label[x]] = mass.get(label[x], 0.0) + w
+        if label[a] == label[b]:
+            inside[label[a]] = inside.get(label[a], 0.0) + 2.0 * w
+    return sum(inside.get(c, 0.0) / total - (m / total) ** 2 for c, m in mass.items())
+
+
+def test_louvain_in_tasks_and_distributed(spark):
+    rng = random.Random(3)
+    pairs = {(k, m): 1.0 for c in range(6) for k in range(c * 8, c * 8 + 8) for m in range(k + 1, c * 8 + 8) if rng.random() < 0.7}
+    pairs |= {(c * 8, (c * 8 + 9) % 48): 1.0 for c in range(5)} | {(60, 61): 1.0}
+    names = sorted({x for p in pairs for x in p})
+    empty = [None] * (len(graph.NODE_VALUES) - 2)
+    nodes = spark.createDataFrame([("Company", f"C{k:02}", f"C{k:02}", f"N{k}", *empty) for k in names], "label string, key string, " + ", ".join(f"{v} {'double' if v == 'confidence' else 'string'}" for v in graph.NODE_VALUES))
+    edges = spark.createDataFrame([("Company", f"C{a:02}", "COMPETES_WITH", "Company", f"C{b:02}") for a, b in pairs], ", ".join(f"{c} string" for c in graph.EDGE_KEY))
+    g = graph.Graph(nodes, edges)
+    listed = [(f"C{a:02}", f"C{b:02}", w) for (a, b), w in pairs.items()]
+    planted = _modularity(listed, {f"C{k:02}": k // 8 for k in names})
+    for options in ({}, {"most_edges": 60, "rounds": 4, "levels": 1}):
+        rows = analytics.louvain(g, **options).collect()
+        label = {r.ticker: r.communityId for r in rows}
+        assert len(rows) == len(names) and all(min(t for t in label if label[t] == c) == c for c in label.values())
+        assert label["C60"] == label["C61"] == "C60" and _modularity(listed, label) > planted - 0.02
+
+
+def test_similarity_blocks_of_a_hub_feature(spark):
+    rows = [(f"T{k % 7}", f"F{k % 3}") for k in range(20)] + [(f"T{k}", "hub") for k in range(30)]
+    pairs, _ = similarity.numbered(spark.createDataFrame(sorted(set(rows)), "ticker string, feature string"))
+    whole, cut = ({(r.a, r.b): r.shared for r in similarity.shared_counts(pairs, n).collect()} for n in (4096, 4))
+    assert whole == cut and len(whole) == 30 * 29 // 2
+
+
 def test_triples_round_trip(spark):
     rows = triples.triples(small_graph(spark))
     back = triples.read_ntriples(triples.ntriples(rows))
