@@ -5,6 +5,7 @@ The rate limit is kept in each reader, so a source of n partitions reads at rate
 
 from __future__ import annotations
 
+import os
 import time
 import urllib.parse
 import urllib.request
@@ -49,7 +50,9 @@ def get(url: str, agent: str, timeout: float) -> str:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.agent, self.rate, self.timeout = checked_agent(options.get("userAgent")), float(options.get("requestsPerSecond", 8)), float(options.get("timeout", 30))
+        agent = setting("HTTP_USER_AGENT", options.get("userAgent"))
+        rate = setting("HTTP_REQUESTS_PER_SECOND", options.get("requestsPerSecond"))
+        self.agent, self.rate, self.timeout = checked_agent(agent), float(rate or 8), float(options.get("timeout", 30))
         self.count = max(1, min(int(options.get("partitions", 1)), len(self.urls) or 1))
 
     def partitions(self) -> list[InputPartition]:
@@ -77,6 +80,15 @@ class HttpText(DataSource):
 
 
 def download(pages, root: str) -> int:
-    """Writes (path, body) rows as a partitioned text table under root; returns how many."""
-    pages.write.mode("overwrite").partitionBy("path").text(root)
-    return pages.count()
+    """Writes (path, body) rows as a partitioned text table under root; returns how many.  Each page is fetched once: the count is observed while rows are written."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    pages.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("path").text(root)
+    return int(seen.get["n"])
+
+
+def setting(name: str, given: str | None = None, environment: dict[str, str] | None = None) -> str | None:
+    """An option's value, or else that of the environment variable of the same name."""
+    return given if given else (os.environ if environment is None else environment).get(name)
