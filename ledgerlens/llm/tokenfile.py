@@ -24,10 +24,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table, trim, written
+from ledgerlens.llm.common import drop, table, trim, written
 from ledgerlens.llm.hashtable import HashTable
 from ledgerlens.llm.shingles import blocks, run_hashes
 
@@ -263,7 +264,7 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, segment_ids: int = 250_000, most_parts: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, segment_ids: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """Encodes and writes all texts.
 
     Returns the written segments (part, seq, segment) and the parts' first ids (part, base).
@@ -271,13 +272,11 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(key.alias("k"), text.alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
-    # most_parts bounds the list of cuts that every task holds; a larger part only sorts longer
-    parts = min(most_parts, max(1, -(-total // part_bytes)))
-    cuts = (rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("c")).first().c or []) if parts > 1 else []
+    parts = max(1, -(-int(total) // part_bytes))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        kind, counts, bounds = enc.kind, np.zeros(max(enc.size, end_id + 1), np.int64), np.array(cuts, np.int64)
+        kind, counts = enc.kind, np.zeros(max(enc.size, end_id + 1), np.int64)
         for batch in batches:
             row = 0
             for n, data, rows_end in blocks(batch.column(1), 1 << 20):
@@ -287,14 +286,12 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
                 ends = np.cumsum(sizes + 1)
                 offsets = pa.py_buffer((np.concatenate([[0], ends]) * kind.itemsize).astype(np.int32))
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(ids)])
-                keys = batch.column(0).slice(row, n)
-                part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, pa.array(sizes + 1, pa.int64()), blobs], ["part", "k", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), batch.column(0).slice(row, n), pa.array(sizes + 1, pa.int64()), blobs], ["sums", "k", "n", "ids"])
                 row += n
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "k", "n", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.nulls(1, pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["sums", "k", "n", "ids"])
 
-    tokens = written(rows.mapInArrow(tokenize, "part int, k long, n long, ids binary"), "tokens")
+    tokens = written(rows.mapInArrow(tokenize, "sums boolean, k long, n long, ids binary").withColumn("c", F.crc32("ids")), "tokens")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -306,26 +303,24 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["ids"])
 
     # at most 8 rows of one count a vocabulary entry come to the driver
-    sums = [np.frombuffer(r.ids, np.int64) for r in tokens.filter("part = -1").select("ids").repartition(8).mapInArrow(add, "ids binary").collect()]
+    sums = [np.frombuffer(r.ids, np.int64) for r in tokens.filter("sums").select("ids").repartition(8).mapInArrow(add, "ids binary").collect()]
     lengths = code_lengths(np.sum(sums, axis=0) if sums else np.ones(1, np.int64))
     codes, kind = canonical(lengths), np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before, held, keys, counts, blobs = None, 0, 0, 0, [], [], []
+        part, seq, before, held, keys, counts, blobs = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal keys, counts, blobs, held, seq, before
             ids = np.frombuffer(b"".join(blobs), kind)
-            row = (part, seq, pack_segment(keys, np.array(counts, np.int64), before, ids, codes, lengths))
+            row = (part, seq, len(ids), pack_segment(keys, np.array(counts, np.int64), before, ids, codes, lengths))
             seq, before, held, keys, counts, blobs = seq + 1, before + len(ids), 0, [], [], []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["part", "seq", "segment"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n", "segment"])
 
         for batch in batches:
-            for p, k, n, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
-                if keys and (p != part or held >= segment_ids):
+            for k, n, blob in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2)):
+                if keys and held >= segment_ids:
                     yield flush()
-                if p != part:
-                    part, seq, before = p, 0, 0
                 keys.append(k)
                 counts.append(n)
                 blobs.append(blob.as_py())
@@ -334,12 +329,14 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
             yield flush()
         trim()
 
-    docs_only = tokens.filter("part >= 0")
-    ordered = docs_only.repartition(parts, "part").sortWithinPartitions("part", F.col("k").asc_nulls_first(), "n", F.crc32("ids"))
-    segments = written(ordered.select("part", "k", "n", "ids").mapInArrow(pack, "part int, seq long, segment binary"), "segments")
-    sizes = docs_only.groupBy("part").agg(F.sum("n").alias("n"))
+    # ranges of ids in order, a task each; rows that share an id are told apart by their tokens, so that they may lie in several
+    order = [F.col("k").asc_nulls_first(), F.col("n"), F.col("c")]
+    ordered = tokens.filter("not sums").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    segments = written(ordered.select("k", "n", "ids").mapInArrow(pack, "part int, seq long, n long, segment binary"), "segments")
+    drop(rows.sparkSession, [tokens._written_path])
+    sizes = segments.groupBy("part").agg(F.sum("n").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return segments, sizes.select("part", base.cast("long").alias("base"))
+    return segments.drop("n"), sizes.select("part", base.cast("long").alias("base"))
 
 
 def read_token_file(segments: DataFrame, bases: DataFrame, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
