@@ -2,7 +2,7 @@
 
 A sentence ends at a word that ends in . ! or ? (closing quotes and brackets may follow) or at a line
 break; a sentence of more than LONG words is cut again after words whose hash says so, so that the same
-passage is cut alike wherever it stands.  From every sentence a span of at least RUN sentences and WORDS
+passage is cut alike wherever it stands, and what has no such word for 2 * LONG words every LONG words.  From every sentence a span of at least RUN sentences and WORDS
 words is hashed (words without regard to the case of A-Z, white space apart).  Spans meet by hash over
 the whole table; the first occurrence is that with the least (id, place), and every sentence covered by
 another occurrence is removed with the white space after it.
@@ -13,7 +13,8 @@ record.  Texts are joined with their marks afterwards.
 
 Defined cases: null texts stay null, empty ones empty; texts with fewer than RUN sentences or WORDS words
 stay; a text all of whose sentences are covered becomes empty; repeats inside one text count; rows with
-the same id and text are one occurrence; a null id is ordered by a hash of its text.  Columns of the
+the same id and text are one occurrence; rows without ids come after all ids, in the order of their
+places in the input, each an occurrence of its own.  Columns of the
 input named as those made here are replaced; n_chars, where there is one, follows the text.
 """
 
@@ -57,6 +58,11 @@ def sentences(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     length = np.diff(np.append(head, len(words)))
     done |= (np.repeat(length, length) > LONG) & (words % np.uint64(CUT) == 0)
     head = np.flatnonzero(np.concatenate([[True], done[:-1]]))
+    # what has no such word for long (few different words) is cut by places from its start
+    length = np.diff(np.append(head, len(words)))
+    place = np.arange(1, len(words) + 1) - np.repeat(head, length)
+    done |= (np.repeat(length, length) > 2 * LONG) & (place % LONG == 0)
+    head = np.flatnonzero(np.concatenate([[True], done[:-1]]))
     return head, np.searchsorted(head, row_first), start, words
 
 
@@ -147,7 +153,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     made = {"n_sentences", "n_removed", "removed"}
     names = [c for c in docs.columns if c.lower() not in made]
-    rows = docs.select(*(f"`{c}`" for c in names), F.coalesce(key, F.xxhash64(text)).alias("__k"), F.shiftrightunsigned(F.xxhash64(text), 49).cast("int").alias("__t"))
+    rows = docs.select(*(f"`{c}`" for c in names), F.coalesce(key, F.monotonically_increasing_id() + (1 << 61)).alias("__k"), F.shiftrightunsigned(F.xxhash64(text), 41).cast("int").alias("__t"))
     thin = rows.filter(text.isNotNull()).select("__k", "__t", text.alias("__text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first().b
     parts = max(1, -(-int(total) // part_bytes))

@@ -478,6 +478,17 @@ def brute_spans(rows):
     return {k: len(g) for k, g in gone.items()}
 
 
+def test_long_runs_and_copies_without_ids(spark):
+    """Runs of few different words are cut and found; copies of a text without ids go but for the first."""
+    one, two = " ".join(["again"] * 90), " ".join(["to", "and", "fro"] * 40)
+    rows = [(1, one), (2, "Before. " + one), (3, two), (4, two + " then"), (None, "Alone at first. " + " ".join(f"w{k}." for k in range(40)))]
+    docs = spark.createDataFrame(rows + rows[-1:] * 3, "doc_id long, text string").coalesce(1)
+    got = spans.remove_repeats(docs).collect()
+    left = {r.doc_id: len(WORD.findall(r.text)) for r in got if r.doc_id}
+    assert left[2] < 30 and left[4] < 30 and left[3] <= 120
+    assert sorted(len(r.text) > 0 for r in got if r.doc_id is None) == [False, False, False, True]
+
+
 def test_spans_against_dictionaries(spark):
     rng = random.Random(9)
     pool = [" ".join(rng.choice(LOREM) for _ in range(rng.randint(2, 9))) + rng.choice([".", "!", "?", "\n"]) for _ in range(60)]
