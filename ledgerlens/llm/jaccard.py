@@ -376,11 +376,11 @@ def unpacked(texts: list[bytes]) -> pa.Array:
 
 
 def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes: int = 4 << 20) -> DataFrame:
-    """(az, ak, bz, bk): each linked member (a) and the least one of its tree (b), from rows (region, side, f, home, lz, lk, text).
+    """(az, ak, af, bz, bk, bf): each linked member (a) and the least one of its tree (b), from rows (region, side, f, home, lz, lk, lf, text).
 
     The members of a region are one group, or a pair of blocks: rows are then left, right or both.
     """
-    names = ["az", "ak", "bz", "bk"]
+    names = ["az", "ak", "af", "bz", "bk", "bf"]
 
     def edges(rows: list[tuple], sets: list[np.ndarray]) -> list[tuple]:
         fine = [i for i, (r, s) in enumerate(zip(rows, sets)) if len(s) and class_hash(s) == r[2] and (i == 0 or rows[i - 1][2] != r[2] or rows[i - 1][1] != r[1])]
@@ -389,7 +389,7 @@ def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes
         rows, sets = [rows[i] for i in fine], [sets[i] for i in fine]
         sides = np.array([r[1] for r in rows])
         trees = {}
-        region = Region(sets, num, den, np.array([trees.setdefault(r[4:6], len(trees)) for r in rows]), None if rows[0][3] is None else np.array([r[3] for r in rows]))
+        region = Region(sets, num, den, np.array([trees.setdefault(r[4:7], len(trees)) for r in rows]), None if rows[0][3] is None else np.array([r[3] for r in rows]))
         if (sides == 0).all():
             region.join(np.arange(len(sets)))
         else:
@@ -397,21 +397,21 @@ def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes
         # stars of the labels that members came with
         by: dict[int, set] = {}
         for r, tree in zip(rows, region.tree.tolist()):
-            by.setdefault(tree, set()).add(r[4:6])
+            by.setdefault(tree, set()).add(r[4:7])
         return [(*a, *min(own)) for own in by.values() if len(own) > 1 for a in own if a != min(own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, held, size = None, [], 0  # held: whole regions of about flush_bytes, the last one maybe not whole
 
         def finish(groups: list[list[tuple]]) -> pa.RecordBatch:
-            sets = shingle_sets(unpacked([r[6] for g in groups for r in g]), width)
+            sets = shingle_sets(unpacked([r[7] for g in groups for r in g]), width)
             out = [e for g in groups for e in edges(g, [next(sets) for _ in g])]
-            columns = list(zip(*out)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64()) * 2)], names)
+            columns = list(zip(*out)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64()) * 2)], names)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            for r, *values, text in zip(*columns, batch.column(6)):
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            for r, *values, text in zip(*columns, batch.column(7)):
                 if r != region:
                     if size > flush_bytes:
                         yield finish(held)
@@ -425,7 +425,7 @@ def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes
             yield finish(held)
         trim()
 
-    return members.select("region", "side", "f", "home", "lz", "lk", "text").mapInArrow(run, "az boolean, ak long, bz boolean, bk long")
+    return members.select("region", "side", "f", "home", "lz", "lk", "lf", "text").mapInArrow(run, "az boolean, ak long, af long, bz boolean, bk long, bf long")
 
 
 def laid(texts: DataFrame, places: DataFrame, task_bytes: int, task_members: int) -> DataFrame:
@@ -443,7 +443,7 @@ def laid(texts: DataFrame, places: DataFrame, task_bytes: int, task_members: int
 
 
 def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 16 << 20, task_members: int = 4096) -> DataFrame:
-    """(z, k, h, n, rz, rk) for every row: its id (with z, a hash of its text instead), the text's hash, the set's size, and the least (z, k) that it reaches."""
+    """(z, k, h, n, rz, rk, rf) for every row: its id (with z, a hash of its text instead), the text's hash, the set's size, and the least (z, k) that it reaches, with its set's hash."""
     spark, mark = docs.sparkSession, len(since(0))
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(key.isNull().alias("z"), F.coalesce(key, F.xxhash64(text)).alias("k"), F.xxhash64(text).alias("h"), text.alias("t"))
@@ -465,24 +465,24 @@ def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_
         return region_links(tasks.repartition("region").sortWithinPartitions("region", "side", "f"), num, den, width)
 
     # members of one home first
-    at_home = homes.select(F.col("home").alias("p"), "f", "n").join(classes.select("f", F.col("z").alias("lz"), F.col("k").alias("lk")), "f")
+    at_home = homes.select(F.col("home").alias("p"), "f", "n").join(classes.select("f", F.col("z").alias("lz"), F.col("k").alias("lk"), F.col("f").alias("lf")), "f")
     inner = written(links(at_home, True), "links")
-    label = inner.groupBy(F.col("az").alias("z"), F.col("ak").alias("k")).agg(F.min(F.struct("bz", "bk")).alias("l"))
-    known = wanted.join(label, ["z", "k"], "left").select("f", "home", F.coalesce("l.bz", "z").alias("lz"), F.coalesce("l.bk", "k").alias("lk"))
+    label = inner.groupBy(F.col("af").alias("f")).agg(F.min(F.struct("bz", "bk", "bf")).alias("l"))
+    known = wanted.join(label, "f", "left").select("f", "home", F.coalesce("l.bz", "z").alias("lz"), F.coalesce("l.bk", "k").alias("lk"), F.coalesce("l.bf", "f").alias("lf"))
     crossing = member.drop("votes").join(known, "f")
     crossing = written(crossing, "crossing")
-    several = crossing.groupBy("p").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min(F.struct("lz", "lk")).alias("l0"), F.max(F.struct("lz", "lk")).alias("l1"))
+    several = crossing.groupBy("p").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min(F.struct("lz", "lk", "lf")).alias("l0"), F.max(F.struct("lz", "lk", "lf")).alias("l1"))
     # a table of its own: the join with it may be split where a region has many members
     crossing = crossing.join(written(several.filter("h0 <> h1 and l0 <> l1").select("p"), "several"), "p")
     outer = written(links(crossing.drop("home")), "links")
 
-    edges = inner.unionByName(outer).select(F.struct(F.col("az").alias("z"), F.col("ak").alias("k")).alias("a"), F.struct(F.col("bz").alias("z"), F.col("bk").alias("k")).alias("b"))
+    edges = inner.unionByName(outer).select(F.struct(F.col("az").alias("z"), F.col("ak").alias("k"), F.col("af").alias("f")).alias("a"), F.struct(F.col("bz").alias("z"), F.col("bk").alias("k"), F.col("bf").alias("f")).alias("b"))
     named = components(edges)
-    roots = classes.withColumn("node", F.struct("z", "k")).join(named, "node", "left").select("f", "n", F.coalesce("root", "node").alias("r"))
-    roots = written(roots.select("f", "n", F.col("r.z").alias("rz"), F.col("r.k").alias("rk")), "roots")
+    roots = classes.withColumn("node", F.struct("z", "k", "f")).join(named, "node", "left").select("f", "n", F.coalesce("root", "node").alias("r"))
+    roots = written(roots.select("f", "n", F.col("r.z").alias("rz"), F.col("r.k").alias("rk"), F.col("r.f").alias("rf")), "roots")
     drop(spark, [path for path in since(mark) if path not in (hashed._written_path, roots._written_path)])
     out = sized.join(roots, ["f", "n"], "left")
-    return out.select("z", "k", "h", "n", F.coalesce("rz", "z").alias("rz"), F.coalesce("rk", "k").alias("rk"))
+    return out.select("z", "k", "h", "n", F.coalesce("rz", "z").alias("rz"), F.coalesce("rk", "k").alias("rk"), F.coalesce("rf", F.lit(0)).alias("rf"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -497,7 +497,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without words are components of their own and all stay; of equal rows (id and text) one stays.
     """
     found = labelled(docs, id_col=id_col, text_col=text_col, **options)
-    first = found.filter("n > 0").groupBy("rz", "rk").agg(F.min(F.struct("z", "k", "h")).alias("v")).select("v.*")
+    first = found.filter("n > 0").groupBy("rz", "rk", "rf").agg(F.min(F.struct("z", "k", "h")).alias("v")).select("v.*")
     first = first.unionByName(found.filter("n = 0").select("z", "k", "h").distinct())
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     names = [f"__{c}" for c in ("z", "k", "h")]

@@ -35,6 +35,8 @@ def texts():
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, "en", f"s{k % 5}" if k % 11 else None, len(t or ""), 7, "clash") for k, t in enumerate(texts())]
+    # texts that share an id are apart: one is a copy of the first text, the other is not
+    rows += [(50, texts()[0], "en", "s3", 1, 7, "clash")]
     rows += [(3, texts()[3], "en", "s3", 1, 7, "clash"), (3, "same id other text", "en", "s3", 1, 7, "clash"), (None, "no id here at all today", "en", "s1", 1, 7, "clash")]
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -787,6 +789,58 @@ def test_pipeline_stages(spark):
     assert last.filter("not round_trip").count() == 0 and last.count() > seen[4]
 
 
+def odd_docs(spark):
+    """Null and repeated ids, null, empty and equal texts, a null source, columns named like the operators' own."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows += [(None, rows[0][1], "xx", None, 1), (None, "no id and no copy of any other text of this table", "xx", "s", 1), (None, None, "xx", "s", 0), (7_000_000, None, "xx", None, None), (7_000_001, "", "xx", "s", 0)]
+    rows += [(rows[3][0], "another text under an id that is there already, unlike it", "xx", "s", 1), (rows[4][0], rows[4][1], "xx", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = ["kept", "log_weight", "size", "target", "taken", "part", "passes", "shards", "removed", "n_removed", "mix_shard", "component_id", "z", "k", "h"]
+    return frame.withColumns({c: F.lit(f"own {c}") for c in made}), rows
+
+
+def test_pipeline_stages_with_odd_rows(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    docs, rows = odd_docs(spark)
+    d = "/root/testdata/sf0.001"
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in docs.columns[5:])
+        assert stage(spark, docs.limit(0), d).count() == 0
+    assert cp.STAGES[-1][1](spark, docs, d).filter("not round_trip").count() == 0
+    assert cp.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
+    without = docs.drop("n_chars")
+    assert all(stage(spark, without, d).columns == without.columns for _, stage in cp.STAGES[:-1])
+
+
+def test_near_copies_keep_one_row_of_each_component(spark):
+    """Brute force: of each component the least (with an id, id or text hash, text hash), once; rows without words stay."""
+    import corpus_pipeline as cp
+
+    docs, rows = odd_docs(spark)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    sets = [shingles(r[1]) for r in rows]
+    groups = defaultdict(set)
+    for root, r, s in zip(classes(sets), rows, sets):
+        if s:
+            groups[root].add((r[0] is None, hashes[r[1]] if r[0] is None else r[0], hashes[r[1]], r[1]))
+    want = Counter((None if min(g)[0] else min(g)[1], min(g)[3]) for g in groups.values())
+    want += Counter((r[0], r[1]) for r, s in zip(rows, sets) if not s)
+    assert Counter((r.doc_id, r.text) for r in cp.near_copies(spark, docs, "").collect()) == want
+
+
+def test_pipeline_run_leaves_only_its_result(spark, tmp_path):
+    import corpus_pipeline as cp
+    from ledgerlens.llm.common import since
+
+    before = len(since(0))
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and since(before) == [out._written_path]
+
+
 def test_registered_sql_is_text_for_registered_queries():
     from ledgerlens.llm import registry
 
