@@ -36,7 +36,7 @@ def texts():
 def docs(spark):
     rows = [(k, t, "en", f"s{k % 5}" if k % 11 else None, len(t or ""), 7, "clash") for k, t in enumerate(texts())]
     # texts that share an id are apart: one is a copy of the first text, the other is not
-    rows += [(50, texts()[0], "en", "s3", 1, 7, "clash")]
+    rows += [(3, texts()[0], "en", "s3", 1, 7, "clash")]
     rows += [(3, texts()[3], "en", "s3", 1, 7, "clash"), (3, "same id other text", "en", "s3", 1, 7, "clash"), (None, "no id here at all today", "en", "s1", 1, 7, "clash")]
     return spark.createDataFrame(rows, SCHEMA)
 
