@@ -19,8 +19,8 @@
    that hold two homes and two components: pairs of one home are decided, and so are linked ones.
 5. In a region, members most of whose shingles nobody else there has are left out first.  Regions give a star of each component found, and components follow by star rounds.
 
-A region too large for a task is cut into blocks, of which each pair meets in a task of its own.  A
-shingle that the sketch puts in very many documents has its list dealt to several tasks, and its
+In a region too large for a task, pivots go to all of its blocks first; only members outside of its
+largest component are then compared with all others, by pairs of blocks.  A shingle that the sketch puts in very many documents has its list dealt to several tasks, and its
 region is named by the shingle, so that no task holds a list of unbounded length.
 
 Defined cases: null text, or one without words: size 0, a component of its own; fewer words than a
@@ -428,21 +428,63 @@ def region_links(members: DataFrame, num: int, den: int, width: int, flush_bytes
     return members.select("region", "side", "f", "home", "lz", "lk", "lf", "text").mapInArrow(run, "az boolean, ak long, af long, bz boolean, bk long, bf long")
 
 
-def laid(texts: DataFrame, places: DataFrame, task_bytes: int, task_members: int) -> DataFrame:
-    """Rows of texts (f ...) once in each task of each region of places (p, f, n ...); regions of one member are left out.
+LABEL = ("lz", "lk", "lf")
 
-    A region too large for a task is cut into blocks, and each pair of blocks is a task, whatever the region's size.
+
+def tasked(texts: DataFrame, placed: DataFrame, region, num: int, den: int, width: int) -> DataFrame:
+    """The links of rows (p, f, side, label, home) with their texts, a task for each region."""
+    rows = texts.join(placed.withColumn("region", region).drop("p"), "f")
+    return region_links(rows.repartition("region").sortWithinPartitions("region", "side", "f"), num, den, width)
+
+
+def ends(links: DataFrame) -> DataFrame:
+    """Links as edges of labels."""
+    node = lambda x: F.struct(*(F.col(x + c).alias(c) for c in "zkf"))
+    return links.select(node("a").alias("a"), node("b").alias("b"))
+
+
+def large_links(texts: DataFrame, big: DataFrame, num: int, den: int, width: int, task_members: int) -> DataFrame:
+    """The links of regions too large for a task, from rows (p, f, n, home, label, blocks).
+
+    Pivots of a region go to all its blocks and link what lies within the threshold of them.  Then only
+    members that are not in the region's largest component are compared with all others, in pairs of
+    blocks: a group of near copies has few or none of them, whatever its size.
     """
+    label = F.struct(*LABEL)
+    block = lambda n: F.pmod(F.xxhash64("f"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    order = Window.partitionBy("p").orderBy(F.xxhash64("f"), "f")
+    pivots = big.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).drop("r")
+    spread = pivots.select("*", every("blocks").alias("i"), F.lit(1).alias("side"))
+    spread = spread.unionByName(big.select("*", block("blocks").alias("i"), F.lit(2).alias("side"))).drop("n", "blocks")
+    first = written(tasked(texts, spread, F.concat_ws(":", "p", "i"), num, den, width), "pivots")
+
+    named = components(ends(first)).select(F.col("node"), F.col("root"))
+    now = big.withColumn("node", F.struct(F.col("lz").alias("z"), F.col("lk").alias("k"), F.col("lf").alias("f"))).join(named, "node", "left").withColumn("r", F.coalesce("root", "node"))
+    now = written(now.select("p", "f", "n", "home", "blocks", F.col("r.z").alias("lz"), F.col("r.k").alias("lk"), F.col("r.f").alias("lf")), "large")
+    most = now.groupBy("p", *LABEL).agg(F.count("*").alias("c")).groupBy("p").agg(F.max_by(label, F.struct("c", *LABEL)).alias("top"))
+    now = now.join(written(most, "largest"), "p")
+    open_ = now.filter(label != F.col("top")).drop("top")
+    parts = written(open_.groupBy("p").agg(F.ceil(2 * F.count("*") / task_members).cast("int").alias("parts")), "open")
+    probes = open_.join(parts, "p").select("*", every("blocks").alias("i"), block("parts").alias("j"), F.lit(1).alias("side"))
+    others = now.drop("top").join(parts, "p").select("*", block("blocks").alias("i"), every("parts").alias("j"), F.lit(2).alias("side"))
+    pairs = probes.unionByName(others).drop("n", "blocks", "parts")
+    return first.unionByName(tasked(texts, pairs, F.concat_ws(":", "p", "i", "j"), num, den, width))
+
+
+def links_of(texts: DataFrame, places: DataFrame, num: int, den: int, width: int, task_bytes: int, task_members: int) -> DataFrame:
+    """The links of all regions of places (p, f, n, home, label); regions of one member have none."""
     size = places.groupBy("p").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"), F.count("*").alias("m")).filter("m > 1")
     blocks = F.greatest(F.ceil(2 * F.col("bytes") / task_bytes), F.ceil(2 * F.col("m") / task_members)).cast("int")
-    size = size.select("p", F.when((F.col("bytes") <= task_bytes) & (F.col("m") <= task_members), 1).otherwise(blocks).alias("blocks"))
-    placed = places.drop("n").join(size, "p").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
-    pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, if(x = block, 0, if(block < x, 1, 2)) as side))")
-    rows = texts.join(placed, "f").withColumn("to", F.explode(pairs))
-    return rows.withColumn("region", F.concat_ws(":", "p", "to.i", "to.j")).withColumn("side", F.col("to.side")).drop("to", "blocks", "block")
+    size = written(size.select("p", F.when((F.col("bytes") <= task_bytes) & (F.col("m") <= task_members), 1).otherwise(blocks).alias("blocks")), "sizes")
+    placed = places.join(size, "p")
+    found = tasked(texts, placed.filter("blocks = 1").drop("n", "blocks").withColumn("side", F.lit(0)), F.col("p").cast("string"), num, den, width)
+    if size.filter("blocks > 1").isEmpty():
+        return found
+    return found.unionByName(large_links(texts, placed.filter("blocks > 1"), num, den, width, task_members))
 
 
-def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 16 << 20, task_members: int = 4096) -> DataFrame:
+def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", part_entries: int = 1_000_000, task_bytes: int = 16 << 20, task_members: int = 1024) -> DataFrame:
     """(z, k, h, n, rz, rk, rf) for every row: its id (with z, a hash of its text instead), the text's hash, the set's size, and the least (z, k) that it reaches, with its set's hash."""
     spark, mark = docs.sparkSession, len(since(0))
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
@@ -457,16 +499,14 @@ def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_
     member = written(memberships(prefix_entries(rows, sketch, width, num, den, parts, 4 * part_entries), parts, num, den), "regions")
     homes = member.groupBy("f", "n").agg(F.max_by("p", F.struct("votes", -F.col("p"))).alias("home"))
     wanted = classes.join(homes, ["f", "n"]).select("f", "n", "z", "k", "home", "h")
-    texts = written(packed_texts(rows).join(wanted, "h").drop("h"), "texts")
+    texts = written(packed_texts(rows).join(wanted.select("f", "h"), "h").drop("h"), "texts")
 
-    def links(places: DataFrame, first: bool = False) -> DataFrame:
-        tasks = laid(texts, places, task_bytes, task_members).drop("p")
-        tasks = tasks.withColumn("home", F.lit(None).cast("long")) if first else tasks
-        return region_links(tasks.repartition("region").sortWithinPartitions("region", "side", "f"), num, den, width)
+    def links(places: DataFrame) -> DataFrame:
+        return written(links_of(texts, places, num, den, width, task_bytes, task_members), "links")
 
     # members of one home first
-    at_home = homes.select(F.col("home").alias("p"), "f", "n").join(classes.select("f", F.col("z").alias("lz"), F.col("k").alias("lk"), F.col("f").alias("lf")), "f")
-    inner = written(links(at_home, True), "links")
+    at_home = homes.select(F.col("home").alias("p"), "f", "n", F.lit(None).cast("long").alias("home")).join(classes.select("f", F.col("z").alias("lz"), F.col("k").alias("lk"), F.col("f").alias("lf")), "f")
+    inner = links(at_home)
     label = inner.groupBy(F.col("af").alias("f")).agg(F.min(F.struct("bz", "bk", "bf")).alias("l"))
     known = wanted.join(label, "f", "left").select("f", "home", F.coalesce("l.bz", "z").alias("lz"), F.coalesce("l.bk", "k").alias("lk"), F.coalesce("l.bf", "f").alias("lf"))
     crossing = member.drop("votes").join(known, "f")
@@ -474,10 +514,9 @@ def labelled(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_
     several = crossing.groupBy("p").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min(F.struct("lz", "lk", "lf")).alias("l0"), F.max(F.struct("lz", "lk", "lf")).alias("l1"))
     # a table of its own: the join with it may be split where a region has many members
     crossing = crossing.join(written(several.filter("h0 <> h1 and l0 <> l1").select("p"), "several"), "p")
-    outer = written(links(crossing.drop("home")), "links")
+    outer = links(crossing)
 
-    edges = inner.unionByName(outer).select(F.struct(F.col("az").alias("z"), F.col("ak").alias("k"), F.col("af").alias("f")).alias("a"), F.struct(F.col("bz").alias("z"), F.col("bk").alias("k"), F.col("bf").alias("f")).alias("b"))
-    named = components(edges)
+    named = components(ends(inner.unionByName(outer)))
     roots = classes.withColumn("node", F.struct("z", "k", "f")).join(named, "node", "left").select("f", "n", F.coalesce("root", "node").alias("r"))
     roots = written(roots.select("f", "n", F.col("r.z").alias("rz"), F.col("r.k").alias("rk"), F.col("r.f").alias("rf")), "roots")
     drop(spark, [path for path in since(mark) if path not in (hashed._written_path, roots._written_path)])

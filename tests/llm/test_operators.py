@@ -127,6 +127,17 @@ def test_regions_of_near_copies(noise):
     assert least_of(region.tree) == classes([set(x.tolist()) for x in sets])
 
 
+def test_a_group_too_large_for_a_task(spark):
+    """Near copies of one text, of which some are linked only through others; blocks of eight."""
+    rng = random.Random(11)
+    core = [f"w{k}" for k in range(120)]
+    copies = [" ".join(w if rng.random() > noise else f"x{rng.randrange(10**9)}" for w in core) for noise in (0.0, 0.01, 0.02, 0.035) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    want = classes([shingles(t) for t in copies])
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(frame, task_members=16).collect()}
+    assert [got[k] for k in range(len(copies))] == want and 1 < len(set(want)) < 100
+
+
 def test_list_members_lose_no_link():
     """Brute force: of every linked pair, some list holds both."""
     rng = random.Random(4)
