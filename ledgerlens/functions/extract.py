@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ SEEDS = {
 }
 RULES = [("MONEY", MONEY, 200, 0.8, "regex:money"), ("ORG", ORGANISATION, 200, 0.58, "regex:org_suffix"), ("GPE", REGION, 100, 0.65, "regex:region_seed")]
 NER_CHARS = 250_000
+LABELS = ["ORG", "PERSON", "GPE", "LOC", "MONEY", "PRODUCT"]
+ENTITY = ["ord", "text", "label", "start_char", "end_char", "confidence", "extraction_method"]
+MODEL_FIRST = 1_000_000
 GENERIC_ORGS = ["the company", "company", "the corporation", "corporation", "the group", "group", "the nasdaq stock market llc", "new york stock exchange"]
 COMPETITION, SUPPLY, MARKET = ["compet", "rival", "peer"], ["supplier", "supply", "vendor"], ["market", "operations", "sales", "revenue"]
 EXCERPT_WORDS = ["compet", "supplier", "supply", "customer", "subsidiar", "geographic", "international", "china", "europe", "japan", "canada", "market", "revenue", "product"]
@@ -43,16 +48,41 @@ def entity_array(text: Column, label: str, pattern: str, cap: int, confidence: f
     return F.transform(found, lambda m: F.struct(m["text"].alias("text"), F.lit(label).alias("label"), m["start"].alias("start_char"), m["end"].alias("end_char"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method")))
 
 
-def entities(docs: DataFrame, id_col: str, text_col: str, seeds: bool = False) -> DataFrame:
-    """All entities of each text with their order: (id_col, ord, text, label, start_char, end_char, confidence, extraction_method)."""
+def entities(docs: DataFrame, id_col: str, text_col: str, seeds: bool = False, ner: Callable[[str], list[tuple[str, str, int, int]]] | None = None, ner_name: str = "model") -> DataFrame:
+    """All entities of each text with their order: (id_col, ord, text, label, start_char, end_char, confidence, extraction_method).
+
+    ner, a model, gives (text, label, start, end) of a text's first NER_CHARS characters; its entities come
+    first.  Without one, seeds are the known names in its place.
+    """
     text = F.col(text_col)
     arrays = []
-    if seeds:
+    if seeds and ner is None:
         for label, words in SEEDS.items():
             pattern = r"\b(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")\b"
             arrays.append(entity_array(text, label, pattern, NER_CHARS, 0.72 if label != "LOC" else 0.62, "seed:ruler"))
     arrays += [entity_array(text, *rule) for rule in RULES]
-    return docs.select(id_col, F.posexplode(F.concat(*arrays)).alias("ord", "e")).select(id_col, "ord", "e.*")
+    rules = docs.select(id_col, F.posexplode(F.concat(*arrays)).alias("ord", "e")).select(id_col, "ord", "e.*")
+    return supported(rules if ner is None else model_entities(docs, id_col, text_col, ner, ner_name).unionByName(rules.withColumn("ord", F.col("ord") + MODEL_FIRST)))
+
+
+def model_entities(docs: DataFrame, id_col: str, text_col: str, ner: Callable[[str], list[tuple[str, str, int, int]]], name: str) -> DataFrame:
+    """What a model finds, in Arrow batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, text in frame.itertuples(index=False):
+                for k, (found, label, start, end) in enumerate(ner(text or "")):
+                    rows.append((key, k, found.strip(), label, start, end, 0.72 if label in ("ORG", "PERSON", "GPE") else 0.62, f"ner:{name}"))
+            yield pd.DataFrame(rows, columns=[id_col, *ENTITY])
+
+    kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ord int, text string, label string, start_char int, end_char int, confidence double, extraction_method string"
+    return docs.select(id_col, F.substring(text_col, 1, NER_CHARS)).mapInPandas(run, kinds)
+
+
+def supported(rows: DataFrame) -> DataFrame:
+    """Entities of a known label that aren't blank."""
+    return rows.filter(F.col("label").isin(*LABELS) & (F.trim("text") != ""))
 
 
 def dedupe_entities(rows: DataFrame, id_col: str) -> DataFrame:

@@ -56,7 +56,8 @@ def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85, every: int = 5)
             ranks = checkpointed(ranks)
     focal = filers(g).withColumn("f", F.lit(True))
     rows = companies.join(ranks, "key").join(focal, "key", "left").join(degrees(g, "Company").select("key", "degree"), "key")
-    return rows.select(F.col("key").alias("ticker"), "name", F.coalesce("f", F.lit(False)).alias("is_focal"), F.round("r", 6).alias("score"), "degree")
+    rows = rows.select(F.col("key").alias("ticker"), "name", F.coalesce("f", F.lit(False)).alias("is_focal"), F.round("r", 6).alias("score"), "degree")
+    return rows.filter("score > 0 or is_focal")
 
 
 def company_components(g: Graph, rounds: int = 100) -> DataFrame:

@@ -75,10 +75,10 @@ def relations(docs: DataFrame, entities: DataFrame, model: Model | None = None,
     return extract.dedupe_relations(rules.unionByName(profile), "id", 1_000_000).select("id", "ord", *RELATION)
 
 
-def records(html: DataFrame, index: DataFrame, model: Model | None = None, name: str = "model") -> DataFrame:
+def records(html: DataFrame, index: DataFrame, model: Model | None = None, name: str = "model", ner: Callable[[str], list[tuple[str, str, int, int]]] | None = None) -> DataFrame:
     """One extraction record for each ticker's latest filing."""
     docs = filings(html, index)
-    found = extract.dedupe_entities(extract.entities(docs, "id", "chosen", seeds=True), "id").withColumn("source", F.col("id"))
+    found = extract.dedupe_entities(extract.entities(docs, "id", "chosen", seeds=True, ner=ner), "id").withColumn("source", F.col("id"))
     related = relations(docs, found, model, name)
     mentions = found.filter("label = 'ORG'").groupBy("id", F.col("text").alias("mention")).agg(F.min("ord").alias("ord"))
     mentions = mentions.groupBy("id").agg(F.explode(F.slice(F.sort_array(F.collect_list(F.struct("ord", "mention"))), 1, MOST_MENTIONS)).alias("m")).select("id", "m.*")

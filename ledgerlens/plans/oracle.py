@@ -200,6 +200,9 @@ def oracle() -> dict[str, str]:
     return {
         "similarity_topk": GRAPH + SIMILAR,
         "company_list": GRAPH + "SELECT c.ticker, c.name, c.cik, f.key IS NOT NULL AS is_focal, coalesce(degree, 0) AS degree FROM nodes c LEFT JOIN filers f ON f.key = c.key LEFT JOIN degree d ON d.label = c.label AND d.key = c.key WHERE c.label = 'Company' ORDER BY is_focal DESC, degree DESC, c.ticker LIMIT 50",
+        "company_list_focal": GRAPH + "SELECT c.ticker, c.name, c.cik, true AS is_focal, coalesce(degree, 0) AS degree FROM nodes c JOIN filers f ON f.key = c.key LEFT JOIN degree d ON d.label = c.label AND d.key = c.key WHERE c.label = 'Company' ORDER BY degree DESC, c.ticker LIMIT 20",
+        "pagerank_top": f"SELECT ticker, is_focal, score FROM ({_pagerank()}) ORDER BY is_focal DESC, score DESC, ticker LIMIT 50",
+        "entities_seeded": f"WITH {TEXTS}, m AS (SELECT id, regexp_extract_all(text, '\\b(?:United States|China)\\b') AS g, regexp_extract_all(text, '\\b(?:Europe|Asia)\\b') AS l FROM filing_texts) SELECT id, CAST(unnest(range(len(g))) AS INTEGER) AS ord, unnest(g) AS text, 'GPE' AS label, CAST(0.72 AS DOUBLE) AS confidence FROM m UNION ALL SELECT id, CAST(len(g) + unnest(range(len(l))) AS INTEGER), unnest(l), 'LOC', CAST(0.62 AS DOUBLE) FROM m",
         "company_detail": GRAPH + "SELECT c.ticker, c.name, c.cik, coalesce(d.degree, 0) AS degree, array_to_string(list_sort(list(DISTINCT concat(f.accession_number, ' ', f.form_type))), '; ') AS filings FROM nodes c LEFT JOIN degree d ON d.label = c.label AND d.key = c.key LEFT JOIN edges e ON e.type = 'FILED' AND e.src_key = c.key LEFT JOIN nodes f ON f.label = 'Filing' AND f.key = e.dst_key WHERE c.label = 'Company' AND upper(c.ticker) = 'SUP7' GROUP BY ALL",
         "company_neighbors": GRAPH + BOTH_WAYS + "SELECT s.type AS relationship, n.label, coalesce(n.ticker, n.name, n.key, n.accession_number) AS key, n.name, e.confidence, e.review_status, e.source_text FROM steps s JOIN edges e ON s.edge = concat_ws('|', e.src_label, e.src_key, e.type, e.dst_label, e.dst_key) JOIN nodes n ON n.label = s.bl AND n.key = s.b WHERE s.al = 'Company' AND s.a = 'SUP7'",
         "graph_summary_labels": GRAPH + "SELECT label, count(*) AS count FROM nodes GROUP BY label",

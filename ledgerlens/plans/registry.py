@@ -89,7 +89,7 @@ def company_list(g: graph.Graph, focal_only: bool = False, limit: int = 50) -> D
 def company_detail(g: graph.Graph, ticker: str) -> DataFrame:
     who = g.nodes.filter((F.col("label") == "Company") & (F.upper("ticker") == ticker.upper()))
     filed = g.edges.filter("type = 'FILED'").select(F.col("src_key").alias("key"), F.col("dst_key").alias("fkey"))
-    papers = g.nodes.filter("label = 'Filing'").select(F.col("key").alias("fkey"), F.concat_ws(" ", "accession_number", "form_type").alias("shown"))
+    papers = g.nodes.filter("label = 'Filing' and accession_number is not null").select(F.col("key").alias("fkey"), F.concat_ws(" ", "accession_number", "form_type").alias("shown"))
     rows = who.select("key", "ticker", "name", "cik").join(graph.degrees(g, "Company").select("key", "degree"), "key").join(filed.join(papers, "fkey"), "key", "left")
     return rows.groupBy("ticker", "name", "cik", "degree").agg(F.array_join(F.sort_array(F.collect_set("shown")), "; ").alias("filings"))
 
@@ -181,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "similarity_topk": on_graph(similarity.similarity),
         "company_list": on_graph(company_list),
+        "company_list_focal": on_graph(lambda g: company_list(g, focal_only=True, limit=20)),
         "company_detail": on_graph(lambda g: company_detail(g, "SUP7")),
         "company_neighbors": on_graph(lambda g: graph.neighbours(g, "SUP7")),
         "graph_summary_labels": on_graph(lambda g: _counted(g.nodes, "label")),
@@ -219,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "industry_exposure": on_triples(lambda t: triples.industry_exposure(t, "ASIA")),
         "symmetric_competitors": on_triples(triples.symmetric_closure),
         "pagerank": on_graph(analytics.pagerank),
+        "pagerank_top": on_graph(lambda g: analytics.pagerank(g).orderBy(F.col("is_focal").desc(), F.col("score").desc(), "ticker").limit(50).select("ticker", "is_focal", "score")),
         "louvain": on_graph(analytics.louvain),
         "community_sizes": on_graph(lambda g: analytics.louvain(g).groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"))),
         "company_components": on_graph(analytics.company_components),
@@ -238,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entities_money": on_entities(lambda r: r.filter("label = 'MONEY'").select("id", "ord", "text")),
         "entities_org": on_entities(lambda r: r.filter("label = 'ORG'").select("id", "ord", "text")),
         "entities_region": on_entities(lambda r: r.filter("label = 'GPE'").select("id", "ord", "text")),
+        "entities_seeded": lambda spark, d: extract.entities(_texts(spark, d), "id", "text", seeds=True).filter("extraction_method = 'seed:ruler'").select("id", "ord", "text", "label", "confidence"),
         "entity_dedupe": on_deduped(lambda r: r.select("id", "ord", "text", "label", "confidence", "extraction_method")),
         "entity_summary": on_deduped(lambda r: extract.entity_summary(r, "id")),
         "extraction_stats": on_deduped(_summaries),

@@ -5,6 +5,7 @@ The rate limit is kept in each reader, so a source of n partitions reads at rate
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import urllib.parse
@@ -47,6 +48,30 @@ def get(url: str, agent: str, timeout: float) -> str:
         return answer.read().decode("utf-8", "ignore")
 
 
+class ServiceError(RuntimeError):
+    """What a service's answer lacks: it can't be reached, has a status of 400 or more, or isn't JSON."""
+
+
+def api_get(base: str | None, route: str, params: dict | None = None, timeout: float = 8.0):
+    """The JSON that a route of a service answers."""
+    url = urllib.parse.urljoin(normal_base(base).rstrip("/") + "/", route.lstrip("/"))
+    given = {k: v for k, v in (params or {}).items() if v is not None}
+    if given:
+        url += "?" + urllib.parse.urlencode(given)
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            return json.loads(answer.read())
+    except (OSError, ValueError) as error:
+        raise ServiceError(f"{url}: {error}") from error
+
+
+def json_pages(pages, schema: str):
+    """(url, json) of fetched pages: bodies by a schema, null where they aren't JSON."""
+    from pyspark.sql import functions as F
+
+    return pages.select("url", F.from_json("body", schema).alias("json"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.urls = [u for u in options.get("urls", "").split("\n") if u]

@@ -81,6 +81,8 @@ def test_pages_are_fetched_once(spark, tmp_path):
     import http.server
     import threading
 
+    from ledgerlens.sources import http as http_source
+
     asked = []
 
     class Pages(http.server.BaseHTTPRequestHandler):
@@ -97,8 +99,11 @@ def test_pages_are_fetched_once(spark, tmp_path):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     (tmp_path / "urls").write_text("\n".join(f"http://127.0.0.1:{server.server_port}/{k}.html" for k in range(3)))
     assert cli.main(["download", "-", f"{tmp_path}/pages", "--urls", f"{tmp_path}/urls", "--agent", "t t@t.org"], spark) == 0
-    server.shutdown()
     assert sorted(asked) == ["/0.html", "/1.html", "/2.html"]
+    with pytest.raises(http_source.ServiceError):
+        http_source.api_get(f"http://127.0.0.1:{server.server_port}", "x", {"limit": 5, "none": None})
+    assert asked.pop() == "/x?limit=5"
+    server.shutdown()
     assert {(r.path, r.value) for r in spark.read.text(f"{tmp_path}/pages").collect()} == {(f"{k}.html", f"page /{k}.html") for k in range(3)}
 
 

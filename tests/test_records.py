@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import triples
+from ledgerlens.functions import extract
+from ledgerlens.operators import graph, triples
 from ledgerlens.plans import extraction
 from ledgerlens.sources import filings
 
@@ -65,3 +66,34 @@ def test_csv_cells(spark, tmp_path):
     (tmp_path / "r.csv").write_text('ticker,score,ok,n\nAC,8.0,True,7\n"a ""b""",,False,x\n')
     got = filings.read_csv_rows(spark, str(tmp_path / "r.csv"), 5).collect()
     assert [[json.loads(v) for v in r] for r in got] == [["AC", 8.0, True, 7], ['a "b"', None, False, "x"]]
+
+
+def test_a_model_of_names_comes_before_the_rules(spark):
+    docs = spark.createDataFrame([("a", "Ann met Rival Holdings in China."), ("b", None)], "id string, text string")
+    ner = lambda text: [("Ann ", "PERSON", 0, 4), ("met", "VERB", 4, 7), (" ", "ORG", 7, 8), ("China", "LOC", 26, 31)] if text else []
+    got = extract.entities(docs, "id", "text", seeds=True, ner=ner, ner_name="m").orderBy("ord").collect()
+    assert [(r.text, r.label, r.confidence, r.extraction_method) for r in got] == [
+        ("Ann", "PERSON", 0.72, "ner:m"), ("China", "LOC", 0.62, "ner:m"), ("Rival Holdings", "ORG", 0.58, "regex:org_suffix"), ("China", "GPE", 0.65, "regex:region_seed"),
+    ]
+
+
+def test_graph_of_records_in_their_order(spark):
+    """Names change with records, objects take the key known when they are read, entities the last one; null confidence is rejected."""
+    relation = lambda p, o, kind, conf, method="claude:m": {"subject": "s", "predicate": p, "object": o, "object_type": kind, "confidence": conf, "source_text": "t", "rationale": f"of {o}", "extraction_method": method}
+    entity = lambda t, label: {"text": t, "label": label, "start_char": 0, "end_char": 1, "source": "acc", "confidence": 0.6, "extraction_method": "x"}
+    link = lambda name, ticker: [{"mention": name, "label": "ORG", "matched_name": name, "ticker": ticker, "cik": None, "score": 100.0, "resolution_method": "x", "status": "linked"}]
+    head = lambda k, ticker: {"record_ord": k, "ticker": ticker, "filing": {"ticker": ticker, "cik": "7", "accession_number": f"acc-{k}", "path": "p"}}
+    rows = [
+        head(0, "AA") | {"entity_resolution": link("Alpha Inc", "AA"), "entities": [entity("Steel-Bars", "PRODUCT"), entity("$5", "MONEY"), entity("Gone Co", "ORG")], "relationships": [relation("competes_with", "Beta Co", "Company", 0.9), relation("supplies", "steel bars", "ProductLine", 0.9), relation("supplies", "x", "ProductLine", None)]},
+        head(1, "BB") | {"entity_resolution": link("Beta Co", "BB"), "entities": [], "relationships": [relation("competes_with", "ALPHA INC", "Company", 0.9), relation("customer_of", "gone co", "Company", 0.8), relation("competes_with", "aa", "Company", 0.5, "heuristic:k")]},
+        head(2, "AA") | {"entity_resolution": [], "entities": [], "relationships": [relation("competes_with", "Beta Co", "Company", 0.95)]},
+    ]
+    path = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").select(F.from_json("value", filings.RECORD).alias("r")).select("r.*")
+    g = graph.from_records(path)
+    company = {r.key: (r.name, r.cik, r.source) for r in g.nodes.filter("label = 'Company'").collect()}
+    # the first mention of Beta Co was read before it was a company: its slug stays a company of its own, which later mentions find first
+    assert company == {"AA": ("AA", "0000000007", None), "BB": ("Beta Co", "0000000007", None), "beta_co": ("Beta Co", None, None), "gone_co": ("Gone Co", None, "acc")}
+    assert {(r.key, r.name, r.source) for r in g.nodes.filter("label = 'ProductLine'").collect()} == {("steel_bars", "steel bars", "acc-0")}
+    edges = {(r.src_key, r.type, r.dst_key): (r.confidence, r.rationale) for r in g.edges.filter("src_label = 'Company' and type <> 'FILED'").collect()}
+    assert edges == {("AA", "COMPETES_WITH", "beta_co"): (0.95, "of Beta Co"), ("AA", "SUPPLIES", "steel_bars"): (0.9, "of steel bars"), ("BB", "COMPETES_WITH", "AA"): (0.9, "of ALPHA INC"), ("BB", "CUSTOMER_OF", "gone_co"): (0.8, "of gone co")}
+    assert g.edges.filter("type = 'FILED'").count() == 3 and g.edges.filter("type = 'MENTIONS'").count() == 2
