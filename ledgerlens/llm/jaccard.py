@@ -453,8 +453,9 @@ def large_links(texts: DataFrame, big: DataFrame, num: int, den: int, width: int
     label = F.struct(*LABEL)
     block = lambda n: F.pmod(F.xxhash64("f"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    order = Window.partitionBy("p").orderBy(F.xxhash64("f"), "f")
-    pivots = big.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).drop("r")
+    # the first of each block, and then of these
+    least = lambda rows, by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("f"), "f"))).filter(F.col("r") <= PIVOTS).drop("r")
+    pivots = least(least(big.withColumn("own", block("blocks")), ["p", "own"]), ["p"]).drop("own")
     spread = pivots.select("*", every("blocks").alias("i"), F.lit(1).alias("side"))
     spread = spread.unionByName(big.select("*", block("blocks").alias("i"), F.lit(2).alias("side"))).drop("n", "blocks")
     first = written(tasked(texts, spread, F.concat_ws(":", "p", "i"), num, den, width), "pivots")
