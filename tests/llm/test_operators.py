@@ -800,6 +800,38 @@ def test_pipeline_stages(spark):
     assert last.filter("not round_trip").count() == 0 and last.count() > seen[4]
 
 
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of 80 000 words and one of a single word of 500 KB, each twice, among short ones; columns named like the operators' own."""
+    rng = random.Random(12)
+    words = " ".join(rng.choice(LOREM) + str(rng.randrange(5000)) for _ in range(80_000))
+    rows = [(1, words, "a"), (2, words + " more", "a"), (3, "y" * 500_000, "b"), (4, "y" * 500_000, None), (5, "short text of some six words.", "b"), (6, None, "b"), (7, "", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = "k h f z n p part seq segment ids start n_tokens n_shingles component_id home label side region size shard slot law taken target kept log_weight removed media pcm feature".split()
+    return frame.withColumns({c: F.lit(f"own {c}") for c in made}), rows
+
+
+def test_very_long_texts_and_clashing_columns(spark, long_docs):
+    frame, rows = long_docs
+    texts_ = {k: t or "" for k, t, _ in rows}
+    got = {r.doc_id: r for r in jaccard.jaccard_join(frame).collect()}
+    assert {k: r.component_id for k, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7} and all(got[k].n_shingles == len(shingles(t)) for k, t in texts_.items())
+    got = {r.doc_id: r for r in sharding.stored_shards(sharding.shard_documents(frame)).collect()}
+    assert all(got[k].size == len(t) + 16 and got[k].text_crc32 == zlib.crc32(t.encode()) and got[k].law == "key" for k, t in texts_.items())
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = {r.doc_id: r for r in tokenfile.read_token_file(*tokenfile.write_token_file(frame, path), ids=False).collect()}
+    assert set(got) == set(texts_) and got[6].n_tokens == got[7].n_tokens == 1 and got[3].ids_crc32 == got[4].ids_crc32 and got[2].start == got[1].n_tokens
+    got = {r.doc_id: r for r in spans.remove_repeats(frame).collect()}
+    assert got[1].text == texts_[1] and len(got[2].text) < 200 and got[3].text == texts_[3] and got[6].text is None
+    got = {r.doc_id: r for r in mixture.allot(frame, block_rows=2, shards=3).collect()}
+    assert all(got[k].size == len(WORD.findall(t)) and got[k].taken <= 3 * got[k].size for k, t in texts_.items())
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 6)], "doc_id long, quality int, toxic int")
+    out = quality.resample(frame, labels)
+    assert out.count() == 7 and out.filter("log_weight is null or isnan(log_weight)").count() == 0 and "own kept" not in {str(r.kept) for r in out.collect()}
+    got = pieces.segment(frame, public_tokenizers.path("piece_bpe_32k.model"), samples=1, packed=True).select("doc_id", "round_trip", "n_pieces").collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5} and all(r.round_trip for r in got)
+
+
 def odd_docs(spark):
     """Null and repeated ids, null, empty and equal texts, a null source, columns named like the operators' own."""
     rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
