@@ -196,6 +196,30 @@ def louvain(g: Graph, most_edges: int = 200_000, rounds: int = 8, levels: int =
     return rows.join(counts, "communityId").join(focal, "key", "left").select(F.col("key").alias("ticker"), "name", "communityId", "community_size", F.coalesce("f", F.lit(False)).alias("is_focal"))
 
 
+def louvain_validity(g: Graph) -> DataFrame:
+    """One row: companies, communities not called after their least member, communities of several components, and whether modularity is above that of single companies."""
+    found = checkpointed(louvain(g).select(F.col("ticker").alias("key"), "communityId"))
+    named = found.groupBy("communityId").agg(F.min("key").alias("least")).filter("least <> communityId")
+    parts = found.join(company_components(g), "key").groupBy("communityId").agg(F.count_distinct("component").alias("c")).filter("c > 1")
+    edges = projection(g).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    label = lambda k: found.select(F.col("key").alias(k), F.col("communityId").alias("c" + k))
+    placed = edges.join(label("a"), "a").join(label("b"), "b")
+    total = F.sum("w").over(Window.partitionBy())
+    within = lambda x, y: F.sum(F.when(F.col(x) == F.col(y), F.col("w")).otherwise(0.0)) / F.sum("w")
+    expected = lambda by: placed.groupBy(by).agg(F.sum("w").alias("w")).withColumn("t", total).agg(F.sum((F.col("w") / F.col("t")) ** 2).alias("v"))
+    measures = {
+        "companies": found.agg(F.count("*").alias("v")), "misnamed": named.agg(F.count("*").alias("v")), "across_components": parts.agg(F.count("*").alias("v")),
+        "inside": placed.agg(within("ca", "cb").alias("v")), "by_chance": expected("ca"), "inside_alone": edges.agg(within("a", "b").alias("v")), "by_chance_alone": expected("a"),
+    }
+    rows = None
+    for name, measure in measures.items():
+        one = measure.select(F.lit(name).alias("name"), F.col("v").cast("double").alias("v"))
+        rows = one if rows is None else rows.unionByName(one)
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("v")))
+    gains = value("inside") - value("by_chance") > value("inside_alone") - value("by_chance_alone")
+    return rows.agg(*(value(n).cast("long").alias(n) for n in ("companies", "misnamed", "across_components")), gains.alias("gains"))
+
+
 def subsidiary_closure(g: Graph, depth: int = 20) -> DataFrame:
     """(child, ancestor) over SUBSIDIARY_OF, by doubling path lengths until nothing is new."""
     pairs = checkpointed(g.edges.filter("type = 'SUBSIDIARY_OF'").select(F.col("src_key").alias("child"), F.col("dst_key").alias("ancestor")).distinct())

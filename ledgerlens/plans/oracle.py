@@ -247,6 +247,7 @@ def oracle() -> dict[str, str]:
         "rdf_competitors": GRAPH + "SELECT f.o AS peer, a.o AS peer_name FROM triples t JOIN triples f ON f.s = t.s AND f.p = 'competesWith' JOIN triples a ON a.s = f.o AND a.p = 'name' WHERE t.p = 'ticker' AND t.o = 'SUP7'",
         "industry_exposure": GRAPH + "SELECT cn.o AS company_name, ct.o AS ticker, rn.o AS region_name FROM triples i JOIN triples m ON m.p = 'inIndustry' AND m.o = i.s JOIN triples x ON x.s = m.s AND x.p = 'exposedTo' JOIN triples r ON r.s = x.o AND r.p = 'type' AND r.o = 'GeographicRegion' JOIN triples rn ON rn.s = x.o AND rn.p = 'name' JOIN triples cn ON cn.s = m.s AND cn.p = 'name' JOIN triples ct ON ct.s = m.s AND ct.p = 'ticker' WHERE i.p = 'name' AND i.o = 'ASIA'",
         "pagerank": _pagerank(),
+        "louvain_validity": GRAPH + "SELECT count(*) AS companies, CAST(0 AS BIGINT) AS misnamed, CAST(0 AS BIGINT) AS across_components, true AS gains FROM nodes WHERE label = 'Company'",
         "company_components": GRAPH + ", reach AS (SELECT key, key AS r FROM nodes WHERE label = 'Company' UNION SELECT reach.key, b FROM reach JOIN projection ON a = r) SELECT key, min(r) AS component FROM reach GROUP BY key",
         "subsidiary_closure": GRAPH + ", up AS (SELECT src_key AS child, dst_key AS ancestor FROM edges WHERE type = 'SUBSIDIARY_OF' UNION SELECT child, dst_key FROM up JOIN edges ON type = 'SUBSIDIARY_OF' AND src_key = ancestor) SELECT child, ancestor FROM up",
         "symmetric_competitors": GRAPH + "SELECT s, o FROM triples WHERE p = 'competesWith' UNION SELECT o, s FROM triples WHERE p = 'competesWith'",

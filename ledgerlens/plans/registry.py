@@ -222,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank": on_graph(analytics.pagerank),
         "pagerank_top": on_graph(lambda g: analytics.pagerank(g).orderBy(F.col("is_focal").desc(), F.col("score").desc(), "ticker").limit(50).select("ticker", "is_focal", "score")),
         "louvain": on_graph(analytics.louvain),
+        "louvain_validity": on_graph(analytics.louvain_validity),
         "community_sizes": on_graph(lambda g: analytics.louvain(g).groupBy("communityId").agg(F.count("*").alias("size"), F.count_if("is_focal").alias("focal"))),
         "company_components": on_graph(analytics.company_components),
         "subsidiary_closure": on_graph(analytics.subsidiary_closure),
