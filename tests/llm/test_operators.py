@@ -621,6 +621,15 @@ def test_text_audio(spark, docs):
         assert frame is long or {media.read_wav(bytes(r.media))[0] for r in rows} == {6, 7, 17}
 
 
+def test_op8_interpolates_every_sound(spark):
+    for r in media.op8_media_columns(spark, "/root/testdata/sf0.001").select("payload_bytes", "feature", "pcm").limit(30).collect():
+        sound, rate = media.decode_wav(bytes(r.pcm))
+        stored = r.payload_bytes // 576 * 1145 if "format=ima" in r.feature else r.payload_bytes
+        assert rate == 16000 and len(sound) == 2 * stored and f"rate=16000;samples={len(sound)};" in r.feature
+        middle = (sound[:-2:2].astype(int) + sound[2::2]) // 2
+        assert sound[1:-1:2].tolist() == middle.tolist()
+
+
 def test_unreadable_media_are_null(spark):
     frame = spark.createDataFrame([(1, 3, bytearray(b"junk")), (2, None, None), (3, 9, bytearray(media.store_payload(b"a" * 576, kind=17)))], "doc_id long, n_bytes long, media binary")
     got = {r.doc_id: r for r in media.decoded(frame).collect()}
