@@ -106,3 +106,11 @@ def test_the_record_graph_reads_stored_tables(spark, monkeypatch):
     monkeypatch.setattr(registry, "_STORED", {})
     assert registry.from_records(spark, "/root/testdata/sf0.001").edges.count() > 0
     assert seen[0][1] == 0 and seen[0][0] <= 4
+
+
+def test_stored_tables_leave_the_record_nodes_as_they_are(spark):
+    rows = registry.table_of(registry.records(registry.Inputs(spark, "/root/testdata/sf0.001")))
+    stored = []
+    keep = lambda df: stored.append(df.columns) or registry.table_of(df)
+    plain, kept = (graph.from_records(rows, registry.POLICY, *more).nodes for more in ((), (keep,)))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect())) and len(stored) == 5
