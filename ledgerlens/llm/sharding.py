@@ -61,23 +61,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     )
     mixed = F.xxhash64(F.lit(seed + 2), "__h", "text_crc32", "size")
     rows = rows.withColumn("__h", mixed).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__cell", (F.col("shard") * buckets + F.col("__bucket")).cast("int"))
 
     # pass one: records meet in their buckets; a row a bucket tells where it begins in its shard
-    cell = ["shard", "__bucket"]
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("__n"))
+    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    counts = counts.select((F.col("shard") * buckets + F.col("__bucket")).cast("int").alias("__cell"), "__n", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    # a bucket is a task of its own: buckets that a hash put together would be sorted together, with their texts
+    rows = rows.repartitionById(shards * buckets, "__cell")
     # equal records are told apart by their number, so that they spread over their bucket
-    alike = Window.partitionBy(*cell).orderBy("__h", "text_crc32", "size")
+    alike = Window.partitionBy("__cell").orderBy("__h", "text_crc32", "size")
     rows_met = rows.withColumn("__copy", F.row_number().over(alike) - F.rank().over(alike))
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(seed + 3), "__h", "__copy"), "__h", "__copy")) - 1
-    met = rows_met.withColumn("__at", place).join(counts, cell)
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 3), "__h", "__copy"), "__h", "__copy")) - 1
+    met = rows_met.withColumn("__at", place).join(F.broadcast(counts), "__cell")
 
     # pass two: each run is shuffled
     run = F.floor(F.col("__at") / run_rows).cast("int")
     n = F.least(F.lit(run_rows).cast("long"), F.col("__n") - run * run_rows).cast("int")
     moved = shuffled_place((F.col("__at") % run_rows).cast("int"), n, F.lit(seed + 4), F.col("shard"), F.col("__bucket"), run)
     met = met.withColumn("slot", F.col("__before") + run.cast("long") * run_rows + moved)
-    return met.select(*(f"`{c}`" for c in rows.columns if c not in ("__h", "__bucket", "grown_shard")), "slot", "grown_shard")
+    return met.select(*(f"`{c}`" for c in rows.columns if c not in ("__h", "__bucket", "__cell", "grown_shard")), "slot", "grown_shard")
 
 
 def stored_shards(sharded: DataFrame) -> DataFrame:

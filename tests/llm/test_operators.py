@@ -318,6 +318,15 @@ def test_many_rows_of_one_id_and_stored_shards(spark):
     assert len(set(texts[:700])) > 300
 
 
+def test_a_task_sorts_one_bucket(spark):
+    """Buckets that a hash puts into one task would be sorted together, with their texts."""
+    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    tasks = defaultdict(list)
+    for r in sharding.shard_documents(frame, shards=8, bucket_rows=64).withColumn("task", F.spark_partition_id()).collect():
+        tasks[r.task].append(r.shard)
+    assert sum(map(len, tasks.values())) == 4000 and all(len(set(t)) == 1 and len(t) < 2 * 64 for t in tasks.values())
+
+
 def test_fisher_yates_is_uniform(spark):
     rows = spark.range(1, 40).select(F.col("id").cast("int").alias("n"), F.transform(F.sequence(F.lit(0), F.col("id").cast("int") - 1), lambda k: sharding.shuffled_place(k, F.col("id").cast("int"), F.lit(5))).alias("p")).collect()
     assert all(sorted(r.p) == list(range(r.n)) for r in rows) and any(r.p != sorted(r.p) for r in rows)
