@@ -320,7 +320,7 @@ def test_many_rows_of_one_id_and_stored_shards(spark):
 
 def test_a_task_sorts_one_bucket(spark):
     """Buckets that a hash puts into one task would be sorted together, with their texts."""
-    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    frame = spark.createDataFrame([(k, f"t{k}") for k in range(4000)], "doc_id long, text string")
     tasks = defaultdict(list)
     for r in sharding.shard_documents(frame, shards=8, bucket_rows=64).withColumn("task", F.spark_partition_id()).collect():
         tasks[r.task].append(r.shard)
