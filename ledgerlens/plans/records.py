@@ -7,16 +7,21 @@ ticker or name in any case, or companies that no record is of, and some confiden
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.adapter import Inputs
 
-RECORDS = """
+HEADS = """
 heads AS (
   SELECT CAST(filing_year * 1000000 + cik AS BIGINT) AS rec, ticker, CAST(cik AS BIGINT) AS s, CAST(filing_year AS BIGINT) AS y, concat(ticker, '-', CAST(filing_year AS STRING)) AS accession,
     concat('raw/10-K/', ticker, '-', CAST(filing_year AS STRING), '.html') AS path FROM raw_filings
-), resolutions AS (
+)"""
+
+#: What the heads' records hold.
+HELD = """resolutions AS (
   SELECT rec, ticker AS r_ticker, CASE WHEN y % 3 = 0 THEN lower(s_name) ELSE s_name END AS matched_name, CASE WHEN (s + y) % 4 = 0 THEN 'unlinked' ELSE 'linked' END AS status
   FROM heads JOIN supplier ON s = s_suppkey
 ), said AS (
@@ -36,10 +41,13 @@ heads AS (
 )
 """
 
+RECORDS = f"{HEADS}, {HELD}"
+
 
-def records(inputs: Inputs) -> DataFrame:
-    """The records, one row each, in the schema that extraction writes."""
-    heads, said, told, linked = (inputs.sql(f"SELECT * FROM {t}", RECORDS) for t in ("heads", "said", "told", "resolutions"))
+def records(inputs: Inputs, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """The records, one row each, in the schema that extraction writes; keep may store their heads, which each part of a record reads."""
+    heads = keep(inputs.sql("SELECT * FROM heads", HEADS))
+    said, told, linked = (inputs.sql(f"SELECT * FROM {t}", HELD, heads=heads) for t in ("said", "told", "resolutions"))
     entity = F.struct(F.col("text"), F.col("label"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.col("source"), F.col("confidence"), F.col("method").alias("extraction_method"))
     told = told.join(heads.select("rec", "ticker"), "rec")
     relation = F.struct(

@@ -114,3 +114,17 @@ def test_stored_tables_leave_the_record_nodes_as_they_are(spark):
     keep = lambda df: stored.append(df.columns) or registry.table_of(df)
     plain, kept = (graph.from_records(rows, registry.POLICY, *more).nodes for more in ((), (keep,)))
     assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect())) and len(stored) == 5
+
+
+def test_record_nodes_read_lines_once_and_write_no_edges(spark, monkeypatch):
+    """The heads of records are stored, so that no plan repeats their scan of lineitem for each part of a record; nodes come without the edges' upsert."""
+    data, plans, write = "/root/testdata/sf0.001", [], registry.graph.write
+    plain = sorted(map(str, registry.from_records(spark, data).nodes.collect()))
+    store = registry.table_of
+    monkeypatch.setattr(registry, "table_of", lambda rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), store(rows))[1])
+    monkeypatch.setattr(registry, "_STORED", {})
+    written = []
+    monkeypatch.setattr(registry.graph, "write", lambda g, folder: (written.append(folder), write(g, folder)))
+    nodes = registry.queries()["record_nodes"](spark, data)
+    assert sorted(map(str, nodes.collect())) == plain
+    assert sum(p.count("Relation [l_orderkey") for p in plans) == 1 and not written
