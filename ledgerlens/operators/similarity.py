@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import holders, links
+from ledgerlens.operators.analytics import checkpointed
 from ledgerlens.operators.graph import Graph, RELATION_TYPES, filers
 
 
@@ -38,8 +40,47 @@ def shared_counts(pairs: DataFrame, block: int) -> DataFrame:
     return left.join(right, ["f", "x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def similarity(g: Graph, top_k: int = 10, block: int = 4096) -> DataFrame:
-    """Each filer's top_k most similar ones: ticker, similar_ticker, jaccard, shared_feature_count, shared_features (the first 12)."""
+def similarity(g: Graph, top_k: int = 10, block: int = 4096, few: int = links.FEW) -> DataFrame:
+    """Each filer's top_k most similar ones: ticker, similar_ticker, jaccard, shared_feature_count, shared_features (the first 12).
+
+    Up to few companies and features are compared in packed arrays, more by joins.
+    """
+    best = packed_best(g, top_k, few)
+    if best is None:
+        best = joined_best(g, top_k, block)
+    names = g.nodes.filter("label = 'Company'")
+    best = best.join(names.select(F.col("key").alias("ticker"), "name"), "ticker").join(names.select(F.col("key").alias("similar_ticker"), F.col("name").alias("similar_name")), "similar_ticker")
+    return best.select("ticker", "name", "similar_ticker", "similar_name", "jaccard", "shared_feature_count", "shared_features")
+
+
+def packed_best(g: Graph, top_k: int, few: int) -> DataFrame | None:
+    """ticker, similar_ticker, jaccard, shared_feature_count, shared_features; None where companies or features are too many."""
+    edges = g.edges.filter(F.col("type").isin(*RELATION_TYPES) & (F.col("src_label") == "Company") & F.col("review_status").isin("approved", "review"))
+    node = g.nodes.select(F.col("label").alias("dst_label"), F.col("key").alias("dst_key"), F.coalesce("ticker", "name", "key").alias("shown"))
+    numbered_by = lambda rows, name: checkpointed(rows.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("id")))
+    ends = ["type", "dst_label", "dst_key"]
+    tickers = checkpointed(filers(g))
+    held = checkpointed(edges.select(*ends).distinct().join(node, ["dst_label", "dst_key"]).select(*ends, F.concat_ws(":", "type", "shown").alias("feature")))
+    n = tickers.count()
+    if n > few or held.count() > few:
+        return None
+    companies, features = numbered_by(tickers, "key"), numbered_by(held.select("feature").distinct(), "feature")
+    names = [r.feature for r in features.orderBy("id").select("feature").collect()]
+    to = checkpointed(held.join(features, "feature").select(*ends, F.col("id").alias("b")))
+    rows = edges.select("src_key", *ends).join(F.broadcast(companies.select(F.col("key").alias("src_key"), F.col("id").alias("a"))), "src_key").join(F.broadcast(to), ends).select("a", "b")
+    blocks = holders.packed(rows, checkpointed)
+    place = holders.places(blocks, n, len(names))
+    pairs = holders.routed(blocks, place, checkpointed)
+    ranks = checkpointed(holders.best(pairs, place, links.sums(blocks, n), top_k))
+    low = 2**holders.BITS - 1
+    found = ranks.select(F.col("t").alias("a"), (low - F.col("rank").bitwiseAND(low)).cast("int").alias("b"), (F.shiftright("rank", 49) / 10_000.0).alias("jaccard"), F.shiftright("rank", holders.BITS).bitwiseAND(2**30 - 1).alias("shared_feature_count"))
+    shown = holders.common(pairs, found.select("a", "b"), place, names, 12)
+    one, two = companies.select(F.col("id").alias("a"), F.col("key").alias("ticker")), companies.select(F.col("id").alias("b"), F.col("key").alias("similar_ticker"))
+    return found.join(shown, ["a", "b"]).join(one, "a").join(two, "b").drop("a", "b")
+
+
+def joined_best(g: Graph, top_k: int, block: int) -> DataFrame:
+    """packed_best() by joins only."""
     own = features(g)
     pairs, sizes = numbered(own)
     counted = shared_counts(pairs, block)
@@ -54,6 +95,4 @@ def similarity(g: Graph, top_k: int = 10, block: int = 4096) -> DataFrame:
     mine = best.select("ticker", "similar_ticker").join(own, "ticker")
     common = mine.join(own.withColumnRenamed("ticker", "similar_ticker"), ["similar_ticker", "feature"])
     shown = common.groupBy("ticker", "similar_ticker").agg(F.array_join(F.slice(F.sort_array(F.collect_list("feature")), 1, 12), "; ").alias("shared_features"))
-    names = g.nodes.filter("label = 'Company'")
-    best = best.join(shown, ["ticker", "similar_ticker"]).join(names.select(F.col("key").alias("ticker"), "name"), "ticker").join(names.select(F.col("key").alias("similar_ticker"), F.col("name").alias("similar_name")), "similar_ticker")
-    return best.select("ticker", "name", "similar_ticker", "similar_name", "jaccard", "shared_feature_count", "shared_features")
+    return best.join(shown, ["ticker", "similar_ticker"])
