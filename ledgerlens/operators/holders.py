@@ -206,7 +206,7 @@ def common(pairs: DataFrame, asked: DataFrame, place: np.ndarray, names: list[st
     def show(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         place, names = there.value
         if not len(asked):
-            return pd.DataFrame({"a": [], "b": [], "shared_features": []})
+            return pd.DataFrame()
         x = int(held["x"].iloc[0])
         ids = np.frombuffer(held["ids"].iloc[0], "u4")
         one, two = (_matrix(m, a, slice(0, len(m)), bool) for m, a in _sides(held))
